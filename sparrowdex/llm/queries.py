@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_neardup",)
+MODULES = ("q_neardup", "q_knn", "q_leak", "q_mix")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
