@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_neardup", "q_knn", "q_leak", "q_mix", "q_subjects")
+MODULES = ("q_split", "q_mainbody", "q_neardup", "q_knn", "q_leak", "q_mix", "q_subjects")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
