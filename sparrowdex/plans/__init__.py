@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hierarchy", "lookup")
+MODULES = ("hierarchy", "lookup", "graph", "search", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
