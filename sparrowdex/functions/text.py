@@ -228,12 +228,12 @@ def entropy(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(total)
 
 
-def cut_bytes(text: Column, most: int) -> Column:
+def cut_bytes(text: Column, most: Column | int) -> Column:
     """At most so many bytes, never part of a character."""
-    raw = F.encode(text, "UTF-8")
-    inner = lambda i: F.hex(F.substring(raw, i, 1)).rlike("^[89AB]")  # noqa: E731 - a byte within a character
+    raw, most = F.encode(text, "UTF-8"), F.lit(most) if isinstance(most, int) else most
+    inner = lambda i: F.hex(F.substr(raw, i, F.lit(1))).rlike("^[89AB]")  # noqa: E731 - a byte within a character
     end = F.when(~inner(most + 1), most).when(~inner(most), most - 1).when(~inner(most - 1), most - 2).otherwise(most - 3)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(raw, F.lit(1), end).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).when(most <= 0, "").otherwise(F.substr(raw, F.lit(1), F.greatest(end, F.lit(0))).cast("string"))
 
 
 def after_trigger(text: Column, trigger: str) -> Column:
