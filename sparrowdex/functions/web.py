@@ -50,7 +50,7 @@ def html_title(html: Column) -> Column:
 def rfc3339(text: Column) -> Column:
     """Epoch seconds of an integer or a time with Z or an offset; null for anything else."""
     form = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:Z|([+-])(\d{2}):(\d{2}))"
-    base = F.unix_seconds(F.try_to_timestamp(F.regexp_extract(text, form, 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    base = F.unix_seconds(F.try_to_timestamp(F.concat(F.regexp_extract(text, form, 1), F.lit("+00:00")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
     hours, minutes = (F.regexp_extract(text, form, i).try_cast("int") for i in (3, 4))
     off = F.coalesce(hours * 3600 + minutes * 60, F.lit(0))
     stamp = F.when(F.regexp_extract(text, form, 2) == "-", base + off).otherwise(base - off)

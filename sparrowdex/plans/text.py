@@ -130,7 +130,7 @@ s AS (SELECT id, a, after, {_L.format('after')} AS b FROM c), m AS (SELECT *, le
 v AS (SELECT *, {_MEAN.format('fb')} AS ml, {_MEAN.format('w')} AS mw FROM m)
 SELECT id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE 1 - common / greatest(len(a), len(b)) END, 6) AS disruption,
 round((greatest(0, least(1, 1 - greatest(ml - 40, 0) / 60)) + CASE WHEN mw < 25 THEN 1.0 ELSE 0.5 END) / 2, 6) AS readability,
-CASE WHEN len(list_filter(a, lambda x: x <> '')) = len(fb) THEN 1.0 ELSE 0.8 END AS compatibility, round(CASE WHEN len(a) = 0 THEN 1 ELSE common / len(a) END, 6) AS preservation FROM v""",
+CAST(CASE WHEN len(list_filter(a, lambda x: x <> '')) = len(fb) THEN 1.0 ELSE 0.8 END AS DOUBLE) AS compatibility, round(CASE WHEN len(a) = 0 THEN 1 ELSE common / len(a) END, 6) AS preservation FROM v""",
     "T11_trigram_jaccard": f"""WITH d AS (SELECT id, source_id, {_TRI.format('body')} AS t FROM drawers WHERE strlen(body) < 400)
 SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS similarity
 FROM d a JOIN d b ON a.source_id = b.source_id AND a.id < b.id""",
@@ -142,12 +142,12 @@ FROM d a JOIN d b ON a.source_id = b.source_id AND a.id < b.id""",
 w AS (SELECT id, CASE WHEN len(l) <= 20 THEN l ELSE list_concat(list_concat(list_concat(l[1:10], ['[... ' || len(mid) || ' lines elided; ' || len(sig) || ' error/warning line(s) surfaced ...]']), sig), l[len(l) - 9:]) END AS l FROM g)
 SELECT s.id, md5(array_to_string(w.l, chr(10)) || CASE WHEN ends_with(s.body, chr(10)) THEN chr(10) ELSE '' END) AS md5 FROM src s JOIN w ON w.id = s.id""",
     "T16_economy": """WITH u AS (SELECT d.id, CAST(sum(strlen(body) // 4) OVER (PARTITION BY w.name ORDER BY d.created_at, d.id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM drawers d JOIN wings w ON w.id = d.wing_id)
-SELECT id, used, round(least(1.0, used / 100000.0), 6) AS pressure, CASE WHEN least(1.0, used / 100000.0) >= 0.8 THEN 0.3 ELSE 0.5 END AS ratio FROM u""",
+SELECT id, used, round(least(1.0, used / 100000.0), 6) AS pressure, CAST(CASE WHEN least(1.0, used / 100000.0) >= 0.8 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS ratio FROM u""",
     "A13_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2),
 s AS (SELECT doc_id, -sum(k / t * log2(k / t)) AS b FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM n) GROUP BY 1) SELECT d.doc_id, round(coalesce(b, 0), 6) AS bits FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
     "T17_entropy_lines": f"""WITH {_numbered('documents', 'text', 'doc_id')}, c AS (SELECT doc_id, n, unnest(string_split(line, '')) AS ch FROM ln), k AS (SELECT doc_id, n, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL),
 e AS (SELECT doc_id, n, -sum(k / t * log2(k / t)) AS b FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id, n) AS t FROM k) GROUP BY 1, 2)
-SELECT ln.doc_id, count_if(coalesce(b, 0) >= 2.5) AS kept, count_if(coalesce(b, 0) < 2.5) AS dropped FROM ln LEFT JOIN e ON e.doc_id = ln.doc_id AND e.n = ln.n GROUP BY ln.doc_id""",
+SELECT ln.doc_id, CAST(count_if(coalesce(b, 0) >= 2.5) AS BIGINT) AS kept, CAST(count_if(coalesce(b, 0) < 2.5) AS BIGINT) AS dropped FROM ln LEFT JOIN e ON e.doc_id = ln.doc_id AND e.n = ln.n GROUP BY ln.doc_id""",
     "T20_after_trigger": r"SELECT doc_id, regexp_replace(substr(text, 6), '^[ \t\r\n\f]+', '') AS rest FROM documents WHERE starts_with(text, 'USER:')",
     "T21_formats": """WITH v AS (SELECT id, strlen(body) * 37 AS n, id * 97 AS s FROM drawers) SELECT id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN (n * 10 + 500) // 10000 || '.' || (n * 10 + 500) // 1000 % 10 || 'k' ELSE (n * 10 + 500000) // 10000000 || '.' || (n * 10 + 500000) // 1000000 % 10 || 'M' END AS size,
 CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' ELSE s // 86400 || 'd' END AS age FROM v""",
