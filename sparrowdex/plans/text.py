@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from sparrowdex.functions import text as T
 from sparrowdex.plans.binding import bound
 
-_T = F.col("text")
-_B = F.col("body")
 
 #: Lines of a text in SQL.
 _L = r"CASE WHEN {0} = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(regexp_replace({0}, '\n\z', ''), chr(10)), lambda x: regexp_replace(x, '\r\z', '')) END"
@@ -39,7 +37,7 @@ def _line_windows(t):
     """Consecutive equal lines of every drawer as islands of a window over its lines, which scales with the rows of lines."""
     from pyspark.sql import Window
 
-    ln = t.drawers.select("id", F.posexplode(F.transform(T.lines(_B), T.strip)).alias("n", "line"))
+    ln = t.drawers.select("id", F.posexplode(F.transform(T.lines(F.col("body")), T.strip)).alias("n", "line"))
     w = Window.partitionBy("id").orderBy("n")
     mark = ln.withColumn("new", F.when(F.col("line") == F.lag("line").over(w), 0).otherwise(1))
     isl = mark.withColumn("g", F.sum("new").over(w))
@@ -51,7 +49,7 @@ def _economy(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("wing").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    used = t.drawer.select("id", "wing", "created_at", T.byte_tokens(_B).alias("tokens")).withColumn("used", F.sum("tokens").over(w))
+    used = t.drawer.select("id", "wing", "created_at", T.byte_tokens(F.col("body")).alias("tokens")).withColumn("used", F.sum("tokens").over(w))
     p = T.pressure(F.col("used"))
     return used.select("id", "used", F.round(p, 6).alias("pressure"), T.ratio(p).alias("ratio"))
 
@@ -59,41 +57,41 @@ def _economy(t):
 _DOC = "doc_id"
 
 QUERIES = {
-    "T01_token_count": bound(lambda t: t.documents.select(_DOC, T.token_count(_T).alias("tokens"))),
-    "T02_byte_tokens": bound(lambda t: t.drawers.select("id", T.byte_tokens(_B).alias("tokens"), (T.byte_tokens(_B) > 500).alias("above"))),
-    "T03_repeated_lines": bound(lambda t: t.drawers.select("id", F.explode(T.repeated_lines(_B)).alias("r")).select("id", "r.line", F.col("r.n").cast("long").alias("times"))),
-    "T03_repeated_tokens": bound(lambda t: t.drawers.select("id", T.repeated_tokens(_B).alias("saved")).filter("saved > 0")),
-    "T04_trivial_conditions": bound(lambda t: t.drawers.select("id", F.explode(T.trivial_conditions(_B)).alias("condition"))),
-    "T05_dead_code": bound(lambda t: t.drawers.select("id", F.explode(T.dead_code(_B)).alias("line"))),
-    "T06_foldable": bound(lambda t: t.drawers.select("id", F.explode(T.foldable(_B)).alias("expression"))),
-    "T07_blank_lines": bound(lambda t: t.drawers.select("id", F.size(T.blank_lines(_B)).alias("blank")).filter("blank > 0")),
-    "T08_drop_blank": bound(lambda t: t.drawers.select("id", F.md5(T.drop_blank(_B)).alias("md5"))),
-    "T08_drop_repeats": bound(lambda t: t.drawers.select("id", F.md5(T.drop_repeats(_B)).alias("md5"))),
-    "T08_fold": bound(lambda t: t.drawers.select("id", F.md5(T.fold(_B)).alias("md5"))),
-    "T09_compact": bound(lambda t: t.drawers.select("id", T.token_count(_B).alias("before"), T.token_count(T.compact(_B)).alias("after"))),
-    "T10_smoothness": bound(lambda t: t.drawers.select("id", *[F.round(c, 6).alias(n) for n, c in T.smoothness(_B, T.drop_blank(_B)).items()])),
+    "T01_token_count": bound(lambda t: t.documents.select(_DOC, T.token_count(F.col("text")).alias("tokens"))),
+    "T02_byte_tokens": bound(lambda t: t.drawers.select("id", T.byte_tokens(F.col("body")).alias("tokens"), (T.byte_tokens(F.col("body")) > 500).alias("above"))),
+    "T03_repeated_lines": bound(lambda t: t.drawers.select("id", F.explode(T.repeated_lines(F.col("body"))).alias("r")).select("id", "r.line", F.col("r.n").cast("long").alias("times"))),
+    "T03_repeated_tokens": bound(lambda t: t.drawers.select("id", T.repeated_tokens(F.col("body")).alias("saved")).filter("saved > 0")),
+    "T04_trivial_conditions": bound(lambda t: t.drawers.select("id", F.explode(T.trivial_conditions(F.col("body"))).alias("condition"))),
+    "T05_dead_code": bound(lambda t: t.drawers.select("id", F.explode(T.dead_code(F.col("body"))).alias("line"))),
+    "T06_foldable": bound(lambda t: t.drawers.select("id", F.explode(T.foldable(F.col("body"))).alias("expression"))),
+    "T07_blank_lines": bound(lambda t: t.drawers.select("id", F.size(T.blank_lines(F.col("body"))).alias("blank")).filter("blank > 0")),
+    "T08_drop_blank": bound(lambda t: t.drawers.select("id", F.md5(T.drop_blank(F.col("body"))).alias("md5"))),
+    "T08_drop_repeats": bound(lambda t: t.drawers.select("id", F.md5(T.drop_repeats(F.col("body"))).alias("md5"))),
+    "T08_fold": bound(lambda t: t.drawers.select("id", F.md5(T.fold(F.col("body"))).alias("md5"))),
+    "T09_compact": bound(lambda t: t.drawers.select("id", T.token_count(F.col("body")).alias("before"), T.token_count(T.compact(F.col("body"))).alias("after"))),
+    "T10_smoothness": bound(lambda t: t.drawers.select("id", *[F.round(c, 6).alias(n) for n, c in T.smoothness(F.col("body"), T.drop_blank(F.col("body"))).items()])),
     "T11_trigram_jaccard": bound(
         lambda t: t.drawers.filter("octet_length(body) < 400").alias("a").join(t.drawers.filter("octet_length(body) < 400").alias("b"), F.expr("a.source_id = b.source_id AND a.id < b.id"))
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(T.jaccard(T.trigrams(F.col("a.body")), T.trigrams(F.col("b.body"))), 6).alias("similarity"))
     ),
     "T12_seen": bound(lambda t: t.drawers.groupBy(F.md5("body").alias("hash")).agg(F.count("*").alias("times"), F.min("id").alias("first_id")).filter("times > 1")),
-    "T13_head_tail": bound(lambda t: t.drawers.select("id", F.md5(T.head_tail(_B, 5, 5)).alias("md5"))),
-    "T14_error_lines": bound(lambda t: t.drawers.select("id", F.md5(T.error_lines(_B)).alias("md5"))),
-    "T15_squeeze": bound(lambda t: t.drawers.select("id", F.md5(T.squeeze(_B)).alias("md5"))),
-    "T15_squeeze_window": bound(lambda t: t.drawers.select("id", F.md5(T.squeeze(_B, 20)).alias("md5"))),
+    "T13_head_tail": bound(lambda t: t.drawers.select("id", F.md5(T.head_tail(F.col("body"), 5, 5)).alias("md5"))),
+    "T14_error_lines": bound(lambda t: t.drawers.select("id", F.md5(T.error_lines(F.col("body"))).alias("md5"))),
+    "T15_squeeze": bound(lambda t: t.drawers.select("id", F.md5(T.squeeze(F.col("body"))).alias("md5"))),
+    "T15_squeeze_window": bound(lambda t: t.drawers.select("id", F.md5(T.squeeze(F.col("body"), 20)).alias("md5"))),
     "T16_economy": bound(_economy),
     "T17_entropy_lines": bound(
-        lambda t: t.documents.select(_DOC, F.explode(T.lines(_T)).alias("line")).withColumn("keep", T.entropy(F.col("line")) >= 2.5)
+        lambda t: t.documents.select(_DOC, F.explode(T.lines(F.col("text"))).alias("line")).withColumn("keep", T.entropy(F.col("line")) >= 2.5)
         .groupBy(_DOC).agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"))
     ),
-    "A13_entropy": bound(lambda t: t.documents.select(_DOC, F.round(T.entropy(_T), 6).alias("bits"))),
-    "T19_cut_bytes": bound(lambda t: t.documents.select(_DOC, T.cut_bytes(_T, 61).alias("head"))),
-    "T20_after_trigger": bound(lambda t: t.documents.select(_DOC, T.after_trigger(_T, "USER:").alias("rest")).filter("rest IS NOT NULL")),
+    "A13_entropy": bound(lambda t: t.documents.select(_DOC, F.round(T.entropy(F.col("text")), 6).alias("bits"))),
+    "T19_cut_bytes": bound(lambda t: t.documents.select(_DOC, T.cut_bytes(F.col("text"), 61).alias("head"))),
+    "T20_after_trigger": bound(lambda t: t.documents.select(_DOC, T.after_trigger(F.col("text"), "USER:").alias("rest")).filter("rest IS NOT NULL")),
     "T21_formats": bound(lambda t: t.drawers.select("id", T.compact_number(F.octet_length("body") * 37).alias("size"), T.age(F.col("id") * 97).alias("age"))),
     "T22_storage_key": bound(lambda t: t.files.select("id", T.storage_key(F.substring_index("path", "/", 1), F.when(F.col("id") % 3 > 0, F.col("path"))).alias("key"))),
     "T23_keys": bound(lambda t: t.drawers.select("id", T.idempotency_key(F.col("source_id")).alias("idem"), T.hashtag(F.col("source_id")).alias("tag"))),
     "W03_line_runs": bound(_line_windows),
-    "W08_head_tail": bound(lambda t: t.documents.select(_DOC, F.md5(T.head_tail(_T, 2, 2)).alias("md5"))),
+    "W08_head_tail": bound(lambda t: t.documents.select(_DOC, F.md5(T.head_tail(F.col("text"), 2, 2)).alias("md5"))),
     "S05_jaccard": bound(
         lambda t: t.documents.alias("a").join(t.documents.alias("b"), F.expr("a.doc_id + 1 = b.doc_id"))
         .select(F.col("a.doc_id").alias("doc_id"), F.round(T.jaccard(F.array_distinct(T.words(F.col("a.text"))), F.array_distinct(T.words(F.col("b.text")))), 6).alias("similarity"))
