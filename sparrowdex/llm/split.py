@@ -142,6 +142,8 @@ def pieces(text: str, limit: int, overlap: int, least: float = 0.5) -> list[Piec
         end, strength = found
         out.append(Piece(start, end, strength))
         reached = end
+        if end == n:
+            return out
         if not overlap or end - overlap <= start:
             start = end
             continue
@@ -162,7 +164,7 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     size decides how it is joined; bodies are filtered before they reach Python.
     """
     rule = limits.filter("scope IS NOT NULL AND max_bytes >= 1").groupBy("scope").agg(F.min(F.struct("max_bytes", F.coalesce("overlap_bytes", F.lit(0)).alias("overlap"))).alias("r"))
-    own = items.join(rule, "scope").filter("item_id IS NOT NULL AND octet_length(body) > r.max_bytes")
+    own = items.select("item_kind", "item_id", "scope", "body").join(rule, "scope").filter("item_id IS NOT NULL AND octet_length(body) > r.max_bytes")
     own = own.select("item_kind", F.col("item_id").cast("long").alias("item_id"), "body", F.col("r.max_bytes").alias("most"), F.col("r.overlap").alias("overlap"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
