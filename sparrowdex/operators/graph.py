@@ -59,10 +59,12 @@ def orphans(pairs: DataFrame) -> DataFrame:
 
 
 def _trim(pairs: DataFrame, rounds: int) -> DataFrame:
-    """Drop pairs whose ends can be on no cycle: nodes without a way in or out."""
+    """Drop pairs whose ends can be on no cycle: nodes without a way in or out, a few layers a round."""
     before = None
     for _ in range(rounds):
-        pairs = cut(pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        for _ in range(3):
+            pairs = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        pairs = cut(pairs)
         n = pairs.count()
         if n == before or not n:
             break
@@ -70,18 +72,21 @@ def _trim(pairs: DataFrame, rounds: int) -> DataFrame:
     return pairs
 
 
-def _spread(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each node's largest label among all nodes that reach it, itself included; pointers jump over labels already known."""
+def _spread(pairs: DataFrame, labels: DataFrame, steps: int = 4) -> DataFrame:
+    """Each node's largest label among all nodes that reach it, itself included; several steps a round."""
+    labels = labels.withColumn("was", F.col("label"))
     while True:
-        came = pairs.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("more"))
-        new = cut(labels.join(came, "node", "left").select("node", "label", F.greatest("label", F.coalesce("more", "label")).alias("next")))
-        changed = not new.filter("next > label").isEmpty()
-        labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels
+        new = labels.select("node", F.col("label").alias("was"), "label")
+        for _ in range(steps):
+            came = pairs.join(new.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("more"))
+            new = new.join(came, "node", "left").select("node", "was", F.greatest("label", F.coalesce("more", "label")).alias("label"))
+        new = cut(new, labels)
+        if new.filter("label > was").isEmpty():
+            return new.select("node", "label")
+        labels = new
 
 
-def cycles(pairs: DataFrame, trim_rounds: int = 4) -> DataFrame:
+def cycles(pairs: DataFrame, trim_rounds: int = 2) -> DataFrame:
     """(node, component): strongly connected components of at least two nodes, named by their smallest node.
 
     Colouring: labels spread forwards; a node that keeps its own label is a root,
@@ -98,13 +103,15 @@ def cycles(pairs: DataFrame, trim_rounds: int = 4) -> DataFrame:
         inner = rest.join(c.selectExpr("node AS src", "colour AS cs"), "src").join(c.selectExpr("node AS dst", "colour AS cd"), "dst").filter("cs = cd")
         inner = cut(inner.select("src", "dst", F.col("cs").alias("colour")))
         member = cut(c.filter("node = colour"))
-        front = member
         while True:
-            back = inner.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            front = cut(back.join(member, ["node", "colour"], "left_anti"))
-            if front.isEmpty():
+            grown = member
+            for _ in range(4):
+                back = inner.join(grown.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour")
+                grown = grown.unionByName(back).distinct()
+            before = member.count()
+            member = cut(grown, member)
+            if member.count() == before:
                 break
-            member = cut(member.unionByName(front))
         size = member.groupBy("colour").agg(F.count("*").alias("n"), F.min("node").alias("component")).filter("n > 1")
         part = cut(member.join(size, "colour").select("node", "component"))
         found = part if found is None else found.union(part)

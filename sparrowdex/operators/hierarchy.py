@@ -57,7 +57,7 @@ def climb(links: DataFrame, weigh: bool = False, sizes: bool = False, cycles: bo
         if sizes:
             more = act.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
             new = new.join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        cur = cut(new)
+        cur = cut(new, cur)
         now = cur.filter("anc IS NOT NULL").count()
         if now == left:
             break
@@ -76,10 +76,10 @@ def _cycles(open_rows: DataFrame, count: int) -> DataFrame:
     """
     if not count:
         return open_rows.select("id", "parent", F.col("low").alias("cycle_id")).limit(0)
-    cur = open_rows
+    cur, old = open_rows, None
     while True:
         seen = cur.selectExpr("id AS anc", "anc AS anc2", "low AS low2")
-        cur = cut(cur.join(seen, "anc").select("id", "parent", F.col("low2").alias("seen"), F.col("anc2").alias("anc"), F.least("low", "low2").alias("low")))
+        cur = old = cut(cur.join(seen, "anc").select("id", "parent", F.col("low2").alias("seen"), F.col("anc2").alias("anc"), F.least("low", "low2").alias("low")), old)
         up = cur.select(F.col("id").alias("parent"), F.col("seen").alias("above"))
         if cur.join(up, "parent").filter("seen <> above").isEmpty():
             return cur.select("id", "parent", F.col("seen").alias("cycle_id"))

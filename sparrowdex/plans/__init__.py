@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hierarchy", "lookup", "graph", "search", "text", "web", "retrieval", "store", "usage", "extraction")
+MODULES = ("hierarchy", "lookup", "graph", "search", "text", "web", "retrieval", "store", "usage", "extraction", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,6 +65,8 @@ QUERIES = {
     "R10_quantise": bound(lambda t: t.embeddings.withColumn("c", R.quantise(F.col("embedding"))).select("vec_id", F.round("c.scale", 9).alias("scale"), F.aggregate("c.q", F.lit(0).cast("long"), lambda s, x: s + x).alias("q_sum"), F.round(R.cosine(F.col("embedding"), R.dequantise(F.col("c"))), 4).alias("kept"))),
     "R11_hamming": bound(lambda t: R.vector_search(_vectors(t).withColumn("vec", R.sign_bits(F.col("vec"))), _asked(t).withColumn("query_vec", R.sign_bits(F.col("query_vec"))), 10, R.hamming_score).withColumn("score", F.round("score", 6))),
     "R12_list": bound(lambda t: t.drawer.filter("wing = 'note'").orderBy("id").limit(100).select("id", "wing", "room", "source_id")),
+    "R09_embed_once": bound(lambda t: t.drawers.select(F.sha2(F.col("body").cast("binary"), 256).alias("hash"), "body").dropDuplicates(["hash"]).select("hash", F.size(embed(F.coalesce("body", F.lit("")))).alias("dim"))),
+    "R12_get": bound(lambda t: t.drawer.join(t.drawer_embeddings.filter("dim = 96").select(F.col("drawer_id").alias("id")), "id", "left_semi").select("id", "wing", "room", "source_id")),
     "R12_count": bound(lambda t: t.drawer.groupBy("wing").agg(F.count("*").alias("n"))),
     "R13_delete": bound(lambda t: R.delete(t.drawer, ids=t.drawers.filter("id % 10 = 3").select("id"), before=1740000000, wing="session").select("id")),
     "R13_cascade": bound(lambda t: t.drawer_embeddings.withColumnRenamed("drawer_id", "id").join(R.delete(t.drawer, before=1740000000, wing="session").select("id"), "id", "left_semi").groupBy("embedding_model").agg(F.count("*").alias("n"))),
@@ -98,6 +100,8 @@ SELECT vec_id, round(s, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS q_sum, round
 s AS (SELECT q.id AS query_id, v.id, 1 - 2 * list_sum(list_transform(list_zip(v.b, q.b), lambda p: CAST(p[1] <> p[2] AS INT))) / len(v.b) AS s FROM b q, b v WHERE q.id < 5)
 SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "R12_list": f"WITH {DRAWER} SELECT id, wing, room, source_id FROM drawer WHERE wing = 'note' ORDER BY id LIMIT 100",
+    "R09_embed_once": "SELECT DISTINCT sha256(body) AS hash, 384 AS dim FROM drawers",
+    "R12_get": f"WITH {DRAWER} SELECT id, wing, room, source_id FROM drawer WHERE id IN (SELECT drawer_id FROM drawer_embeddings WHERE dim = 96)",
     "R12_count": f"WITH {DRAWER} SELECT wing, count(*) AS n FROM drawer GROUP BY wing",
     "R13_delete": f"WITH {DRAWER} SELECT id FROM drawer WHERE id % 10 <> 3 AND NOT (wing = 'session' AND created_at < 1740000000)",
     "R13_cascade": f"WITH {DRAWER} SELECT embedding_model, count(*) AS n FROM drawer_embeddings WHERE drawer_id IN (SELECT id FROM drawer WHERE NOT (wing = 'session' AND created_at < 1740000000)) GROUP BY 1",

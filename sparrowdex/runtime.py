@@ -43,22 +43,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut lineage through a table in the shared folder, which outlives executors.
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage through a table in the shared folder.
-
-    Unlike a checkpoint the table keeps its true size, so that later joins can
-    choose their strategy by it, and column pruning reaches the files.
+    Unlike a checkpoint the table carries no constraints of the plan it came
+    from, which loops would pile up, and keeps its true size, so that later joins
+    can choose their strategy by it and column pruning reaches the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Delete a written table that nothing reads any more; others stay as they are."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """written(), then drop the table of the round before, if given."""
+    out = written(df)
+    dropped(old)
+    return out
 
 
 def partitions_for(df: DataFrame) -> int:
