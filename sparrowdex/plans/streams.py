@@ -39,7 +39,7 @@ def _through(rows: DataFrame, label: str, mode: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledgers.read_events(spark, f"{sf_dir}/events.parquet", files_per_trigger=64)
+    return ledgers.read_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=64)  # a pattern may also name a single file
 
 
 def E05_stream_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
