@@ -7,6 +7,7 @@ and an empty text has none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ ERROR_MARKS = ("error", "Error", "ERROR", "warning", "Warning", "WARN", "panic",
 WHITE = r"[ \t\r\n\f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and in whatever lambda the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(text: Column) -> Column:
     """Array of the lines of a text."""
     body = F.regexp_replace(text, r"\n\z", "")
@@ -56,24 +62,14 @@ def line_tokens(line: Column) -> Column:
     return F.when(line == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.octet_length(line) / 4)))
 
 
-def _state(fields: dict[str, Column]) -> Column:
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-
-_RUN = "struct<line:string,n:int>"
-
-
 def runs(rows: Column) -> Column:
-    """array<struct<line, n>>: consecutive equal lines and how many there are."""
+    """array<struct<line, n>>: consecutive equal lines and how many there are, in time linear in the lines."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["line"] == x)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x.alias("line"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))
-        del last
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x.alias("line"), F.lit(1).alias("n")))))
+    def build(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: (i == 1) | (F.get(r, i - 1) != F.get(r, i - 2)))
+        return let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(r) + 1)), lambda a, b: F.struct(F.get(r, a - 1).alias("line"), (b - a).alias("n"))))
 
-    return F.aggregate(rows, F.array().cast(f"array<{_RUN}>"), step)
+    return let(rows, lambda r: F.when(F.size(r) > 0, build(r)).otherwise(F.array().cast("array<struct<line:string,n:int>>")))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -122,8 +118,8 @@ def drop_repeats(text: Column) -> Column:
 
 def drop_dead_code(text: Column) -> Column:
     """Without the lines that hold the text of any dead-code line."""
-    dead = dead_code(text)
-    return F.array_join(F.filter(lines(text), lambda x: ~F.exists(dead, lambda d: x.contains(d))), "\n")
+    kept = let(dead_code(text), lambda dead: F.filter(lines(text), lambda x: ~F.exists(dead, lambda d: x.contains(d))))
+    return F.array_join(kept, "\n")
 
 
 def fold(text: Column) -> Column:
@@ -134,10 +130,10 @@ def fold(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Repeats, dead code and blank lines dropped and expressions folded, where the rules find any."""
-    out = F.when(F.size(repeated_lines(text)) > 0, drop_repeats(text)).otherwise(text)
-    out = F.when(F.size(dead_code(text)) > 0, drop_dead_code(out)).otherwise(out)
-    out = F.when(F.size(foldable(text)) > 0, fold(out)).otherwise(out)
-    return F.when(F.size(blank_lines(text)) > 0, drop_blank(out)).otherwise(out)
+    out = let(text, lambda x: F.when(F.size(repeated_lines(x)) > 0, drop_repeats(x)).otherwise(x))
+    out = F.when(F.size(dead_code(text)) > 0, let(out, drop_dead_code)).otherwise(out)
+    out = let(out, lambda x: F.when(F.size(foldable(text)) > 0, fold(x)).otherwise(x))
+    return let(out, lambda x: F.when(F.size(blank_lines(text)) > 0, drop_blank(x)).otherwise(x))
 
 
 def limit_blank_runs(text: Column) -> Column:
@@ -147,28 +143,32 @@ def limit_blank_runs(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def smoothness(before: Column, after: Column) -> dict[str, Column]:
-    """disruption, readability, compatibility and preservation of a rewrite."""
-    a, b = lines(before), lines(after)
-    common = F.size(F.filter(b, lambda x: F.array_contains(a, x)))
-    most = F.greatest(F.size(a), F.size(b))
-    full = F.filter(b, lambda x: x != "")
-    mean = lambda rows: F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda s, x: s + F.octet_length(x)) / F.size(rows)).otherwise(0.0)
-    long_lines = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(mean(full) - 40, F.lit(0.0)) / 60))
-    ident = F.when(mean(words(after)) < 25, 1.0).otherwise(0.5)
-    return {
-        "disruption": F.when(most == 0, 0.0).otherwise(1 - common / most),
-        "readability": (long_lines + ident) / 2,
-        "compatibility": F.when(F.size(F.filter(a, lambda x: x != "")) == F.size(full), 1.0).otherwise(0.8),
-        "preservation": F.when(F.size(a) == 0, 1.0).otherwise(common / F.size(a)),
-    }
+def smoothness(before: Column, after: Column) -> Column:
+    """struct<disruption, readability, compatibility, preservation> of a rewrite."""
+
+    def mean(rows: Column) -> Column:
+        return let(rows, lambda r: F.when(F.size(r) > 0, F.aggregate(r, F.lit(0.0), lambda s, x: s + F.octet_length(x)) / F.size(r)).otherwise(0.0))
+
+    def build(a: Column, b: Column) -> Column:
+        full = F.filter(b, lambda x: x != "")
+        long_lines = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(mean(full) - 40, F.lit(0.0)) / 60))
+        ident = F.when(mean(words(after)) < 25, 1.0).otherwise(0.5)
+        most = F.greatest(F.size(a), F.size(b))
+        return let(F.size(F.filter(b, lambda x: F.array_contains(a, x))), lambda common: F.struct(
+            F.when(most == 0, 0.0).otherwise(1 - common / most).alias("disruption"),
+            ((long_lines + ident) / 2).alias("readability"),
+            F.when(F.size(F.filter(a, lambda x: x != "")) == F.size(full), 1.0).otherwise(0.8).alias("compatibility"),
+            F.when(F.size(a) == 0, 1.0).otherwise(common / F.size(a)).alias("preservation"),
+        ))
+
+    return let(lines(before), lambda a: let(lines(after), lambda b: build(a, b)))
 
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three bytes, as hexadecimal digits."""
-    h = F.hex(F.encode(text, "UTF-8"))
     n = F.octet_length(text)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(h, 2 * i - 1, F.lit(6)))))
+    made = let(F.hex(F.encode(text, "UTF-8")), lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(h, 2 * i - 1, F.lit(6)))))
+    return F.when(n < 3, F.array().cast("array<string>")).otherwise(made)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -199,15 +199,16 @@ def squeeze(text: Column, window: int = 0) -> Column:
     body = F.regexp_replace(text, r"\n\z", "")
     rows = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"^(?s:.*)\r", ""))
     told = F.flatten(F.transform(runs(rows), lambda r: F.when(r["n"] > 1, F.array(r["line"], F.concat(F.lit("[repeated "), r["n"].cast("string"), F.lit("x]")))).otherwise(F.array(r["line"]))))
-    if window:
-        half = max(window // 2, 1)
-        form = "|".join(ERROR_MARKS)
-        n = F.size(told)
-        middle = F.slice(told, F.lit(half + 1), F.greatest(n - 2 * half, F.lit(0)))
+
+    def windowed(t: Column) -> Column:
+        half, n, form = max(window // 2, 1), F.size(t), "|".join(ERROR_MARKS)
+        middle = F.slice(t, F.lit(half + 1), F.greatest(n - 2 * half, F.lit(0)))
         signal = F.filter(middle, lambda x: x.rlike(form))
         mark = F.concat(F.lit("[... "), F.size(middle).cast("string"), F.lit(" lines elided; "), F.size(signal).cast("string"), F.lit(" error/warning line(s) surfaced ...]"))
-        shown = F.concat(F.slice(told, 1, half), F.array(mark), signal, F.slice(told, F.greatest(n - half + 1, F.lit(1)), F.lit(half)))
-        told = F.when(n <= window, told).otherwise(shown)
+        return F.when(n <= window, t).otherwise(F.concat(F.slice(t, 1, half), F.array(mark), signal, F.slice(t, F.greatest(n - half + 1, F.lit(1)), F.lit(half))))
+
+    if window:
+        told = let(told, windowed)
     return F.concat(F.array_join(told, "\n"), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
@@ -221,11 +222,14 @@ def ratio(press: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters of a text in bits; 0 for an empty one."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    n = F.size(chars)
-    part = lambda c: (n - F.size(F.array_remove(chars, c))) / n
-    total = F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda s, c: s - part(c) * F.log2(part(c)))
-    return F.when(n == 0, 0.0).otherwise(total)
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
+
+    def bits(c: Column) -> Column:
+        n = F.size(c)
+        total = F.aggregate(runs(c), F.lit(0.0), lambda s, r: s - r["n"] / n * F.log2(r["n"] / n))
+        return F.when(n == 0, 0.0).otherwise(total)
+
+    return let(chars, bits)
 
 
 def cut_bytes(text: Column, most: Column | int) -> Column:

@@ -69,7 +69,7 @@ QUERIES = {
     "T08_drop_repeats": bound(lambda t: t.drawers.select("id", F.md5(T.drop_repeats(F.col("body"))).alias("md5"))),
     "T08_fold": bound(lambda t: t.drawers.select("id", F.md5(T.fold(F.col("body"))).alias("md5"))),
     "T09_compact": bound(lambda t: t.drawers.select("id", T.token_count(F.col("body")).alias("before"), T.token_count(T.compact(F.col("body"))).alias("after"))),
-    "T10_smoothness": bound(lambda t: t.drawers.select("id", *[F.round(c, 6).alias(n) for n, c in T.smoothness(F.col("body"), T.drop_blank(F.col("body"))).items()])),
+    "T10_smoothness": bound(lambda t: t.drawers.select("id", T.smoothness(F.col("body"), T.drop_blank(F.col("body"))).alias("s")).select("id", *[F.round(f"s.{n}", 6).alias(n) for n in ("disruption", "readability", "compatibility", "preservation")])),
     "T11_trigram_jaccard": bound(
         lambda t: t.drawers.filter("octet_length(body) < 400").alias("a").join(t.drawers.filter("octet_length(body) < 400").alias("b"), F.expr("a.source_id = b.source_id AND a.id < b.id"))
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(T.jaccard(T.trigrams(F.col("a.body")), T.trigrams(F.col("b.body"))), 6).alias("similarity"))

@@ -81,3 +81,9 @@ def partitions_for(df: DataFrame) -> int:
 def guarded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted rows stay under a stated limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer parts than cores to all cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
