@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.llm.hashing import TokenHasher, runs
+from sparrowdex.runtime import spread
 
 # Invisible characters, which join what stands on both sides.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
@@ -136,6 +137,7 @@ def leaks(
     """
     spark, out = docs.sparkSession, None
     own = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    own = spread(own)
     for block in item_blocks(items, item_col, passage_col, block_words):
         shared = spark.sparkContext.broadcast(ItemIndex(block, min_match))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import written
+from sparrowdex.runtime import spread, written
 
 #: Vocabulary of a public byte-level tokenizer; a parameter everywhere below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,6 +55,7 @@ def sized_documents(docs: DataFrame, targets: DataFrame, id_col: str, text_col:
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "tokens": [count_tokens(t, vocabulary) for t in pdf["text"]]})
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    own = spread(own)
     listed = targets.select("source").distinct()
     return own.join(listed, "source", "left_semi").mapInPandas(run, "id long, source string, tokens long")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import written
+from sparrowdex.runtime import spread, written
 
 # A few common words of each subject in four languages.
 SEEDS = {
@@ -326,6 +326,7 @@ def subject_areas(
     k = len(names)
     known = {s.strip().lower(): j for j, s in enumerate(names)}
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "source").filter("doc_id IS NOT NULL")
+    base = spread(base)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = Counter(), 0
