@@ -129,6 +129,15 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vec: DataFrame
     return fuse([lex, vec], limit)
 
 
+def search(mode: SearchMode, docs: DataFrame, vectors: DataFrame, query: str, query_vec: DataFrame, limit: int) -> DataFrame:
+    """(id, score) of a search in one of the modes."""
+    if mode is SearchMode.LEXICAL:
+        return bm25(docs, query, limit)
+    if mode is SearchMode.VECTOR:
+        return vector_search(vectors, query_vec, limit).select("id", "score")
+    return hybrid(docs, vectors, query, query_vec, limit)
+
+
 def dedup(drawers: DataFrame) -> DataFrame:
     """(id, kept_id): every drawer and the first one with its source and body."""
     w = Window.partitionBy("source_id", F.sha2(F.col("body").cast("binary"), 256))
@@ -179,6 +188,13 @@ def hamming_score(a: Column, b: Column) -> Column:
     return 1 - 2 * differ / F.size(a)
 
 
+def capture(store: DataFrame, events: DataFrame, wing: str) -> DataFrame:
+    """A store with query events(op, query) kept as documents, each once."""
+    body = F.concat_ws(": ", "op", "query")
+    new = events.select(F.concat(F.lit(f"{wing}:"), "op").alias("source_id"), body.alias("body")).distinct()
+    return add_documents(store.select("source_id", "sha256", "body"), new.select(F.xxhash64("source_id", "body").alias("id"), "source_id", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), "body"))
+
+
 def pick_context(hits: DataFrame, budget_tokens: int) -> DataFrame:
     """(place, id, block): the best hit and the best of another room, else the next one, as text within a budget.
 

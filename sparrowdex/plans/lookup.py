@@ -82,6 +82,7 @@ QUERIES = {
     "L11_lines_at": bound(lambda t: L.lines_at(t.documents, t.documents.selectExpr("doc_id", "CAST(1 + doc_id % 5 AS INT) AS line"), "doc_id", "text")),
     "L12_selectors": bound(lambda t: L.selectors(t.sym)),
     "L13_splice": bound(lambda t: t.documents.select("doc_id", L.splice(F.col("text"), 2, 3, "REPLACED").alias("text"))),
+    "L14_changed_symbols": bound(lambda t: L.in_files(L.real(t.sym), _stale(t)).select("id", "file", "name")),
     "L15_fingerprints": bound(lambda t: t.drawers.select("id", L.fingerprint(F.col("body"), F.col("sha256")).alias("state"), F.sha2(F.col("body").cast("binary"), 256).alias("fingerprint"))),
     "L16_diff_symbols": bound(lambda t: L.diff_symbols(_before(t), _after(t))),
     "L17_broken_callers": bound(lambda t: L.broken_callers(L.diff_symbols(_before(t), _after(t)), L.callers(t.edges, t.symbols, t.files))),
@@ -132,6 +133,7 @@ SELECT doc_id, CASE WHEN length(s) > 80 THEN left(s, 80) || '…' ELSE s END AS
     "L12_selectors": f"""WITH {SYM} SELECT file || '#' || CASE WHEN parent IS NOT NULL THEN parent || '::' || name ELSE name END AS selector, count(*) AS candidates,
 string_agg(CAST(line_start AS VARCHAR), ',' ORDER BY line_start) AS lines FROM sym WHERE kind <> 'sentinel' GROUP BY 1""",
     "L13_splice": "WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) >= 3 THEN array_to_string(list_concat(list_concat(l[1:1], ['REPLACED']), l[4:]), chr(10)) ELSE text END AS text FROM l",
+    "L14_changed_symbols": f"WITH {SYM} SELECT id, file, name FROM sym WHERE kind <> 'sentinel' AND file IN (SELECT path FROM files WHERE indexed_at < mtime)",
     "L15_fingerprints": "SELECT id, CASE WHEN sha256(body) = drawers.sha256 THEN 'unchanged' ELSE 'result' END AS state, sha256(body) AS fingerprint FROM drawers",
     "L16_diff_symbols": f"WITH {_SNAPSHOTS} SELECT file, name, change FROM changes",
     "L17_broken_callers": f"WITH {_SNAPSHOTS}, {HITS} SELECT DISTINCT file FROM hits WHERE kind = 'call' AND name IN (SELECT name FROM changes WHERE change = 'removed')",

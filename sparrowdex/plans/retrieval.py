@@ -31,6 +31,15 @@ def _context(t: Tables):
     return R.pick_context(top.join(t.drawer.select("id", "source_id", "room", "body"), "id"), 300).select("place", "id", F.octet_length("block").alias("bytes"))
 
 
+def _modes(t: Tables):
+    """The same search under one name of each mode."""
+    out = None
+    for name in ("text", "KNN", "fusion"):
+        got = R.search(R.SearchMode.parse(name), _docs(t), _vectors(t), _Q, _asked(t, 1), 10).select(F.lit(name).alias("mode"), "id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def _code_hits(t: Tables):
     """The best code drawers of a query, their source ids taken apart, with the beginning of the body."""
     code = t.drawer.filter("wing = 'code'")
@@ -61,6 +70,8 @@ QUERIES = {
     "R04_bm25_all": bound(lambda t: R.bm25(_docs(t), _Q).select("id", F.round("score", 6).alias("score"))),
     "R05_overlap": bound(lambda t: R.overlap_score(t.drawers, _Q).select("id", F.round("score", 6).alias("score"))),
     "R06_hybrid": bound(lambda t: R.hybrid(_docs(t), _vectors(t), _Q, _asked(t, 1), 20).select("id", F.round("score", 9).alias("score"))),
+    "R07_search_modes": bound(_modes),
+    "R18_capture": bound(lambda t: R.capture(t.drawers, t.events.select(F.col("event_type").alias("op"), F.col("user_id").cast("string").alias("query")), "events").filter("source_id LIKE 'events:%'").select("source_id", "body")),
     "R08_hash_embedding": bound(lambda t: t.drawers.select("id", F.round(embed(F.coalesce("body", F.lit("")))[0].cast("double"), 5).alias("first"))),
     "R10_quantise": bound(lambda t: t.embeddings.withColumn("c", R.quantise(F.col("embedding"))).select("vec_id", F.round("c.scale", 9).alias("scale"), F.aggregate("c.q", F.lit(0).cast("long"), lambda s, x: s + x).alias("q_sum"), F.round(R.cosine(F.col("embedding"), R.dequantise(F.col("c"))), 4).alias("kept"))),
     "R11_hamming": bound(lambda t: R.vector_search(_vectors(t).withColumn("vec", R.sign_bits(F.col("vec"))), _asked(t).withColumn("query_vec", R.sign_bits(F.col("query_vec"))), 10, R.hamming_score).withColumn("score", F.round("score", 6))),
@@ -71,7 +82,8 @@ QUERIES = {
     "R13_delete": bound(lambda t: R.delete(t.drawer, ids=t.drawers.filter("id % 10 = 3").select("id"), before=1740000000, wing="session").select("id")),
     "R13_cascade": bound(lambda t: t.drawer_embeddings.withColumnRenamed("drawer_id", "id").join(R.delete(t.drawer, before=1740000000, wing="session").select("id"), "id", "left_semi").groupBy("embedding_model").agg(F.count("*").alias("n"))),
     "R14_code_hits": bound(_code_hits),
-    "R15_context": bound(_context),
+    "R15_context": bound(lambda t: _context(t).select("place", "id")),
+    "R15_blocks": bound(_context),
     "R16_plain_markdown": bound(lambda t: t.pages.select("page_id", plain_markdown(F.col("content_markdown")).alias("text"))),
     "J08_rank_fusion": bound(lambda t: R.fuse([R.ranked(R.bm25(_docs(t), "latency budget", 30)), R.ranked(R.overlap_score(_docs(t), "latency budget", 30))], 20).select("id", F.round("score", 9).alias("score"))),
     "W01_ordinal_rank": bound(lambda t: R.ranked(R.bm25(t.drawers, _Q, 40)).select("id", "rank")),
@@ -93,6 +105,14 @@ s AS (SELECT id, ({' + '.join(f"CAST(list_contains(t, '{w}') AS INT)" for w in _
 s AS (SELECT v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id = 0),
 vec AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 40),
 f AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY id) SELECT id, round(CAST(s AS DOUBLE), 9) AS score FROM f ORDER BY round(CAST(s AS DOUBLE), 12) DESC, id LIMIT 20""",
+    "R07_search_modes": f"""WITH {_bm25_sql('documents', 'doc_id', 'text', _TERMS)}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 20), {_VEC},
+s AS (SELECT v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id = 0),
+vec AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 20),
+f AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY id)
+SELECT 'text' AS mode, id FROM lex WHERE r <= 10 UNION ALL SELECT 'KNN', id FROM vec WHERE r <= 10 UNION ALL (SELECT 'fusion', id FROM f ORDER BY round(CAST(s AS DOUBLE), 12) DESC, id LIMIT 10)""",
+    "R15_context": f"""WITH {DRAWER}, {_bm25_sql('drawers', 'id', 'body', _TERMS)}, top AS (SELECT id, room, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm JOIN drawer USING (id) QUALIFY rank <= 8)
+SELECT 1 AS place, id FROM top WHERE rank = 1 UNION ALL (SELECT 2, id FROM top WHERE rank > 1 ORDER BY room IS NOT DISTINCT FROM (SELECT room FROM top WHERE rank = 1), rank LIMIT 1)""",
+    "R18_capture": "SELECT DISTINCT 'events:' || event_type AS source_id, event_type || ': ' || user_id AS body FROM events",
     "R10_quantise": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM v),
 q AS (SELECT *, list_transform(v, lambda x: greatest(-127, least(127, CAST(round(x / s) AS INT)))) AS q FROM c)
 SELECT vec_id, round(s, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS q_sum, round(list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2] * s)) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * s * x * s)))), 4) AS kept FROM q""",

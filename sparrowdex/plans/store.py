@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparrowdex.operators import cdc as C
 from sparrowdex.operators.lookup import latest, real
 from sparrowdex.plans.binding import DRAWER, SYM, Tables, bound
-from sparrowdex.sources import formats
+from sparrowdex.sources import formats, readers
 
 
 def _old(t: Tables) -> DataFrame:
@@ -79,6 +79,9 @@ QUERIES = {
     "SC14_sample": bound(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").orderBy(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "l_orderkey", "l_linenumber").limit(100).select("l_orderkey")),
     "SC17_prune": bound(lambda t: C.prune(t.files.withColumn("repo", F.substring_index("path", "/", 1)), ["repo"], [F.desc("mtime"), F.desc("id")], 5).select("repo", "id")),
     "A09_signature_stats": bound(lambda t: t.symbols.agg(F.count_if(F.col("signature_enc") == 1).alias("encoded"), F.count_if((F.col("signature_enc") == 0) & F.col("signature").isNotNull()).alias("plain"), F.count_if(F.col("signature").isNull()).alias("missing"), F.sum(F.octet_length("signature")).alias("bytes"))),
+    "SC10_text_documents": bound(lambda t: readers.text_documents(t.drawers.select("source_id", F.col("body").cast("binary").alias("content")), 20000)),
+    "SC18_codec_stats": bound(lambda t: t.symbols.select(F.explode(F.array(F.struct(F.lit("signature").alias("field"), F.col("signature").alias("v")), F.struct(F.lit("name").alias("field"), F.col("name").alias("v")))).alias("x")).select("x.*").groupBy("field").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.countDistinct("v").alias("different"), F.sum(F.octet_length("v")).alias("bytes"))),
+    "E12_retention": bound(lambda t: C.prune(t.events.select(F.lit("repo").alias("repo"), F.date_format("ts", "yyyyMMdd").cast("long").alias("stamp")).distinct(), ["repo"], [F.desc("stamp")], 7)),
     "X07_resolve_edges": bound(lambda t: C.resolve_edges(_named_edges(t), t.symbols)[0]),
     "X07_unresolved": bound(lambda t: C.resolve_edges(_named_edges(t), t.symbols)[1]),
     "X08_resolve_parents": bound(_parents),
@@ -114,6 +117,10 @@ regexp_replace(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*)\z', 1), '[ \t\r#]+\
     "SC14_sample": "SELECT l_orderkey FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey), l_orderkey, l_linenumber LIMIT 100",
     "SC17_prune": "SELECT repo, id FROM (SELECT string_split(path, '/')[1] AS repo, id, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY mtime DESC, id DESC) AS n FROM files) WHERE n > 5",
     "A09_signature_stats": "SELECT count(*) FILTER (WHERE signature_enc = 1) AS encoded, count(*) FILTER (WHERE signature_enc = 0 AND signature IS NOT NULL) AS plain, count(*) FILTER (WHERE signature IS NULL) AS missing, CAST(sum(strlen(signature)) AS BIGINT) AS bytes FROM symbols",
+    "SC10_text_documents": r"SELECT source_id, body, sha256(body) AS sha256 FROM drawers WHERE strlen(body) BETWEEN 1 AND 20000 AND NOT contains(left(body, 8192), chr(0)) AND regexp_matches(body, '[^ \t\r\n\f]')",
+    "SC18_codec_stats": """SELECT field, count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS missing, count(DISTINCT v) AS different, CAST(sum(strlen(v)) AS BIGINT) AS bytes
+FROM (SELECT 'signature' AS field, signature AS v FROM symbols UNION ALL SELECT 'name', name FROM symbols) GROUP BY field""",
+    "E12_retention": "SELECT repo, stamp FROM (SELECT 'repo' AS repo, stamp, row_number() OVER (ORDER BY stamp DESC) AS n FROM (SELECT DISTINCT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS stamp FROM events)) WHERE n > 7",
     "X07_resolve_edges": f"WITH {_RESOLVED} SELECT src_symbol_id, dst_symbol_id, dst_name, kind, line FROM res",
     "X07_unresolved": f"WITH {_RESOLVED} SELECT DISTINCT dst_name FROM res WHERE dst_symbol_id IS NULL",
     "X08_resolve_parents": f"""WITH {SYM}, p AS (SELECT file_id, name, arg_max(id, (line_start, id)) AS id FROM symbols WHERE kind <> 'sentinel' GROUP BY ALL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparrowdex.functions import text as T
 from sparrowdex.operators import ledger as E
 from sparrowdex.operators.lookup import latest
+from sparrowdex.plans import text as X
 from sparrowdex.plans.binding import DRAWER, Tables, bound
 
 _OP = "CASE event_type WHEN 'click' THEN 'sym' WHEN 'view' THEN 'refs' WHEN 'purchase' THEN 'callers' WHEN 'error' THEN 'fuzzy' ELSE 'outline' END"
@@ -101,7 +102,12 @@ g AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVE
 pair AS (SELECT conv, turn, text, (SELECT u.text FROM g u WHERE u.conv = g.conv AND u.g = g.g AND u.role = 'user' ORDER BY u.turn DESC LIMIT 1) AS asked FROM g WHERE role = 'assistant')"""
 _S = r"regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+\z', '', 'g')"
 
+_ROOMS = rf"""a AS (SELECT room, body, {X._L.format("body")} AS a FROM drawer), b AS (SELECT room, body, array_to_string(list_filter(a, lambda x: {_S} <> ''), chr(10)) AS after FROM a),
+c AS (SELECT room, {X._TOKENS.format("body")} - ({X._TOKENS.format("after")}) AS saved, list_filter({X._L.format("after")}, lambda x: x <> '') AS fb, {X._W.format("after")} AS w FROM b),
+v AS (SELECT room, saved, {X._MEAN.format("fb")} AS ml, {X._MEAN.format("w")} AS mw FROM c)"""
+
 SQL = {
+    "A08_compaction": f"WITH {DRAWER}, {_ROOMS} SELECT room, count(*) AS n, CAST(sum(saved) AS BIGINT) AS saved, round(avg((greatest(0, least(1, 1 - greatest(ml - 40, 0) / 60)) + CASE WHEN mw < 25 THEN 1.0 ELSE 0.5 END) / 2), 6) AS readability FROM v GROUP BY room",
     "A04_usage_report": f"""WITH {_LOG}, now AS (SELECT max(ts) AS m FROM log), b AS (
 SELECT 'all_time' AS bucket, NULL AS op, * EXCLUDE (op) FROM log UNION ALL SELECT 'by_op', op, * EXCLUDE (op) FROM log UNION ALL SELECT 'last_24h', NULL, * EXCLUDE (op) FROM log WHERE ts >= (SELECT m - 86400 FROM now) UNION ALL SELECT 'session', NULL, * EXCLUDE (op) FROM log WHERE ts >= (SELECT m - 1800 FROM now))
 SELECT bucket, op, count(*) AS queries, CAST(sum(used_tokens) AS BIGINT) AS used_tokens, CAST(sum(saved_tokens) AS BIGINT) AS saved_tokens FROM b GROUP BY bucket, op""",

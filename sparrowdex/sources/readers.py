@@ -75,13 +75,19 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*[c.split()[0] for c in LOG.split(", ")]).write.mode("append").json(path)
 
 
+def text_documents(files: DataFrame, max_bytes: int = 1_000_000) -> DataFrame:
+    """(source_id, body, sha256) of files(source_id, content): without empty, blank, binary and oversize ones."""
+    own = files.filter((F.octet_length("content") > 0) & (F.octet_length("content") <= max_bytes)).filter(F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) == 0)
+    body = F.make_valid_utf8(F.col("content").cast("string"))
+    return own.select("source_id", body.alias("body"), F.sha2(body.cast("binary"), 256).alias("sha256")).filter(F.col("body").rlike(r"[^ \t\r\n\f]"))
+
+
 def mine_project(spark: SparkSession, root: str, wing: str = "proj", max_bytes: int = 1_000_000) -> DataFrame:
     """(source_id, wing, body, sha256): one document a text file; empty, binary and oversize ones are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = raw.filter((F.col("length") > 0) & (F.col("length") <= max_bytes)).filter(F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) == 0)
-    body = F.make_valid_utf8(F.col("content").cast("string"))
     name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").replace("file://", "") + "/", "")
-    return own.select(F.concat(F.lit(f"{wing}:"), name).alias("source_id"), F.lit(wing).alias("wing"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("sha256")).filter("trim(body) <> ''")
+    small = raw.filter(F.col("length") <= max_bytes).select(F.concat(F.lit(f"{wing}:"), name).alias("source_id"), "content")
+    return text_documents(small, max_bytes).select("source_id", F.lit(wing).alias("wing"), "body", "sha256")
 
 
 def _said(content: object) -> str:
