@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,6 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+#: Tables this process wrote to the shared folder, which go when it ends.
+_TABLES: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in list(_TABLES.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended already
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _TABLES.pop(path, None)
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cut lineage through a table in the shared folder, which outlives executors.
 
@@ -53,6 +73,7 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -62,9 +83,7 @@ def dropped(df: DataFrame | None) -> None:
     """Delete a written table that nothing reads any more; others stay as they are."""
     path = getattr(df, "_written_to", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ been read to its end.  Watermarks bound the state; later rows fall away.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,7 +77,7 @@ def rate_limited(events: DataFrame, limit: int = 5, window: int = 48 * 3600, lat
 def run_to_end(rows: DataFrame, sink: str, mode: str = "append") -> None:
     """Read all that is there into an in-memory table named `sink`, then stop."""
     spark = rows.sparkSession
-    query = rows.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/stream-{sink}").trigger(availableNow=True).start()
+    query = rows.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark).rstrip('/')}/stream-{sink}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
