@@ -1,6 +1,7 @@
 """Subject areas of documents: classifier chains over term, source and structure features.
 
-1. Vocabulary and term statistics come from all documents.
+1. Each text is read once, as a stream of hashed terms; vocabulary and term
+   statistics come from all documents.
 2. Evidence of terms for subjects is learned from hand labels, a few fixed seed
    words and all unlabelled documents: rounds of expectation and maximisation in
    which a term counts for a subject as far as its documents' subjects differ
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex.llm.hashing import TokenHasher
 from sparrowdex.runtime import spread, written
 
 # A few common words of each subject in four languages.
@@ -46,6 +47,7 @@ SEEDS = {
     "travel": "airport passport luggage hostel itinerary flughafen reisepass gepäck herberge fahrkarte aeropuerto pasaporte equipaje albergue billete aéroport passeport bagage auberge billet",
 }
 
+_hasher = TokenHasher()
 _CODE = re.compile(r"`[^`\n]*`|\b\w*(?:_\w+|[^\W\d_A-Z][A-Z])\w*")
 _TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[.!?;\n]")
 
@@ -55,6 +57,13 @@ def term_stream(text: str | None) -> list[str]:
     return ["" if t in ".!?;\n" else t for t in _TERM.findall(_CODE.sub(" ", text or "").lower())]
 
 
+def _term_ids(terms: list[str]) -> np.ndarray:
+    """32-bit hashes of terms; 0 for "", where a sentence ends; terms of one letter fall away."""
+    h = (_hasher(terms) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if terms else np.empty(0, np.uint32)
+    whole = np.fromiter((len(t) for t in terms), dtype=np.int64, count=len(terms))
+    return np.where(whole == 0, np.uint32(0), np.maximum(h, 1))[whole != 1].astype(np.uint32)
+
+
 @dataclass
 class Evidence:
     """Weights of terms for subjects and what is expected of each language."""
@@ -328,61 +337,63 @@ def subject_areas(
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "source").filter("doc_id IS NOT NULL")
     base = spread(base)
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = Counter(), 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                df.update(set(term_stream(text)))
-                n += 1
-            if len(df) > 2_000_000:  # keeps a worker's memory bounded; counts add up all the same
-                yield pd.DataFrame({"term": list(df.keys()), "df": list(df.values())})
-                df = Counter()
-        df["\n"] = n
-        yield pd.DataFrame({"term": list(df.keys()), "df": list(df.values())})
-
-    df = written(base.select("text").mapInPandas(words, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "terms")
-    total = df.filter(F.col("term") == "\n").agg(F.sum("df")).first()[0] or 0
-    chosen = df.filter((F.length("term") > 1) & (F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(float(min_df)), F.lit(max_share * total))))
-    vocabulary = [r[0] for r in chosen.orderBy(F.desc("df"), "term").limit(max_terms).select("term").collect()]
-    fixed = sorted({t for text in (SEEDS if seeds is None else seeds).values() for t in text.split()})
-    vocabulary = list(dict.fromkeys([r[0] for r in df.filter(F.col("term").isin(fixed)).select("term").orderBy("term").collect()] + vocabulary))
-    index = {t: j for j, t in enumerate(vocabulary)}
-    seed = np.zeros((len(vocabulary), k))
-    for s, text in (SEEDS if seeds is None else seeds).items():
-        for t in text.split():
-            if t in index and s.strip().lower() in known:
-                seed[index[t], known[s.strip().lower()]] = 1.0
-    ids = spark.sparkContext.broadcast(index)
-
     case = F.create_map(*[x for s, j in known.items() for x in (F.lit(s), F.lit(1 << j))])
     mask = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.try_element_at(case, F.lower(F.trim("subject"))).alias("bit"))
     mask = mask.dropna().groupBy("doc_id").agg(F.bit_or("bit").cast("long").alias("mask"))
 
-    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = ids.value
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             packed, chars, code, marked, source = [], [], [], [], []
             for text, s in zip(pdf["text"], pdf["source"]):
                 text = text or ""
-                out, last = [], -1
-                for t in term_stream(text):
-                    if not t:
-                        if last != -1:
-                            out.append(-1)
-                        last = -1
-                    elif (j := at.get(t)) is not None:
-                        out.append(j)
-                        last = j
-                packed.append(np.array([*out, -1], dtype=np.int32).tobytes())
+                h = _term_ids(term_stream(text))
+                packed.append(h[(h != 0) | (np.append(0, h[:-1]) != 0)].tobytes() if len(h) else b"")
                 lines = text.split("\n")
                 chars.append(float(len(text)))
                 code.append(sum(x[:1] in " \t" and bool(x.strip()) for x in lines) / len(lines))
                 marked.append(sum(x[:1] in "#-*>@$" and bool(x) for x in lines) / len(lines))
                 source.append(xxhash.xxh3_64_intdigest(s if isinstance(s, str) else "") % SOURCES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "stream": packed, "chars": chars, "code": code, "marked": marked, "source": source})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "terms": packed, "chars": chars, "code": code, "marked": marked, "source": source})
 
-    rows = base.mapInPandas(streams, "doc_id long, lang string, stream binary, chars double, code double, marked double, source int")
-    rows = written(rows.join(mask, "doc_id", "left"), "streams")
+    texts = base.mapInPandas(read, "doc_id long, lang string, terms binary, chars double, code double, marked double, source int")
+    texts = written(texts.join(mask, "doc_id", "left"), "texts")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in pdf["terms"]]
+            term, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint32), return_counts=True)
+            yield pd.DataFrame({"term": term.astype(np.int64), "df": n.astype(np.int64)})
+
+    total = texts.count()
+    df = written(texts.select("terms").mapInPandas(count, "term long, df long").filter("term <> 0").groupBy("term").agg(F.sum("df").alias("df")), "terms")
+    fixed = {s: _term_ids(text.split()).astype(np.int64).tolist() for s, text in (SEEDS if seeds is None else seeds).items()}
+    chosen = df.filter((F.col("df") >= min_df) & (F.col("df") <= max(float(min_df), max_share * total)))
+    vocabulary = [r[0] for r in chosen.orderBy(F.desc("df"), "term").limit(max_terms).select("term").collect()]
+    seen = [r[0] for r in df.filter(F.col("term").isin(sorted({t for ts in fixed.values() for t in ts}))).select("term").orderBy("term").collect()]
+    vocabulary = list(dict.fromkeys(seen + vocabulary))
+    index = {t: j for j, t in enumerate(vocabulary)}
+    seed = np.zeros((len(vocabulary), k))
+    for s, terms in fixed.items():
+        for t in terms:
+            if t in index and s.strip().lower() in known:
+                seed[index[t], known[s.strip().lower()]] = 1.0
+    order = np.argsort(np.array(vocabulary, dtype=np.int64))
+    ids = spark.sparkContext.broadcast((np.array(vocabulary, dtype=np.int64)[order], order.astype(np.int32)))
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, number = ids.value
+        for pdf in batches:
+            packed = []
+            for raw in pdf["terms"]:
+                h = np.frombuffer(raw, np.uint32).astype(np.int64)
+                at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+                hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+                j = np.where(hit, number[at] if len(terms) else 0, -1).astype(np.int32)[hit | (h == 0)]
+                j = np.append(j, np.int32(-1))
+                packed.append(j[(j >= 0) | (np.append(0, j[:-1]) >= 0)].tobytes())
+            yield pdf.drop(columns="terms").assign(stream=packed)[["doc_id", "lang", "stream", "chars", "code", "marked", "source", "mask"]]
+
+    rows = written(texts.mapInPandas(numbered, "doc_id long, lang string, stream binary, chars double, code double, marked double, source int, mask long"), "streams")
     ev = learn_evidence(rows, Evidence(names, seed), rounds)
 
     labelled = rows.filter("mask IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(max_labelled).toPandas()
