@@ -131,46 +131,51 @@ def posterior(ev: Evidence, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray,
 
 
 def learn_evidence(rows: DataFrame, ev: Evidence, rounds: int) -> Evidence:
-    """Rounds of statistics over all documents; the driver holds one row a term of the bounded vocabulary."""
+    """Rounds of statistics over all documents; the driver holds one row a term of the bounded vocabulary, and its count a language.
+
+    One pass a round: partitions give the subject weights of each term, its count
+    in each language, and the subject weights of each language (term -1).
+    """
     spark, k, v = rows.sparkSession, len(ev.subjects), len(ev.seed)
-    names = [f"c{j}" for j in range(k)] + [f"e{j}" for j in range(k)]
-    schema = "term long, n double, " + ", ".join(f"{x} double" for x in names)
+    names = [f"c{j}" for j in range(k)]
+    schema = "term long, lang string, n double, " + ", ".join(f"{x} double" for x in names)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(ev)
 
-        def langs(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            total: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                z, use, _, _ = posterior(shared.value, pdf)
-                for g, part in pd.Series(np.arange(len(pdf))[use]).groupby(pdf["lang"].to_numpy()[use]):
-                    total[g] = total.get(g, 0) + np.append(z[part.to_numpy()].sum(axis=0), len(part))
-            yield pd.DataFrame([(g, *x) for g, x in total.items()], columns=["lang", *[f"c{j}" for j in range(k)], "n"])
-
-        got = rows.mapInPandas(langs, "lang string, " + ", ".join(f"c{j} double" for j in range(k)) + ", n double")
-        got = got.groupBy("lang").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)], F.sum("n").alias("n")).collect()
-        whole = sum((np.array([r[f"c{j}"] for j in range(k)]) for r in got), np.zeros(k))
-        priors = {r["lang"]: (np.array([r[f"c{j}"] for j in range(k)]) + 1) / (r["n"] + k) for r in got}
-        priors[""] = (whole + 1) / (whole.sum() + k)
-        expect = spark.sparkContext.broadcast(Evidence(ev.subjects, ev.seed[:0], priors=priors))
-
-        def count(batches: Iterator[pd.DataFrame], shared=shared, expect=expect) -> Iterator[pd.DataFrame]:
-            n, c, e = np.zeros(v), np.zeros((v, k)), np.zeros((v, k))
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            c, by_lang, sums = np.zeros((v, k)), {}, {}
             for pdf in batches:
                 z, use, term, at = posterior(shared.value, pdf)
+                code, langs = pd.factorize(pdf["lang"])
                 ok = use[at]
                 term, at = term[ok], at[ok]
-                prior = expect.value.prior(pdf["lang"].tolist())
-                n += np.bincount(term, minlength=v)
                 for j in range(k):
                     c[:, j] += np.bincount(term, weights=z[at, j], minlength=v)
-                    e[:, j] += np.bincount(term, weights=prior[at, j], minlength=v)
-            live = np.flatnonzero(n)
-            yield pd.DataFrame({"term": live, "n": n[live]} | {f"c{j}": c[live, j] for j in range(k)} | {f"e{j}": e[live, j] for j in range(k)})
-
-        stats = rows.mapInPandas(count, schema).groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toPandas()
+                for g, lang in enumerate(langs):
+                    by_lang[lang] = by_lang.get(lang, 0) + np.bincount(term[code[at] == g], minlength=v)
+                    own = use & (code == g)
+                    sums[lang] = sums.get(lang, 0) + np.append(own.sum(), z[own].sum(axis=0))
+            if not sums:
+                return
+            live = np.flatnonzero(c.any(axis=1))
+            yield pd.DataFrame({"term": live, "lang": None, "n": 0.0} | {f"c{j}": c[live, j] for j in range(k)})
+            for lang, n in by_lang.items():
+                live = np.flatnonzero(n)
+                yield pd.DataFrame({"term": live, "lang": lang, "n": n[live].astype(float)} | dict.fromkeys(names, 0.0))
+            yield pd.DataFrame([(-1, lang, *x) for lang, x in sums.items()], columns=["term", "lang", "n", *names])
+
+        stats = rows.mapInPandas(count, schema).groupBy("term", "lang").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toPandas()
+        whole, per = stats[stats["term"] < 0], stats[(stats["term"] >= 0) & stats["lang"].notna()]
+        priors = {r["lang"]: (r[names].to_numpy(dtype=float) + 1) / (r["n"] + k) for _, r in whole.iterrows()}
+        total = whole[names].to_numpy(dtype=float).sum(axis=0)
+        priors[""] = (total + 1) / (total.sum() + k)
         n, c, e = np.zeros(v), np.zeros((v, k)), np.zeros((v, k))
-        t = stats["term"].to_numpy()
-        n[t], c[t], e[t] = stats["n"], stats[[f"c{j}" for j in range(k)]], stats[[f"e{j}" for j in range(k)]]
+        own = stats[(stats["term"] >= 0) & stats["lang"].isna()]
+        c[own["term"].to_numpy(dtype=int)] = own[names].to_numpy(dtype=float)
+        for lang, part in per.groupby("lang"):
+            t, m = part["term"].to_numpy(dtype=int), part["n"].to_numpy(dtype=float)
+            n[t] += m
+            e[t] += m[:, None] * priors[lang]
         e = (e + 0.1) / (n + 0.1 * k)[:, None]
         p = (c + 2 * e) / (n + 2)[:, None]
         gain = (p * np.log(p / e)).sum(axis=1)
