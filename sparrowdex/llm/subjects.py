@@ -146,15 +146,17 @@ def learn_evidence(rows: DataFrame, ev: Evidence, rounds: int) -> Evidence:
             c, by_lang, sums = np.zeros((v, k)), {}, {}
             for pdf in batches:
                 z, use, term, at = posterior(shared.value, pdf)
+                share = pdf["share"].to_numpy()
                 code, langs = pd.factorize(pdf["lang"])
                 ok = use[at]
                 term, at = term[ok], at[ok]
                 for j in range(k):
-                    c[:, j] += np.bincount(term, weights=z[at, j], minlength=v)
+                    c[:, j] += np.bincount(term, weights=z[at, j] * share[at], minlength=v)
                 for g, lang in enumerate(langs):
-                    by_lang[lang] = by_lang.get(lang, 0) + np.bincount(term[code[at] == g], minlength=v)
+                    here = code[at] == g
+                    by_lang[lang] = by_lang.get(lang, 0) + np.bincount(term[here], weights=share[at[here]], minlength=v)
                     own = use & (code == g)
-                    sums[lang] = sums.get(lang, 0) + np.append(own.sum(), z[own].sum(axis=0))
+                    sums[lang] = sums.get(lang, 0) + share[own] @ np.column_stack([np.ones(own.sum()), z[own]])
             if not sums:
                 return
             live = np.flatnonzero(c.any(axis=1))
@@ -318,7 +320,7 @@ def subject_areas(
     max_labelled: int = 20000,
     rounds: int = 4,
     min_df: int = 2,
-    max_share: float = 0.15,
+    max_share: float | None = None,
     seeds: dict[str, str] | None = None,
 ) -> DataFrame:
     """(doc_id, subject): one or two subjects for every document.
@@ -328,8 +330,10 @@ def subject_areas(
     unknown ones and labels of unknown documents count for nothing.  A null or
     empty text gets the subject that is most likely without any evidence; rows
     without an id get none; a repeated id gets the subjects of each of its texts.
-    The vocabulary holds the max_terms most frequent words of at least min_df and
-    at most max_share of the documents, and the seed words; the links are fitted on at most
+    Copies of one text count together as one document, in the vocabulary and in the
+    statistics.  The vocabulary holds the seed words and the max_terms most frequent
+    words of at least min_df documents (at most max_share of them, if given); words
+    common to all subjects get no weight.  The links are fitted on at most
     max_labelled labelled documents, all else comes from all documents.
     """
     spark = docs.sparkSession
@@ -348,9 +352,10 @@ def subject_areas(
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            packed, chars, code, marked, source = [], [], [], [], []
+            packed, chars, code, marked, source, key = [], [], [], [], [], []
             for text, s in zip(pdf["text"], pdf["source"]):
                 text = text or ""
+                key.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
                 h = _term_ids(term_stream(text))
                 packed.append(h[(h != 0) | (np.append(0, h[:-1]) != 0)].tobytes() if len(h) else b"")
                 lines = text.split("\n")
@@ -358,21 +363,26 @@ def subject_areas(
                 code.append(sum(x[:1] in " \t" and bool(x.strip()) for x in lines) / len(lines))
                 marked.append(sum(x[:1] in "#-*>@$" and bool(x) for x in lines) / len(lines))
                 source.append(xxhash.xxh3_64_intdigest(s if isinstance(s, str) else "") % SOURCES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "terms": packed, "chars": chars, "code": code, "marked": marked, "source": source})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "terms": packed, "chars": chars, "code": code, "marked": marked, "source": source, "key": key})
 
-    texts = base.mapInPandas(read, "doc_id long, lang string, terms binary, chars double, code double, marked double, source int")
+    texts = base.mapInPandas(read, "doc_id long, lang string, terms binary, chars double, code double, marked double, source int, key long")
     texts = written(texts.join(mask, "doc_id", "left"), "texts")
+    copies = texts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    texts = texts.join(written(copies, "copies"), "key", "left").withColumn("share", 1 / F.coalesce("members", F.lit(1))).drop("key", "members")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = [np.unique(np.frombuffer(x, np.uint32)) for x in pdf["terms"]]
-            term, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint32), return_counts=True)
-            yield pd.DataFrame({"term": term.astype(np.int64), "df": n.astype(np.int64)})
+            term, at = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint32), return_inverse=True)
+            n = np.bincount(at, weights=np.repeat(pdf["share"].to_numpy(), [len(x) for x in parts]), minlength=len(term))
+            yield pd.DataFrame({"term": term.astype(np.int64), "df": n})
 
-    total = texts.count()
-    df = written(texts.select("terms").mapInPandas(count, "term long, df long").filter("term <> 0").groupBy("term").agg(F.sum("df").alias("df")), "terms")
+    df = written(texts.select("terms", "share").mapInPandas(count, "term long, df double").filter("term <> 0").groupBy("term").agg(F.round(F.sum("df"), 6).alias("df")), "terms")
     fixed = {s: _term_ids(text.split()).astype(np.int64).tolist() for s, text in (SEEDS if seeds is None else seeds).items()}
-    chosen = df.filter((F.col("df") >= min_df) & (F.col("df") <= max(float(min_df), max_share * total)))
+    chosen = df.filter(F.col("df") >= min_df)
+    if max_share is not None:
+        total = texts.agg(F.sum("share")).first()[0] or 0
+        chosen = chosen.filter(F.col("df") <= max(float(min_df), max_share * total))
     vocabulary = [r[0] for r in chosen.orderBy(F.desc("df"), "term").limit(max_terms).select("term").collect()]
     seen = [r[0] for r in df.filter(F.col("term").isin(sorted({t for ts in fixed.values() for t in ts}))).select("term").orderBy("term").collect()]
     vocabulary = list(dict.fromkeys(seen + vocabulary))
@@ -396,9 +406,9 @@ def subject_areas(
                 j = np.where(hit, number[at] if len(terms) else 0, -1).astype(np.int32)[hit | (h == 0)]
                 j = np.append(j, np.int32(-1))
                 packed.append(j[(j >= 0) | (np.append(0, j[:-1]) >= 0)].tobytes())
-            yield pdf.drop(columns="terms").assign(stream=packed)[["doc_id", "lang", "stream", "chars", "code", "marked", "source", "mask"]]
+            yield pdf.drop(columns="terms").assign(stream=packed)[["doc_id", "lang", "stream", "chars", "code", "marked", "source", "mask", "share"]]
 
-    rows = written(texts.mapInPandas(numbered, "doc_id long, lang string, stream binary, chars double, code double, marked double, source int, mask long"), "streams")
+    rows = written(texts.mapInPandas(numbered, "doc_id long, lang string, stream binary, chars double, code double, marked double, source int, mask long, share double"), "streams")
     ev = learn_evidence(rows, Evidence(names, seed), rounds)
 
     labelled = rows.filter("mask IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(max_labelled).toPandas()

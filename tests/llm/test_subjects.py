@@ -48,6 +48,32 @@ def test_held_out(spark):
     assert set(got) == set(truth) and all(1 <= len(s) <= 2 for s in got.values())
 
 
+def test_shares_of_a_third(spark):
+    """A third of all rows copies of one text, and more than a third of the others about one subject, with the production parameters."""
+    rng = random.Random(4)
+    names = ["law", "music", "travel", "pottery", "falconry"]
+    words = WORDS | {"pottery": "kiln glaze wheel slip bisque clay ash".split(), "falconry": "hood jess lure perch talon mews glove".split()}
+    filler = "the cache loads every block it meets and then leaves the index alone".split()
+    seeds = {n: words[n][0] for n in names}
+
+    def text(own):
+        lines = [" ".join(rng.sample(words[own][1:], 3)) + " " + " ".join(rng.sample(filler, 6)) + "." for _ in range(6)]
+        return "\n".join(lines + [seeds[own] + "."] * (rng.random() < 0.4))
+
+    truth = {i: names[0] if i % 5 < 2 else names[i % 5] if i % 10 != 9 else names[1] for i in range(240)}
+    docs = [(i, text(s), "en", "s") for i, s in truth.items()]
+    copied = "\n".join(" ".join(words["music"][k:] + words["music"][1:k] + filler) + "." for k in range(1, 6))
+    docs += [(1000 + i, copied, "en", "s") for i in range(120)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, subject string")
+    subjects = spark.createDataFrame([(n,) for n in names], "subject string")
+    got = {}
+    for r in subject_areas(d, labels, subjects, seeds=seeds).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert all(got[i] == {"music"} for i in range(1000, 1120))
+    assert np.mean([got[i] == {s} for i, s in truth.items()]) > 0.9
+
+
 def test_edges(spark):
     docs, _ = corpus(30)
     docs += [(500, None, None, None), (501, "", "EN ", ""), (None, "violin", "en", "s"), (502, "violin " * 50_000, "en", "s1")]
