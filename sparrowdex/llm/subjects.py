@@ -2,27 +2,29 @@
 
 1. Each text is read once, as a stream of hashed terms; vocabulary and term
    statistics come from all documents.
-2. Evidence of terms for subjects is learned from hand labels, a few fixed seed
-   words and all unlabelled documents: rounds of expectation and maximisation in
-   which a term counts for a subject as far as its documents' subjects differ
-   from what their language alone would let expect.
+2. Evidence of terms for subjects starts from the hand labels alone.  Rounds over
+   all documents extend it: a term counts for a subject as far as the subjects of
+   its documents differ from what their language alone would let expect, and each
+   document counts as far as the evidence so far is clear about it.
 3. A chain of logistic links, one a subject in order of frequency, is fitted on
-   labelled documents: evidence, its spread over the text, its share against the
+   labelled documents.  Each link has weights of its own, shrunk towards weights
+   in common: evidence, its spread over the text and its share against the
    strongest subject, source and structure of the text, the labels of earlier
-   links and how often they occur together.
-4. Probabilities are calibrated, also for annotators that name only one of two
-   subjects, and a beam search decodes the likeliest combination of labels.
+   links.  The evidence of a labelled document is taken without its own share in
+   the statistics, so that links see what they will see on other documents.
+4. Probabilities are calibrated on labels that the links were not fitted on, and a
+   beam search decodes the likeliest combination of labels.
 
 The model has a bounded size (max_terms terms times subjects); each round reads
-a compact table of term ids and merges one row a term and partition.
+a compact table of term ids and merges one row a term and task, with a number of
+tasks that does not grow with the data.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,21 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.llm.hashing import TokenHasher
-from sparrowdex.runtime import spread, written
-
-# A few common words of each subject in four languages.
-SEEDS = {
-    "software": "compiler debugger runtime repository kernel programmierung datenbank compilador depurador servidor biblioteca compilateur débogueur serveur logiciel bibliothèque",
-    "science": "molecule telescope experiment genome isotope molekül teleskop genom labor galaxie molécula telescopio experimento laboratorio molécule télescope expérience génome laboratoire",
-    "law": "plaintiff verdict statute attorney tribunal klage vertrag zeuge urteil gericht demanda sentencia ley testigo juez plainte jugement loi témoin juge",
-    "sport": "goalkeeper referee league stadium marathon torwart schiedsrichter liga stadion turnier portero árbitro estadio torneo entrenador arbitre championnat stade tournoi",
-    "finance": "dividend mortgage creditor broker portfolio bilanz kredit zinsen steuer rechnung crédito interés impuesto factura hipoteca bilan crédit intérêt impôt facture",
-    "medicine": "patient surgery vaccine diagnosis symptom chirurgie impfung diagnose klinik blutdruck paciente cirugía vacuna diagnóstico clínica vaccin diagnostic clinique symptôme infirmière",
-    "cooking": "recipe oven dough saucepan garlic rezept backofen teig pfanne knoblauch receta horno masa sartén ajo recette four pâte poêle ail",
-    "music": "orchestra violin melody sonata rhythm orchester geige melodie strophe chor orquesta violín melodía estrofa coro orchestre violon mélodie refrain chœur",
-    "agriculture": "harvest livestock tractor fertilizer irrigation ernte vieh traktor dünger acker cosecha ganado abono riego suelo récolte bétail tracteur engrais verger",
-    "travel": "airport passport luggage hostel itinerary flughafen reisepass gepäck herberge fahrkarte aeropuerto pasaporte equipaje albergue billete aéroport passeport bagage auberge billet",
-}
+from sparrowdex.runtime import dropped, spread, written
 
 _hasher = TokenHasher()
 _CODE = re.compile(r"`[^`\n]*`|\b\w*(?:_\w+|[^\W\d_A-Z][A-Z])\w*")
@@ -58,26 +46,20 @@ def term_stream(text: str | None) -> list[str]:
 
 
 def _term_ids(terms: list[str]) -> np.ndarray:
-    """32-bit hashes of terms; 0 for "", where a sentence ends; terms of one letter fall away."""
-    h = (_hasher(terms) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if terms else np.empty(0, np.uint32)
+    """64-bit hashes of terms; 0 for "", where a sentence ends; terms of one letter fall away."""
+    h = _hasher(terms) if terms else np.empty(0, np.uint64)
     whole = np.fromiter((len(t) for t in terms), dtype=np.int64, count=len(terms))
-    return np.where(whole == 0, np.uint32(0), np.maximum(h, 1))[whole != 1].astype(np.uint32)
+    return np.where(whole == 0, np.uint64(0), np.maximum(h, np.uint64(1)))[whole != 1]
 
 
 @dataclass
 class Evidence:
-    """Weights of terms for subjects and what is expected of each language."""
+    """Weights of terms for subjects, the subject that owns a term (-1 for none), and the statistics they come from."""
 
-    subjects: list[str]
-    seed: np.ndarray
-    weight: np.ndarray | None = None
-    owner: np.ndarray | None = None
-    priors: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def prior(self, lang: list[str]) -> np.ndarray:
-        k = len(self.subjects)
-        flat = self.priors.get("", np.full(k, 1.0 / k))
-        return np.vstack([self.priors.get(g, flat) for g in lang]) if lang else np.empty((0, k))
+    weight: np.ndarray
+    owner: np.ndarray
+    counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+    least: float
 
 
 def _unpack(pdf: pd.DataFrame):
@@ -103,238 +85,285 @@ def _sum_by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _marks(mask: np.ndarray, k: int) -> np.ndarray:
+    """Given subjects of each row as weights that sum to 1, all zero without any."""
     m = mask.astype(np.int64)
     y = np.stack([(m >> j) & 1 for j in range(k)], axis=1).astype(np.float64) if len(m) else np.empty((0, k))
     return y / np.maximum(y.sum(1, keepdims=True), 1)
 
 
-def posterior(ev: Evidence, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Subject weights of each text of a batch, whether it is used, and its distinct terms and their rows."""
-    k, v, n = len(ev.subjects), len(ev.seed), len(pdf)
+def weigh(c: np.ndarray, n: np.ndarray, priors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and owners of terms, from their documents by subject (terms, subjects) and by language (terms, languages).
+
+    A term is topical where its subjects differ from those of its documents'
+    languages by a likelihood ratio of at least `least` and by a fifth of the most that is possible a document.
+    """
+    k, total = c.shape[1], n.sum(axis=1)
+    e = (n @ priors + 0.1) / (total + 0.1 * k)[:, None]
+    p = (c + 2 * e) / (total + 2)[:, None]
+    gain = (p * np.log(p / e)).sum(axis=1)
+    topical = (gain > 0.2 * np.log(max(k, 2))) & (2 * total * gain > least)
+    weight = np.where(topical[:, None], np.log(np.maximum(p, 0.01) / np.maximum(e, 0.01)), 0.0)
+    return weight, np.where(topical & (p.max(axis=1) > 0.5), p.argmax(axis=1), -1)
+
+
+def _evidence(c: np.ndarray, n: np.ndarray, whole: np.ndarray, least: float) -> Evidence:
+    """Evidence from the statistics; whole: (languages, subjects), the documents of each."""
+    total = whole.sum(axis=0)
+    flat = (total + 1) / (total.sum() + len(total))
+    priors = (whole + 4 * flat) / (whole.sum(axis=1, keepdims=True) + 4)
+    return Evidence(*weigh(c, n, priors, least), (c, n, priors), least)
+
+
+def posterior(ev: Evidence | None, pdf: pd.DataFrame, k: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Subject weights of each text of a batch, how far it counts, and its distinct terms and their rows.
+
+    Without evidence only labelled texts count.  With it a text counts the more,
+    the more terms of its strongest subject it has and the clearer that subject is.
+    """
+    n = len(pdf)
     flat, row, _ = _unpack(pdf)
     term, at = _distinct(flat, row, v)
     given = _marks(pdf["mask"].fillna(0).to_numpy(), k)
     has = given.sum(1) > 0
-    if ev.weight is None:
-        votes = _sum_by_row(ev.seed[term], at, n)
-        any_vote = votes.sum(1) > 0
-        z = votes / np.maximum(votes.sum(1, keepdims=True), 1)
-        z[has] = np.where(any_vote[has][:, None], 0.5 * z[has] + 0.5 * given[has], given[has])
-        return z, any_vote | has, term, at
-    score = _sum_by_row(ev.weight[term], at, n) + np.log(ev.prior(pdf["lang"].tolist()))
+    if ev is None:
+        return given, has.astype(float), term, at
+    score = _sum_by_row(ev.weight[term], at, n)
     e = np.exp(score - score.max(axis=1, keepdims=True))
     z = e / e.sum(axis=1, keepdims=True)
-    hits = np.bincount(at, weights=(ev.owner[term] >= 0), minlength=n)
-    use = (hits >= 2) & (z.max(axis=1) > 0.7)
+    own = ev.owner[term]
+    hits = np.bincount(at[own >= 0] * k + own[own >= 0], minlength=n * k).reshape(n, k).max(axis=1) if n else np.zeros(0)
+    use = (1 - np.exp(-hits / 2)) * np.clip((z.max(axis=1) - 0.3) / 0.7, 0, 1)
     z[has] = 0.3 * given[has] + 0.7 * z[has]
-    return z, use | has, term, at
+    use[has] = 1.0
+    return z, use, term, at
 
 
-def learn_evidence(rows: DataFrame, ev: Evidence, rounds: int) -> Evidence:
-    """Rounds of statistics over all documents; the driver holds one row a term of the bounded vocabulary, and its count a language.
+def statistics(ev: Evidence | None, pdf: pd.DataFrame, k: int, v: int, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of each term by subject and by language, and of each language by subject."""
+    z, use, term, at = posterior(ev, pdf, k, v)
+    w, lang = use * pdf["share"].to_numpy(), pdf["lang"].to_numpy()
+    c = np.stack([np.bincount(term, weights=z[at, j] * w[at], minlength=v) for j in range(k)], axis=1)
+    n = np.bincount(term * langs + lang[at], weights=w[at], minlength=v * langs).reshape(v, langs)
+    return c, n, np.stack([np.bincount(lang, weights=z[:, j] * w, minlength=langs) for j in range(k)], axis=1)
 
-    One pass a round: partitions give the subject weights of each term, its count
-    in each language, and the subject weights of each language (term -1).
+
+def learn_evidence(rows: DataFrame, ev: Evidence, rounds: int, least: float, tasks: int) -> tuple[Evidence, Evidence]:
+    """The evidence after rounds of statistics over all documents, and the one before the last round.
+
+    Every task gives one row a term it saw, with its documents by subject and
+    language, and one a language; `tasks` bounds their number, whatever the data.
     """
-    spark, k, v = rows.sparkSession, len(ev.subjects), len(ev.seed)
-    names = [f"c{j}" for j in range(k)]
-    schema = "term long, lang string, n double, " + ", ".join(f"{x} double" for x in names)
+    spark, before = rows.sparkSession, ev
+    (v, k), langs = ev.weight.shape, ev.counts[2].shape[0]
+    names = [f"c{j}" for j in range(k)] + [f"n{g}" for g in range(langs)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(ev)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            c, by_lang, sums = np.zeros((v, k)), {}, {}
+            all_c, all_n, all_whole = np.zeros((v, k)), np.zeros((v, langs)), np.zeros((langs, k))
             for pdf in batches:
-                z, use, term, at = posterior(shared.value, pdf)
-                share = pdf["share"].to_numpy()
-                code, langs = pd.factorize(pdf["lang"])
-                ok = use[at]
-                term, at = term[ok], at[ok]
-                for j in range(k):
-                    c[:, j] += np.bincount(term, weights=z[at, j] * share[at], minlength=v)
-                for g, lang in enumerate(langs):
-                    here = code[at] == g
-                    by_lang[lang] = by_lang.get(lang, 0) + np.bincount(term[here], weights=share[at[here]], minlength=v)
-                    own = use & (code == g)
-                    sums[lang] = sums.get(lang, 0) + share[own] @ np.column_stack([np.ones(own.sum()), z[own]])
-            if not sums:
-                return
-            live = np.flatnonzero(c.any(axis=1))
-            yield pd.DataFrame({"term": live, "lang": None, "n": 0.0} | {f"c{j}": c[live, j] for j in range(k)})
-            for lang, n in by_lang.items():
-                live = np.flatnonzero(n)
-                yield pd.DataFrame({"term": live, "lang": lang, "n": n[live].astype(float)} | dict.fromkeys(names, 0.0))
-            yield pd.DataFrame([(-1, lang, *x) for lang, x in sums.items()], columns=["term", "lang", "n", *names])
-
-        stats = rows.mapInPandas(count, schema).groupBy("term", "lang").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toPandas()
-        whole, per = stats[stats["term"] < 0], stats[(stats["term"] >= 0) & stats["lang"].notna()]
-        priors = {r["lang"]: (r[names].to_numpy(dtype=float) + 1) / (r["n"] + k) for _, r in whole.iterrows()}
-        total = whole[names].to_numpy(dtype=float).sum(axis=0)
-        priors[""] = (total + 1) / (total.sum() + k)
-        n, c, e = np.zeros(v), np.zeros((v, k)), np.zeros((v, k))
-        own = stats[(stats["term"] >= 0) & stats["lang"].isna()]
-        c[own["term"].to_numpy(dtype=int)] = own[names].to_numpy(dtype=float)
-        for lang, part in per.groupby("lang"):
-            t, m = part["term"].to_numpy(dtype=int), part["n"].to_numpy(dtype=float)
-            n[t] += m
-            e[t] += m[:, None] * priors[lang]
-        e = (e + 0.1) / (n + 0.1 * k)[:, None]
-        p = (c + 2 * e) / (n + 2)[:, None]
-        gain = (p * np.log(p / e)).sum(axis=1)
-        topical = (gain > 0.5) & (2 * n * gain > 10)
-        weight = np.where(topical[:, None], np.log(np.maximum(p, 0.01) / np.maximum(e, 0.01)), 0.0) + ev.seed
-        seeded = ev.seed.sum(axis=1) > 0
-        owner = np.where(topical & (p.max(axis=1) > 0.5), p.argmax(axis=1), np.where(seeded, ev.seed.argmax(axis=1), -1))
-        ev = Evidence(ev.subjects, ev.seed, weight, owner, priors)
-    return ev
-
-
-SOURCES = 8
-
-
-def features(ev: Evidence, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, subjects, features) for the links without what earlier links decide, and the mentions of each subject."""
-    k, n = len(ev.subjects), len(pdf)
+                if len(pdf):
+                    c, n, whole = statistics(shared.value, pdf, k, v, langs)
+                    all_c += c
+                    all_n += n
+                    all_whole += whole
+            live = np.flatnonzero(all_n.any(axis=1))
+            body = np.concatenate([all_c[live], all_n[live]], axis=1)
+            head = np.concatenate([all_whole, np.zeros((langs, langs))], axis=1)
+            out = pd.DataFrame(np.concatenate([head, body]), columns=names)
+            out.insert(0, "term", np.concatenate([-1 - np.arange(langs), live]))
+            yield out
+
+        stats = rows.coalesce(tasks).mapInPandas(count, "term long, " + ", ".join(f"{x} double" for x in names))
+        stats = stats.groupBy("term").agg(*[F.sum(x).alias(x) for x in names]).toPandas()  # at most max_terms and langs rows
+        shared.unpersist()
+        term, got = stats["term"].to_numpy(), stats[names].to_numpy()
+        whole, full = np.zeros((langs, k)), np.zeros((v, k + langs))
+        whole[-1 - term[term < 0]] = got[term < 0][:, :k]
+        full[term[term >= 0]] = got[term >= 0]
+        before, ev = ev, _evidence(full[:, :k], full[:, k:], whole, least)
+    return ev, before
+
+
+#: Features of a subject in a text, and of the text itself; after them the sources and the labels of earlier links.
+PER, FIRST, TEXT = 9, 7, 4
+
+
+def features(ev: Evidence, pdf: pd.DataFrame, sources: dict[str, int], before: Evidence | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, subjects, features) for the links without what earlier links decide, and the mentions of each subject.
+
+    With `before`, the evidence of the round before, the share that a text has
+    itself in the statistics of ev is taken out for that text.
+    """
+    (v, k), n = ev.weight.shape, len(pdf)
     flat, row, sentence = _unpack(pdf)
-    own = ev.owner[flat]
-    ok = own >= 0
-    flat, row, sentence, own = flat[ok], row[ok], sentence[ok], own[ok]
-    count = np.bincount(row * k + own, minlength=n * k).reshape(n, k).astype(float)
-    v = max(1, len(ev.seed))
-    kinds = np.unique(row * v + flat)
-    kinds = np.bincount((kinds // v) * k + ev.owner[kinds % v], minlength=n * k).reshape(n, k)
-    said = np.unique((sentence * k + own) * 1 + 0, return_index=True)[1]
-    said = np.bincount(row[said] * k + own[said], minlength=n * k).reshape(n, k)
+    if before is None:
+        term, at = _distinct(flat, row, v)
+        weight, own = ev.weight[term], ev.owner[term]
+    else:
+        z, use, term, at = posterior(before if before is not ev else None, pdf, k, v)
+        w, lang = use * pdf["share"].to_numpy(), pdf["lang"].to_numpy()
+        c, by_lang, priors = ev.counts
+        c, by_lang = c[term] - z[at] * w[at, None], by_lang[term].copy()
+        by_lang[np.arange(len(at)), lang[at]] -= w[at]
+        weight, own = weigh(np.maximum(c, 0), np.maximum(by_lang, 0), priors, ev.least)
+    score = _sum_by_row(weight, at, n)
+    mark = own[np.searchsorted(at * v + term, row * v + flat)] if len(flat) else np.empty(0, int)
+    ok = mark >= 0
+    kinds = np.bincount(at[own >= 0] * k + own[own >= 0], minlength=n * k).reshape(n, k)
+    row, sentence, mark = row[ok], sentence[ok], mark[ok]
+    count = np.bincount(row * k + mark, minlength=n * k).reshape(n, k).astype(float)
+    said = np.unique(sentence * k + mark, return_index=True)[1]
+    said = np.bincount(row[said] * k + mark[said], minlength=n * k).reshape(n, k)
     total, top = count.sum(axis=1, keepdims=True), count.max(axis=1, keepdims=True)
     ratio = count / np.maximum(top, 1)
     first = np.zeros((n, k))
-    first[np.arange(n), (count + np.log(ev.prior(pdf["lang"].tolist())) * 1e-3).argmax(axis=1)] = 1
-    text = np.stack([np.log1p(total[:, 0]), np.log1p(pdf["chars"].to_numpy()) / 5, pdf["code"].to_numpy(), pdf["marked"].to_numpy()], axis=1)
-    source = np.zeros((n, SOURCES))
-    source[np.arange(n), pdf["source"].to_numpy()] = 1
-    per = [np.log1p(count), count / np.maximum(total, 1), ratio, ratio * (1 - first), np.log1p(kinds), np.log1p(said), np.minimum(said, 6) / 3 * (1 - first), first]
-    shared = np.concatenate([text, source], axis=1) * 0.3
-    x = np.concatenate([np.stack(per, axis=2), np.repeat(shared[:, None, :], k, axis=1)], axis=2)
-    return x, count
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 40) -> np.ndarray:
-    """Newton steps for a ridge logistic regression; the last column is not shrunk less than others."""
-    w = np.zeros(x.shape[1])
+    first[np.arange(n), (count + 1e-3 * score).argmax(axis=1)] = 1
+    first *= top > 0
+    e = np.exp(np.clip(score - score.max(axis=1, keepdims=True), -60, 0))
+    text = np.stack([np.log1p(total[:, 0]), np.log1p(pdf["chars"].to_numpy()) / 5, pdf["code"].to_numpy(), pdf["marked"].to_numpy()], axis=1) * 0.3
+    source = np.zeros((n, len(sources) + 1))
+    source[np.arange(n), [sources.get(s, len(sources)) for s in pdf["source"]]] = 0.3
+    per = [np.log1p(count), count / np.maximum(total, 1), ratio, ratio * (1 - first), np.log1p(kinds), np.log1p(said), np.minimum(said, 6) / 3 * (1 - first), first, e / e.sum(axis=1, keepdims=True)]
+    both = np.concatenate([text, source], axis=1)
+    return np.concatenate([np.stack(per, axis=2), np.repeat(both[:, None, :], k, axis=1)], axis=2), count
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, around: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
+    """Newton steps for a logistic regression whose weights are drawn towards `around` (else 0)."""
+    around = np.zeros(x.shape[1]) if around is None else around
+    w = around.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - around)
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
 
 @dataclass
 class Chain:
-    """Links in order of frequency: weights common to all links, an own bias each, and calibration."""
+    """Links in order of frequency: own weights of each, of its features, of every earlier label, and a bias; calibration."""
 
     order: list[int]
-    weights: np.ndarray
+    weights: np.ndarray  # (subjects, features)
+    past: np.ndarray  # (subjects, subjects): weight of an earlier label for a link
     bias: np.ndarray
-    together: np.ndarray
-    second: float = 1.0
-
-    def link(self, x: np.ndarray, subject: int, before: np.ndarray) -> np.ndarray:
-        """Calibrated probability of a subject given the labels of earlier links (texts, subjects)."""
-        some = before.sum(axis=1)
-        past = np.stack([some, before @ self.together[:, subject] / np.maximum(some, 1), np.ones(len(x))], axis=1)
-        s = np.concatenate([x[:, subject], past], axis=1) @ self.weights + self.bias[subject]
-        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        first = x[:, subject, 7] > 0
-        return np.clip(np.where(first, p, p / self.second), 1e-6, 1 - 1e-6)
+    scale: np.ndarray
+    shift: np.ndarray
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Logits of all links (texts, subjects), without earlier labels and calibration."""
+        return np.einsum("nkf,kf->nk", x, self.weights) + self.bias
+
+    def link(self, s: np.ndarray, subject: int, labels: np.ndarray) -> np.ndarray:
+        """Calibrated probability of a subject, given the scores and the labels of earlier links (texts, subjects)."""
+        u = (s[:, subject] + labels @ self.past[subject]) * self.scale[subject] + self.shift[subject]
+        return np.clip(1 / (1 + np.exp(-np.clip(u, -30, 30))), 1e-9, 1 - 1e-9)
 
     def decode(self, x: np.ndarray, beam: int = 16, most: int = 2) -> np.ndarray:
         """Labels (texts, subjects) of the likeliest combination of one to `most` subjects, by beam search."""
         n, k = x.shape[0], x.shape[1]
-        states, score = [np.zeros((n, k))], [np.zeros(n)]
-        for subject in self.order:
-            new_states, new_score = [], []
-            for lab, sc in zip(states, score):
-                p = self.link(x, subject, lab)
-                new_states.append(lab)
-                new_score.append(sc + np.log(1 - p))
-                put = lab.copy()
-                put[:, subject] = 1
-                new_states.append(put)
-                new_score.append(np.where(put.sum(axis=1) <= most, sc + np.log(p), -np.inf))
-            s, a = np.stack(new_states), np.stack(new_score)
-            keep = np.argsort(-a, axis=0, kind="stable")[:beam]
-            states = [np.take_along_axis(s, keep[i][None, :, None], axis=0)[0] for i in range(len(keep))]
-            score = [np.take_along_axis(a, keep[i][None, :], axis=0)[0] for i in range(len(keep))]
-        a = np.stack([np.where(lab.sum(axis=1) > 0, sc, -np.inf) for lab, sc in zip(states, score)])
-        best = a.argmax(axis=0)
-        out = np.stack(states)[best, np.arange(n)]
-        none = ~np.isfinite(a.max(axis=0))
-        if none.any():
-            out[none] = x[none, :, 7]
+        s = self.scores(x)
+        labels, score = np.zeros((1, n, k)), np.zeros((1, n))
+        alone = np.zeros((n, k))  # the likeliest single label, which the beam may lose
+        total = np.zeros((n, k))
+        for at, subject in enumerate(self.order):
+            one = np.zeros((n, k))
+            p0 = self.link(s, subject, one)
+            total += np.log(1 - p0)[:, None]
+            alone[:, subject] += np.log(p0) - np.log(1 - p0)
+            for before in self.order[:at]:
+                one[:, before] = 1
+                alone[:, before] += np.log(1 - self.link(s, subject, one)) - np.log(1 - p0)
+                one[:, before] = 0
+            p = np.stack([self.link(s, subject, lab) for lab in labels])
+            put = labels.copy()
+            put[:, :, subject] = 1
+            both = np.concatenate([labels, put])
+            value = np.concatenate([score + np.log(1 - p), np.where(put.sum(axis=2) <= most, score + np.log(p), -np.inf)])
+            keep = np.argsort(-value, axis=0, kind="stable")[:beam]
+            labels, score = np.take_along_axis(both, keep[:, :, None], axis=0), np.take_along_axis(value, keep, axis=0)
+        score = np.where(labels.sum(axis=2) > 0, score, -np.inf)
+        best = score.argmax(axis=0)
+        out = labels[best, np.arange(n)]
+        alone += total
+        better = alone.max(axis=1) > score.max(axis=0) if n else np.zeros(0, bool)
+        out[better] = np.eye(k)[alone[better].argmax(axis=1)]
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0) -> Chain:
-    """Fit the links on labelled texts; labels that the text speaks against altogether are left out as mistakes."""
-    k = y.shape[1]
-    order = list(np.argsort(-y.sum(axis=0), kind="stable"))
-    top = count.max(axis=1)
+def fit_chain(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0, own_ridge: float = 3.0, folds: int = 5) -> Chain:
+    """Fit and calibrate the links on labelled texts; labels that the text speaks against altogether are left out as mistakes."""
+    n, k, f = x.shape
+    order = [int(j) for j in np.argsort(-y.sum(axis=0), kind="stable")]
+    top = count.max(axis=1) if n else np.zeros(0)
     sound = ((y * count).sum(axis=1) >= 0.3 * top) | (top < 3)
-    x, y, count = x[sound], y[sound], count[sound]
-    both = y.T @ y + 0.5
-    alone = np.maximum(y.sum(axis=0), 0.5)
-    together = np.log(both * max(1, len(y)) / (alone[:, None] * alone[None, :]))
-    np.fill_diagonal(together, 0)
-    blocks, marks, owner = [], [], []
-    before = np.zeros_like(y)
-    for subject in order:
-        some = before.sum(axis=1)
-        past = np.stack([some, before @ together[:, subject] / np.maximum(some, 1), np.ones(len(x))], axis=1)
-        blocks.append(np.concatenate([x[:, subject], past], axis=1))
-        marks.append(y[:, subject])
-        owner.append(np.full(len(x), subject))
-        before = before.copy()
-        before[:, subject] = y[:, subject]
-    a, b, o = np.concatenate(blocks), np.concatenate(marks), np.concatenate(owner)
-    own = np.zeros((len(a), k))
-    own[np.arange(len(a)), o] = 0.3  # an own bias shrinks harder than the weights in common
-    w = fit_logistic(np.concatenate([a, own], axis=1), b, ridge)
-    chain = Chain(order, w[: a.shape[1]], 0.3 * w[a.shape[1] :], together)
-    # of a clear second subject, the share that annotators name
-    p = 1 / (1 + np.exp(-np.clip(a @ chain.weights + chain.bias[o], -30, 30)))
-    clear = (a[:, 7] == 0) & (a[:, 3] >= 0.45) & (a[:, 5] >= math.log(4))
-    if clear.sum() >= 3:
-        chain.second = float(np.clip(np.median(p[clear]), 0.3, 1.0))
-    return chain
+    x, y = x[sound], y[sound]
+    place = np.empty(k, dtype=int)
+    place[order] = np.arange(k)
+    earlier = place[None, :] < place[:, None]
+
+    def design(rows: np.ndarray, j: int) -> np.ndarray:
+        past = y[rows] * earlier[j]
+        return np.concatenate([x[rows, j], past.sum(axis=1, keepdims=True), past, np.ones((len(rows), 1))], axis=1)
+
+    def links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        common = fit_logistic(np.concatenate([design(rows, j) for j in range(k)]), np.concatenate([y[rows, j] for j in range(k)]), ridge)
+        return common, np.stack([fit_logistic(design(rows, j), y[rows, j], own_ridge, common) for j in range(k)])
+
+    rows = np.arange(len(x))
+    _, w = links(rows)
+    scale, shift = np.ones(k), np.zeros(k)
+    folds = min(folds, len(x) // 8)
+    if folds > 1:  # probabilities of labels that the links did not see; one fold is enough of many labels
+        held, logits = [], []
+        for fold in range(folds if len(x) < 2000 else 1):
+            _, part = links(rows[rows % folds != fold])
+            out = rows[rows % folds == fold]
+            held.append(out)
+            logits.append(np.stack([design(out, j) @ part[j] for j in range(k)], axis=1))
+        held, logits = np.concatenate(held), np.clip(np.concatenate(logits), -12, 12)
+        each = np.stack([logits.ravel(), np.ones(logits.size)], axis=1)
+        common = fit_logistic(each, y[held].ravel(), 1.0, np.array([1.0, 0.0]))
+        for j in range(k):
+            scale[j], shift[j] = fit_logistic(np.stack([logits[:, j], np.ones(len(held))], axis=1), y[held, j], 5.0, common)
+        scale = np.maximum(scale, 0.1)
+    return Chain(order, w[:, :f], w[:, f : f + 1] * earlier + w[:, f + 1 : -1] * earlier, w[:, -1], scale, shift)
 
 
 def subject_areas(
     docs: DataFrame,
     labels: DataFrame,
     subjects: DataFrame,
-    max_terms: int = 65536,
+    most: int = 2,
+    max_terms: int = 262144,
     max_labelled: int = 20000,
-    rounds: int = 4,
+    max_langs: int = 16,
+    max_sources: int = 64,
+    rounds: int = 2,
     min_df: int = 2,
-    max_share: float | None = None,
-    seeds: dict[str, str] | None = None,
+    first_least: float = 2.0,
+    least: float = 6.0,
 ) -> DataFrame:
-    """(doc_id, subject): one or two subjects for every document.
+    """(doc_id, subject): one to `most` subjects for every document.
 
     docs: (doc_id, text, lang, source), labels: (doc_id, subject), subjects:
     (subject).  Labels are matched without regard to case and outer white space;
-    unknown ones and labels of unknown documents count for nothing.  A null or
-    empty text gets the subject that is most likely without any evidence; rows
-    without an id get none; a repeated id gets the subjects of each of its texts.
-    Copies of one text count together as one document, in the vocabulary and in the
-    statistics.  The vocabulary holds the seed words and the max_terms most frequent
-    words of at least min_df documents (at most max_share of them, if given); words
-    common to all subjects get no weight.  The links are fitted on at most
-    max_labelled labelled documents, all else comes from all documents.
+    unknown ones and labels of unknown documents count for nothing.  Without any
+    label of a known subject and document nothing can be learned, and no rows come
+    out.  A null or empty text gets the subject that is most likely without any
+    evidence; rows without an id get none; a repeated id gets the subjects of each
+    of its texts.  Copies of one text count together as one document, in the
+    vocabulary and in the statistics.  The vocabulary holds the max_terms most
+    frequent words of at least min_df documents; words common to all subjects get
+    no weight.  The max_langs most frequent languages have expectations of their
+    own, the others one in common; so have the max_sources sources most frequent
+    among labels in the links.  The links are fitted on at most max_labelled
+    labelled documents, all else comes from all documents.
     """
     spark = docs.sparkSession
     names = [r[0] for r in subjects.select("subject").dropna().distinct().orderBy("subject").collect()]
@@ -342,85 +371,88 @@ def subject_areas(
     if not names:
         return spark.createDataFrame([], out_schema)
     k = len(names)
+    tasks = 4 * spark.sparkContext.defaultParallelism
     known = {s.strip().lower(): j for j, s in enumerate(names)}
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "source").filter("doc_id IS NOT NULL")
     base = spread(base)
 
-    case = F.create_map(*[x for s, j in known.items() for x in (F.lit(s), F.lit(1 << j))])
+    case = F.create_map(*[x for s, j in known.items() for x in (F.lit(s), F.lit(1 << j).cast("long"))])
     mask = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.try_element_at(case, F.lower(F.trim("subject"))).alias("bit"))
-    mask = mask.dropna().groupBy("doc_id").agg(F.bit_or("bit").cast("long").alias("mask"))
+    mask = mask.dropna().groupBy("doc_id").agg(F.bit_or("bit").alias("mask"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            packed, chars, code, marked, source, key = [], [], [], [], [], []
-            for text, s in zip(pdf["text"], pdf["source"]):
+            packed, chars, code, marked, key = [], [], [], [], []
+            for text in pdf["text"]:
                 text = text or ""
-                key.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                key.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
                 h = _term_ids(term_stream(text))
-                packed.append(h[(h != 0) | (np.append(0, h[:-1]) != 0)].tobytes() if len(h) else b"")
+                packed.append(h[(h != 0) | (np.append(np.uint64(0), h[:-1]) != 0)].tobytes() if len(h) else b"")
                 lines = text.split("\n")
                 chars.append(float(len(text)))
                 code.append(sum(x[:1] in " \t" and bool(x.strip()) for x in lines) / len(lines))
                 marked.append(sum(x[:1] in "#-*>@$" and bool(x) for x in lines) / len(lines))
-                source.append(xxhash.xxh3_64_intdigest(s if isinstance(s, str) else "") % SOURCES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "terms": packed, "chars": chars, "code": code, "marked": marked, "source": source, "key": key})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "source": pdf["source"], "terms": packed, "chars": chars, "code": code, "marked": marked, "key": key})
 
-    texts = base.mapInPandas(read, "doc_id long, lang string, terms binary, chars double, code double, marked double, source int, key long")
-    texts = written(texts.join(mask, "doc_id", "left"), "texts")
-    copies = texts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    texts = texts.join(written(copies, "copies"), "key", "left").withColumn("share", 1 / F.coalesce("members", F.lit(1))).drop("key", "members")
+    texts = base.mapInPandas(read, "doc_id long, lang string, source string, terms binary, chars double, code double, marked double, key long")
+    read_once = written(texts.join(mask, "doc_id", "left"), "texts")
+    copies = written(read_once.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "copies")
+    texts = read_once.join(copies, "key", "left").withColumn("share", 1 / F.coalesce("members", F.lit(1))).drop("key", "members")
+    langs = {r["lang"]: j + 1 for j, r in enumerate(texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pd.DataFrame:
+            term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(term))
+            return pd.DataFrame({"term": term.view(np.int64), "df": n})
+
         for pdf in batches:
-            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in pdf["terms"]]
-            term, at = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint32), return_inverse=True)
-            n = np.bincount(at, weights=np.repeat(pdf["share"].to_numpy(), [len(x) for x in parts]), minlength=len(term))
-            yield pd.DataFrame({"term": term.astype(np.int64), "df": n})
-
-    df = written(texts.select("terms", "share").mapInPandas(count, "term long, df double").filter("term <> 0").groupBy("term").agg(F.round(F.sum("df"), 6).alias("df")), "terms")
-    fixed = {s: _term_ids(text.split()).astype(np.int64).tolist() for s, text in (SEEDS if seeds is None else seeds).items()}
-    chosen = df.filter(F.col("df") >= min_df)
-    if max_share is not None:
-        total = texts.agg(F.sum("share")).first()[0] or 0
-        chosen = chosen.filter(F.col("df") <= max(float(min_df), max_share * total))
-    vocabulary = [r[0] for r in chosen.orderBy(F.desc("df"), "term").limit(max_terms).select("term").collect()]
-    seen = [r[0] for r in df.filter(F.col("term").isin(sorted({t for ts in fixed.values() for t in ts}))).select("term").orderBy("term").collect()]
-    vocabulary = list(dict.fromkeys(seen + vocabulary))
-    index = {t: j for j, t in enumerate(vocabulary)}
-    seed = np.zeros((len(vocabulary), k))
-    for s, terms in fixed.items():
-        for t in terms:
-            if t in index and s.strip().lower() in known:
-                seed[index[t], known[s.strip().lower()]] = 1.0
-    order = np.argsort(np.array(vocabulary, dtype=np.int64))
-    ids = spark.sparkContext.broadcast((np.array(vocabulary, dtype=np.int64)[order], order.astype(np.int32)))
+            parts = [np.unique(np.frombuffer(x, np.uint64)) for x in pdf["terms"]]
+            if parts:
+                held.append((np.concatenate(parts), np.repeat(pdf["share"].to_numpy(), [len(x) for x in parts])))
+            if sum(len(t) for t, _ in held) > 4_000_000:
+                both = merged()
+                if len(both) > 2_000_000:
+                    yield both
+                    held.clear()
+                else:
+                    held[:] = [(both["term"].to_numpy().view(np.uint64), both["df"].to_numpy())]
+        if held:
+            yield merged()
+
+    df = texts.select("terms", "share").coalesce(tasks).mapInPandas(count, "term long, df double").filter("term <> 0").groupBy("term").agg(F.round(F.sum("df"), 6).alias("df"))
+    chosen = df.filter(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(max_terms).select("term")
+    vocabulary = np.sort(np.array([r[0] for r in chosen.collect()], dtype=np.int64).view(np.uint64))
+    ids = spark.sparkContext.broadcast(vocabulary)
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, number = ids.value
+        terms = ids.value
         for pdf in batches:
             packed = []
             for raw in pdf["terms"]:
-                h = np.frombuffer(raw, np.uint32).astype(np.int64)
+                h = np.frombuffer(raw, np.uint64)
                 at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
                 hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-                j = np.where(hit, number[at] if len(terms) else 0, -1).astype(np.int32)[hit | (h == 0)]
-                j = np.append(j, np.int32(-1))
-                packed.append(j[(j >= 0) | (np.append(0, j[:-1]) >= 0)].tobytes())
-            yield pdf.drop(columns="terms").assign(stream=packed)[["doc_id", "lang", "stream", "chars", "code", "marked", "source", "mask", "share"]]
-
-    rows = written(texts.mapInPandas(numbered, "doc_id long, lang string, stream binary, chars double, code double, marked double, source int, mask long, share double"), "streams")
-    ev = learn_evidence(rows, Evidence(names, seed), rounds)
-
-    labelled = rows.filter("mask IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(max_labelled).toPandas()
-    if len(labelled):
-        x, count = features(ev, labelled)
-        y = (_marks(labelled["mask"].to_numpy(), k) > 0).astype(float)
-        chain = fit_chain(x, y, count)
-    else:  # no labels at all: the strongest evidence decides, a second subject from a third of it on
-        x, count = np.empty((0, k, 12 + SOURCES)), np.empty((0, k))
-        w = np.zeros(x.shape[2] + 3)
-        w[[3, 7, -1]] = 12.0, 8.0, -5.0
-        chain = Chain(list(range(k)), w, np.zeros(k), np.zeros((k, k)))
+                j = np.append(np.where(hit, at, -1).astype(np.int32)[hit | (h == 0)], np.int32(-1))
+                packed.append(j[(j >= 0) | (np.append(np.int32(0), j[:-1]) >= 0)].tobytes())
+            lang = [langs.get(g, 0) for g in pdf["lang"]]
+            yield pdf.drop(columns="terms").assign(stream=packed, lang=lang)[["doc_id", "lang", "source", "stream", "chars", "code", "marked", "mask", "share"]]
+
+    rows = written(texts.mapInPandas(numbered, "doc_id long, lang int, source string, stream binary, chars double, code double, marked double, mask long, share double"), "streams")
+    dropped(read_once)
+    dropped(copies)
+    labelled = rows.filter("mask IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    v, n_langs = max(1, len(vocabulary)), len(langs) + 1
+    if labelled.empty:
+        return spark.createDataFrame([], out_schema)
+    start = _evidence(*statistics(None, labelled, k, v, n_langs), first_least)
+    ev, before = learn_evidence(rows, start, rounds, least, tasks)
+    sources = {s: j for j, s in enumerate(labelled["source"].dropna().value_counts().index[:max_sources])}
+    x, count_of = features(ev, labelled, sources, before)
+    chain = fit_chain(x, (_marks(labelled["mask"].to_numpy(), k) > 0).astype(float), count_of)
+    ev.counts = None
     model = spark.sparkContext.broadcast((ev, chain))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -428,7 +460,7 @@ def subject_areas(
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
-                r, c = np.nonzero(chain.decode(features(ev, part)[0]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[r], "subject": np.array(ev.subjects, dtype=object)[c]})
+                r, c = np.nonzero(chain.decode(features(ev, part, sources)[0], most=most))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[r], "subject": np.array(names, dtype=object)[c]})
 
     return rows.mapInPandas(decide, out_schema).distinct()
