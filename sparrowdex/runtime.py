@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where the session names none (tests, a laptop) is a temporary one set.
+    Only where the session names none and runs in one process (tests, a laptop) is
+    a temporary one set; on a cluster a folder of one machine would lose rows, so
+    there the setting is required.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparrowdex-"))
     return named or sc.getCheckpointDir()
@@ -57,6 +63,17 @@ def _clear() -> None:
             return
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end all tables written inside: for long sessions, around a query and the use of its result."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in set(_TABLES) - before:
+            _delete(_TABLES[path], path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -103,6 +120,12 @@ def guarded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer parts than cores to all cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a scan with fewer parts than cores to all cores; larger scans stay as they are.
+
+    A client that cannot see the parts leaves the scan as it is.
+    """
+    try:
+        cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - a remote session has no parts to count
+        return df
+    return df.repartition(cores) if parts < cores else df

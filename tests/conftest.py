@@ -13,6 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(cores=4, partitions=4, memory="6g")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     yield session
     session.stop()
