@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import partitions_for, written
+from sparrowdex.runtime import written
 
 
 def decode(blob: bytes | None, dim, quant) -> np.ndarray | None:
@@ -140,16 +140,27 @@ class CentroidGraph:
         return ids[:, :m], val[:, :m]
 
 
-def _pruned(cent: np.ndarray, ids: np.ndarray, d: np.ndarray, ratio: float, most: int) -> list[int]:
-    """Columns of the lists a boundary vector goes to: within the ratio, and not behind one already taken."""
-    out = [0]
-    for j in range(1, len(ids)):
-        if len(out) >= most or d[j] > ratio * d[0] + 1e-6:
-            break
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (cent[ids[out]] @ cent[ids[j]])))
-        if (gap > d[j]).all():
-            out.append(j)
-    return out
+def _pruned(cent: np.ndarray, ids: np.ndarray, d: np.ndarray, ratio: float, most: int) -> np.ndarray:
+    """Mask of the lists that boundary vectors go to: within the ratio, and not behind one already taken.
+
+    ids, d: nearest lists of each vector, nearest first, and their distances.  A
+    list is behind another one if the two are nearer to each other than the vector is.
+    """
+    n, m = ids.shape
+    m = min(m, 4 * most)
+    near = cent[ids[:, :m]]
+    taken = np.zeros(ids.shape, dtype=bool)
+    taken[:, 0] = True
+    for j in range(1, m):
+        gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nkd->nk", near[:, j], near[:, :j])))
+        free = (np.where(taken[:, :j], gap, np.inf) > d[:, j : j + 1]).all(axis=1)
+        taken[:, j] = free & (d[:, j] <= ratio * d[:, 0] + 1e-6) & (taken[:, :j].sum(axis=1) < most)
+    return taken
+
+
+def probes_for(lists: int, least: int, growth: float) -> int:
+    """How many nearest lists the distance ratio chooses from: all of few, and a number that grows with their root."""
+    return min(lists, max(least, math.ceil(growth * math.sqrt(lists))))
 
 
 def nearest_neighbours(
@@ -162,104 +173,141 @@ def nearest_neighbours(
     store_ratio: float = 1.15,
     max_stored: int = 4,
     probe_ratio: float = 1.35,
-    max_probes: int = 24,
-    task_rows: int = 16384,
+    least_probes: int = 24,
+    probe_growth: float = 4.0,
+    together: int = 24,
+    task_rows: int = 32768,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar vectors of the same model.
 
     vectors: the output of decoded().  Ties go to the smaller id; a vector is
     never its own neighbour.  With min_cosine only neighbours of at least that
     cosine come out, with the ranks they have among all.  The posting lists are
-    fitted on at most `sample` vectors a model; lists beyond `task_rows` rows are
-    searched in several tasks.  Equal vectors are searched once and unfolded: a
-    vector's equals rank first, by id, and no more than the k + 1 smallest ids of
-    equal vectors can be anyone's neighbours.  An empty table gives no rows.
+    fitted on at most `sample` vectors a model; `together` neighbouring lists
+    travel as one group, to which a vector is sent once with the lists it is
+    stored in and asks.  Groups beyond `task_rows` rows are searched in several
+    tasks.  A vector asks the lists within probe_ratio of its nearest one's
+    distance, of the probes_for() nearest lists.  Equal vectors are searched once
+    and unfolded: a vector's equals rank first, by id, and no more than the k + 1
+    smallest ids of equal vectors can be anyone's neighbours.  An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
-    own = written(vectors, "vectors")
+    own = written(vectors.select("id", "model", "hi", "lo"), "keys")
     heads = own.groupBy("model", "hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     multi = heads.filter("n > 1")
-    members = written(own.select("id", "model", "hi", "lo").distinct().join(multi.select("model", "hi", "lo", F.col("id").alias("head")), ["model", "hi", "lo"]).select("head", "id").distinct(), "members")
-    unique = own.join(members.filter("id <> head").select("id").distinct(), "id", "left_anti").dropDuplicates(["id"])
+    members = written(own.distinct().join(multi.select("model", "hi", "lo", F.col("id").alias("head")), ["model", "hi", "lo"]).select("head", "id").distinct(), "members")
+    again = written(own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "again")
+    unique = vectors.select("id", "model", "vec").join(members.filter("id <> head").select("id").distinct(), "id", "left_anti")
+    unique = unique.join(again, "id", "left_anti").unionByName(unique.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("model", F.struct("model", "vec")).alias("model"), F.min_by("vec", F.struct("model", "vec")).alias("vec")))
 
     counts = {r["model"]: r["n"] for r in own.groupBy("model").agg(F.count("*").alias("n")).collect()}
-    index, base = {}, 0
-    for model, n in sorted(counts.items()):
-        part = own.filter(F.col("model") == model)
-        if n > sample:
-            part = part.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / n)))
-        got = part.select("vec").limit(2 * sample).toPandas()["vec"]
-        x = np.vstack([np.frombuffer(v, np.float32) for v in got])
-        graph = CentroidGraph.build(balanced_centroids(x, min(max_lists, math.ceil(n / list_size))))
-        index[model] = (base, graph)
-        base += len(graph.cent)
-    if not index:
+    if not counts:
         return spark.createDataFrame([], "id long, neighbour long, cosine double, rank int")
+    rate = F.element_at(F.create_map(*[x for m, n in counts.items() for x in (F.lit(m), F.lit(math.ceil((1 << 20) * min(1.0, sample / n))))]), F.col("model"))
+    drawn = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).select("id", "model")
+    got = vectors.join(drawn.select("id").distinct(), "id", "left_semi").select("model", "vec").toPandas()
+    index, first_list, first_group = {}, 0, 0
+    for model, part in sorted(got.groupby("model")["vec"]):
+        x = np.vstack([np.frombuffer(v, np.float32) for v in part])
+        graph = CentroidGraph.build(balanced_centroids(x, min(max_lists, math.ceil(counts[model] / list_size))))
+        hubs = balanced_centroids(graph.cent, math.ceil(len(graph.cent) / together))
+        group = np.argmax(graph.cent @ hubs.T, axis=1)
+        index[model] = (first_list, first_group + group, graph)
+        first_list += len(graph.cent)
+        first_group += len(hubs)
+    for model in set(counts) - set(index):  # too few rows for the draw: one list
+        index[model] = (first_list, np.array([first_group]), None)
+        first_list, first_group = first_list + 1, first_group + 1
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for model, part in pdf.groupby("model", sort=False):
-                first, graph = shared.value[model]
+                first, group, graph = shared.value[model]
                 for lo in range(0, len(part), 256):
                     rows = part.iloc[lo : lo + 256]
-                    vec = rows["vec"].to_numpy()
-                    q = np.vstack([np.frombuffer(v, np.float32) for v in vec])
-                    ids, cos = graph.search(q, max_probes)
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
-                    probe = d <= probe_ratio * d[:, :1] + 1e-6
-                    store = np.zeros(probe.shape, dtype=bool)
-                    for r in range(len(rows)):
-                        store[r, _pruned(graph.cent, ids[r], d[r], store_ratio, max_stored)] = True
+                    vec, n = rows["vec"].to_numpy(), len(rows)
+                    if graph is None:
+                        ids, probe, store = np.zeros((n, 1), int), np.ones((n, 1), bool), np.ones((n, 1), bool)
+                    else:
+                        q = np.vstack([np.frombuffer(v, np.float32) for v in vec])
+                        ids, cos = graph.search(q, probes_for(len(graph.cent), least_probes, probe_growth))
+                        d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
+                        probe = d <= probe_ratio * d[:, :1] + 1e-6
+                        store = _pruned(graph.cent, ids, d, store_ratio, max_stored)
                     r, c = np.nonzero(probe | store)
-                    yield pd.DataFrame({"list": first + ids[r, c].astype(np.int64), "id": rows["id"].to_numpy()[r], "vec": vec[r], "stored": store[r, c], "asks": probe[r, c]})
-
-    placed = unique.select("id", "model", "vec").mapInPandas(place, "list long, id long, vec binary, stored boolean, asks boolean")
+                    to = group[ids[r, c]]
+                    order = np.lexsort((to, r))
+                    r, c, to = r[order], c[order], to[order]
+                    at = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
+                    lists = ((first + ids[r, c]) * 4 + 2 * store[r, c] + probe[r, c]).astype(np.int32)  # the list, whether stored there, whether asked
+                    ends = np.append(at[1:], len(r))
+                    yield pd.DataFrame({"grp": to[at], "id": rows["id"].to_numpy()[r[at]], "vec": vec[r[at]], "lists": [lists[x:y].tobytes() for x, y in zip(at, ends)]})
+
+    placing = "grp long, id long, vec binary, lists binary"
+    placed = unique.mapInPandas(place, placing)
+    thin = max(1, min(64, sum(counts.values()) // (8 * task_rows)))  # sizes are estimated on ids drawn by hash; they only decide on the split
+    seen = unique.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(thin)) == 0).mapInPandas(place, placing).groupBy("grp").count().collect()
+    parts = {r["grp"]: math.ceil(r["count"] * thin / task_rows) for r in seen}
+    large = {g: n for g, n in parts.items() if n > 1}
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack([np.frombuffer(v, np.float32) for v in pdf["vec"]])
         ids = pdf["id"].to_numpy()
-        post, ask = np.flatnonzero(pdf["stored"]), np.flatnonzero(pdf["asks"])
-        post = post[np.argsort(ids[post], kind="stable")]
-        out_q, out_n, out_c = [], [], []
-        if len(post):
-            p, pid = x[post], ids[post]
-            for lo in range(0, len(ask), 1024):
+        lists = [np.frombuffer(b, np.int32) for b in pdf["lists"]]
+        row, flat = np.repeat(np.arange(len(ids)), [len(b) for b in lists]), np.concatenate(lists)
+        as_post, as_ask = (pdf[c].to_numpy()[row] if c in pdf else np.ones(len(row), bool) for c in ("posts", "asks"))
+        best_v, best_i = np.full((len(ids), k), -np.inf, np.float32), np.full((len(ids), k), np.iinfo(np.int64).max)
+        order = np.argsort(flat >> 2, kind="stable")
+        for here in np.split(order, np.flatnonzero(np.diff(flat[order] >> 2)) + 1):
+            post, ask = row[here[(flat[here] & 2 > 0) & as_post[here]]], row[here[(flat[here] & 1 > 0) & as_ask[here]]]
+            post = post[np.argsort(ids[post], kind="stable")]
+            for lo in range(0, len(ask) if len(post) else 0, 1024):
                 rows = ask[lo : lo + 1024]
-                s = x[rows] @ p.T
-                s[ids[rows][:, None] == pid[None, :]] = -np.inf
+                s = x[rows] @ x[post].T
+                s[ids[rows][:, None] == ids[post][None, :]] = -np.inf
                 if min_cosine is not None:
                     s[s < min_cosine - 1e-6] = -np.inf
                 kk = min(k, s.shape[1])
                 cutoff = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk][:, None]
-                hit = (s >= cutoff) & np.isfinite(s)
-                r, c = np.nonzero(hit)
+                r, c = np.nonzero((s >= np.maximum(cutoff, best_v[rows, -1:])) & np.isfinite(s))
                 if not len(r):
                     continue
-                val = s[r, c]
-                order = np.lexsort((pid[c], -val, r))
-                r, c, val = r[order], c[order], val[order]
-                starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                place_in = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
-                ok = place_in < k
-                out_q.append(ids[rows][r[ok]])
-                out_n.append(pid[c[ok]])
-                out_c.append(np.einsum("ij,ij->i", x[rows][r[ok]].astype(np.float64), p[c[ok]].astype(np.float64)))
-        if not out_q:
+                # candidates of this list and the best so far, each neighbour once, by cosine and id
+                changed = np.unique(r)
+                old = np.repeat(changed, k)
+                cand_r = np.concatenate([old, r])
+                cand_v = np.concatenate([best_v[rows[changed]].ravel(), s[r, c]])
+                cand_i = np.concatenate([best_i[rows[changed]].ravel(), ids[post[c]]])
+                sort = np.lexsort((-cand_v, cand_i, cand_r))
+                cand_r, cand_v, cand_i = cand_r[sort], cand_v[sort], cand_i[sort]
+                once = np.append(True, (cand_r[1:] != cand_r[:-1]) | (cand_i[1:] != cand_i[:-1])) & np.isfinite(cand_v)
+                cand_r, cand_v, cand_i = cand_r[once], cand_v[once], cand_i[once]
+                sort = np.lexsort((cand_i, -cand_v, cand_r))
+                cand_r, cand_v, cand_i = cand_r[sort], cand_v[sort], cand_i[sort]
+                starts = np.flatnonzero(np.append(True, cand_r[1:] != cand_r[:-1]))
+                rank = np.arange(len(cand_r)) - np.repeat(starts, np.diff(np.append(starts, len(cand_r))))
+                ok = rank < k
+                best_v[rows[changed]], best_i[rows[changed]] = -np.inf, np.iinfo(np.int64).max
+                best_v[rows[cand_r[ok]], rank[ok]], best_i[rows[cand_r[ok]], rank[ok]] = cand_v[ok], cand_i[ok]
+        r, c = np.nonzero(np.isfinite(best_v))
+        if not len(r):
             return pd.DataFrame({"id": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "cosine": np.empty(0)})
-        return pd.DataFrame({"id": np.concatenate(out_q), "neighbour": np.concatenate(out_n), "cosine": np.concatenate(out_c)})
-
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("list").agg(F.count("*").alias("rows")).filter(F.col("rows") > task_rows)
-    sizes = sizes.select("list", F.ceil(F.col("rows") / task_rows).cast("long").alias("parts"))
-    if sizes.isEmpty():
-        near = placed.repartition(partitions_for(vectors), "list").groupBy("list").applyInPandas(search, "id long, neighbour long, cosine double")
-    else:  # stored rows of one part meet the askers of one part
-        cell = placed.join(sizes, "list", "left").fillna(1, ["parts"]).withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
-        other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-        as_post = cell.filter("stored").withColumn("p", F.col("own")).withColumn("q", F.explode(other)).withColumn("asks", F.lit(False))
-        as_ask = cell.filter("asks").withColumn("q", F.col("own")).withColumn("p", F.explode(other)).withColumn("stored", F.lit(False))
-        near = as_post.unionByName(as_ask).groupBy("list", "p", "q").applyInPandas(search, "id long, neighbour long, cosine double")
+        by_id = np.argsort(ids, kind="stable")
+        other = by_id[np.searchsorted(ids[by_id], best_i[r, c])]
+        exact = np.concatenate([np.einsum("ij,ij->i", x[r[lo : lo + 65536]].astype(np.float64), x[other[lo : lo + 65536]].astype(np.float64)) for lo in range(0, len(r), 65536)])
+        return pd.DataFrame({"id": ids[r], "neighbour": best_i[r, c], "cosine": exact})
+
+    if not large:
+        near = placed.groupBy("grp").applyInPandas(search, "id long, neighbour long, cosine double")
+    else:  # stored rows of one part meet the askers of one part; a row serves as both where its two parts are the same
+        n = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for item in large.items() for x in item]), F.col("grp")), F.lit(1).cast("long"))
+        cell = placed.withColumn("parts", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+        cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        as_post = cell.select("grp", F.col("own").alias("p"), F.col("other").alias("q"), "id", "vec", "lists", F.lit(True).alias("posts"), (F.col("own") == F.col("other")).alias("asks"))
+        as_ask = cell.filter("own <> other").select("grp", F.col("other").alias("p"), F.col("own").alias("q"), "id", "vec", "lists", F.lit(False).alias("posts"), F.lit(True).alias("asks"))
+        near = as_post.unionByName(as_ask).groupBy("grp", "p", "q").applyInPandas(search, "id long, neighbour long, cosine double")
     near = near.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     order = [F.desc("cosine"), "neighbour"]
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("rank") <= k).drop("rank")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.llm.knn import decoded, nearest_neighbours
-from sparrowdex.runtime import table
+from sparrowdex.llm.knn import decoded, exact_neighbours, nearest_neighbours
+from sparrowdex.runtime import table, written
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,16 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("drawer_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact 10 most similar vectors that come out, for the queries with an id divisible by 20 against all rows."""
+    vectors = written(decoded(table(spark, sf_dir, "drawer_embeddings"), "drawer_id"), "vectors")
+    asked = vectors.filter("id % 20 = 0")
+    exact = exact_neighbours(vectors, asked).select("id", "neighbour").withColumn("true", F.lit(1))
+    near = nearest_neighbours(vectors, k=10).select("id", "neighbour").withColumn("found", F.lit(1))
+    both = exact.join(near, ["id", "neighbour"], "left").join(asked.select("id", "model"), "id")
+    out = both.groupBy("model").agg(F.countDistinct("id").alias("queries"), F.round(F.sum(F.coalesce("found", F.lit(0))) / F.sum("true"), 4).alias("recall"))
+    return out
+
+
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall}
 SQL: dict[str, str] = {}
