@@ -101,11 +101,14 @@ class CentroidGraph:
             s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
             if degree:
                 near[lo : lo + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
-        hubs = np.linspace(0, n - 1, min(n, max(64, int(math.sqrt(n))))).astype(int)
+        hubs = np.linspace(0, n - 1, min(n, max(64, int(4 * math.sqrt(n))))).astype(int)
         return cls(cent, near, np.unique(hubs))
 
-    def search(self, q: np.ndarray, m: int, expand: int = 4, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of about the m nearest centroids of each row, nearest first."""
+    def search(self, q: np.ndarray, m: int, ratio: float = 1e9, expand: int = 4, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of about the m nearest centroids of each row, nearest first.
+
+        Beyond the nearest few, only centroids within the ratio of the nearest one's distance are followed.
+        """
         n = len(self.cent)
         m = min(m, n)
         if n <= 2 * m or n <= len(self.hubs):
@@ -117,26 +120,31 @@ class CentroidGraph:
         ids, val = self.hubs[start], np.take_along_axis(s, start, axis=1)
         open_ = np.ones(ids.shape, dtype=bool)
         for _ in range(rounds):
-            pick = np.argsort(np.where(open_[:, :m], -val[:, :m], np.inf), axis=1, kind="stable")[:, :expand]
-            live = np.take_along_axis(open_, pick, axis=1)
-            if not live.any():
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * val[:, :m]))
+            follow = open_[:, :m] & ((d <= ratio * d[:, :1] + 1e-6) | (np.arange(d.shape[1]) < expand))
+            busy = np.flatnonzero(follow.any(axis=1))  # the other rows have ended
+            if not len(busy):
                 break
-            np.put_along_axis(open_, pick, False, axis=1)
-            new = self.near[np.take_along_axis(ids, pick, axis=1)].reshape(len(q), -1)
-            sc = np.einsum("bd,bkd->bk", q, self.cent[new], optimize=False)
-            sc[~np.repeat(live, self.near.shape[1], axis=1)] = -np.inf
-            all_ids = np.concatenate([ids, new], axis=1)
-            all_val = np.concatenate([val, sc], axis=1)
-            all_open = np.concatenate([open_, np.ones(new.shape, dtype=bool)], axis=1)
-            order = np.lexsort((np.arange(all_ids.shape[1])[None, :].repeat(len(q), 0), all_ids), axis=1)
-            sorted_ids = np.take_along_axis(all_ids, order, axis=1)
-            twice = np.zeros(sorted_ids.shape, dtype=bool)
-            twice[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-            mask = np.zeros(twice.shape, dtype=bool)
-            np.put_along_axis(mask, order, twice, axis=1)
-            all_val[mask] = -np.inf
+            i, v, o = ids[busy], val[busy], open_[busy]
+            pick = np.argsort(np.where(follow[busy], -v[:, :m], np.inf), axis=1, kind="stable")[:, :expand]
+            live = np.take_along_axis(follow[busy], pick, axis=1)
+            np.put_along_axis(o, pick, False, axis=1)
+            new = self.near[np.take_along_axis(i, pick, axis=1)].reshape(len(busy), -1)
+            known = np.zeros((len(busy), n), dtype=bool)
+            r, c = np.nonzero(np.isfinite(v))
+            known[r, i[r, c]] = True
+            fresh = ~np.take_along_axis(known, new, axis=1) & np.repeat(live, self.near.shape[1], axis=1)
+            r, c = np.nonzero(fresh)
+            pair = np.unique(r * n + new[r, c])
+            r, c = pair // n, pair % n
+            at = np.arange(len(r)) - np.searchsorted(r, r)
+            width = int(at.max()) + 1 if len(at) else 0
+            new, sc = np.zeros((len(busy), width), dtype=ids.dtype), np.full((len(busy), width), -np.inf, dtype=val.dtype)
+            new[r, at], sc[r, at] = c, np.einsum("pd,pd->p", q[busy[r]], self.cent[c])
+            all_val = np.concatenate([v, sc], axis=1)
             keep = np.argsort(-all_val, axis=1, kind="stable")[:, : ids.shape[1]]
-            ids, val, open_ = (np.take_along_axis(a, keep, axis=1) for a in (all_ids, all_val, all_open))
+            for into, part in ((ids, np.concatenate([i, new], axis=1)), (val, all_val), (open_, np.concatenate([o, np.ones(new.shape, dtype=bool)], axis=1))):
+                into[busy] = np.take_along_axis(part, keep, axis=1)
         return ids[:, :m], val[:, :m]
 
 
@@ -174,7 +182,7 @@ def nearest_neighbours(
     max_stored: int = 4,
     probe_ratio: float = 1.35,
     least_probes: int = 24,
-    probe_growth: float = 4.0,
+    probe_growth: float = 3.0,
     together: int = 24,
     task_rows: int = 32768,
 ) -> DataFrame:
@@ -205,15 +213,18 @@ def nearest_neighbours(
     if not counts:
         return spark.createDataFrame([], "id long, neighbour long, cosine double, rank int")
     rate = F.element_at(F.create_map(*[x for m, n in counts.items() for x in (F.lit(m), F.lit(math.ceil((1 << 20) * min(1.0, sample / n))))]), F.col("model"))
-    drawn = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).select("id", "model")
-    got = vectors.join(drawn.select("id").distinct(), "id", "left_semi").select("model", "vec").toPandas()
-    index, first_list, first_group = {}, 0, 0
+    got = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).select("model", "vec").toPandas()
+    index, parts, first_list, first_group = {}, {}, 0, 0
     for model, part in sorted(got.groupby("model")["vec"]):
         x = np.vstack([np.frombuffer(v, np.float32) for v in part])
         graph = CentroidGraph.build(balanced_centroids(x, min(max_lists, math.ceil(counts[model] / list_size))))
         hubs = balanced_centroids(graph.cent, math.ceil(len(graph.cent) / together))
         group = np.argmax(graph.cent @ hubs.T, axis=1)
         index[model] = (first_list, first_group + group, graph)
+        # rows that a group will get, by the draw; this decides on the split over tasks alone
+        held = np.concatenate([np.argmax(x[lo : lo + 4096] @ graph.cent.T, axis=1) for lo in range(0, len(x), 4096)])
+        for g, m in enumerate(np.bincount(group[held], minlength=len(hubs))):
+            parts[first_group + g] = math.ceil(1.5 * m / len(x) * counts[model] / task_rows)
         first_list += len(graph.cent)
         first_group += len(hubs)
     for model in set(counts) - set(index):  # too few rows for the draw: one list
@@ -232,7 +243,7 @@ def nearest_neighbours(
                         ids, probe, store = np.zeros((n, 1), int), np.ones((n, 1), bool), np.ones((n, 1), bool)
                     else:
                         q = np.vstack([np.frombuffer(v, np.float32) for v in vec])
-                        ids, cos = graph.search(q, probes_for(len(graph.cent), least_probes, probe_growth))
+                        ids, cos = graph.search(q, probes_for(len(graph.cent), least_probes, probe_growth), probe_ratio)
                         d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
                         probe = d <= probe_ratio * d[:, :1] + 1e-6
                         store = _pruned(graph.cent, ids, d, store_ratio, max_stored)
@@ -247,9 +258,6 @@ def nearest_neighbours(
 
     placing = "grp long, id long, vec binary, lists binary"
     placed = unique.mapInPandas(place, placing)
-    thin = max(1, min(64, sum(counts.values()) // (8 * task_rows)))  # sizes are estimated on ids drawn by hash; they only decide on the split
-    seen = unique.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(thin)) == 0).mapInPandas(place, placing).groupBy("grp").count().collect()
-    parts = {r["grp"]: math.ceil(r["count"] * thin / task_rows) for r in seen}
     large = {g: n for g, n in parts.items() if n > 1}
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
