@@ -26,7 +26,7 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, solved = _solved(spark, sf_dir)
     out = report(copies(sized, solved), solved)
-    return out.withColumn("reached_share", F.round("reached_share", 6))
+    return out.withColumn("promised_share", F.round("promised_share", 6)).withColumn("reached_share", F.round("reached_share", 6))
 
 
 QUERIES = {"p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares}

@@ -38,9 +38,21 @@ def test_shares(spark):
     for r in report(mixed, solved).collect():
         s = state[r["source"]]
         if s["reachable"]:
-            assert abs(r["mixed_tokens"] - s["wanted"]) <= 0.01 * s["wanted"] + 1000
+            assert abs(r["mixed_tokens"] - s["wanted"]) <= 0.01 * s["wanted"]
+            assert abs(r["reached_share"] - r["promised_share"]) <= 0.01 * r["promised_share"]
         else:
             assert r["mixed_tokens"] == s["repeats"] * s["own"]
+    assert abs(sum(s["wanted"] for s in state.values()) - total) <= 1e-6 * total
+    free = [s for s in state.values() if s["reachable"] and s["wanted"] < s["repeats"] * s["own"]]
+    assert max(s["wanted"] / s["share"] for s in free) - min(s["wanted"] / s["share"] for s in free) <= 1e-6 * total
+
+
+def test_second_source_runs_out(spark):
+    """b takes over from a, runs out itself, and c takes the rest; a is the only one that misses its own share."""
+    rows = sized(spark, {"a": [100] * 10, "b": [100] * 45, "c": [90, 110] * 30})
+    state = {r["source"]: r for r in solve_rates(rows, targets(spark, [("a", 0.4, 2), ("b", 0.38, 1), ("c", 0.22, 5)])).collect()}
+    assert {s: r["reachable"] for s, r in state.items()} == {"a": False, "b": True, "c": True}
+    assert state["a"]["wanted"] == 2000 and state["b"]["wanted"] == 4500 and abs(state["c"]["wanted"] - 5000) < 1
 
 
 def test_rounding_groups(spark):
