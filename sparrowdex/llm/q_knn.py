@@ -33,4 +33,24 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall}
-SQL: dict[str, str] = {}
+# Little-endian float32 from its bits: infinities and NaN have an exponent of 255.
+_FLOAT = """CASE WHEN (u >> 23) & 255 = 255 THEN NULL WHEN (u >> 23) & 255 = 0 THEN 0.0
+  ELSE (CASE WHEN u >> 31 = 1 THEN -1.0 ELSE 1.0 END) * (1 + (u & 8388607) / 8388608.0) * pow(2.0, ((u >> 23) & 255) - 127) END"""
+_DECODED = f"""raw AS (SELECT drawer_id AS id, embedding_model AS model, dim, quant, hex(bytes) AS h FROM drawer_embeddings
+  WHERE embedding_model IS NOT NULL AND dim > 0 AND octet_length(bytes) = CASE quant WHEN 0 THEN 4 * dim WHEN 1 THEN 4 + dim END),
+words AS (SELECT id, model, dim, quant, i, CAST('0x' || h[8*i+7:8*i+8] || h[8*i+5:8*i+6] || h[8*i+3:8*i+4] || h[8*i+1:8*i+2] AS BIGINT) AS u
+  FROM (SELECT *, unnest(range(CASE quant WHEN 0 THEN dim ELSE 1 END)) AS i FROM raw)),
+floats AS (SELECT id, model, dim, quant, i, {_FLOAT} AS v FROM words),
+bytes1 AS (SELECT id, i, CAST('0x' || h[9+2*i:10+2*i] AS INTEGER) AS b FROM (SELECT id, h, unnest(range(dim)) AS i FROM raw WHERE quant = 1)),
+vals AS (SELECT id, model, dim, i, v FROM floats WHERE quant = 0
+  UNION ALL SELECT f.id, f.model, f.dim, b.i, f.v * (CASE WHEN b.b > 127 THEN b.b - 256 ELSE b.b END) FROM floats f JOIN bytes1 b USING (id) WHERE f.quant = 1),
+vecs AS MATERIALIZED (SELECT id, model, dim, list(v ORDER BY i) AS x FROM vals GROUP BY id, model, dim
+  HAVING count(v) = dim AND max(abs(v)) > 0)"""
+
+SQL = {
+    "p5_found": f"""WITH {_DECODED},
+unit AS MATERIALIZED (SELECT id, model, dim, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS x FROM vecs),
+near AS (SELECT l.id AS a, r.id AS b, list_dot_product(l.x, r.x) AS c FROM unit l JOIN unit r ON l.model = r.model AND l.dim = r.dim AND l.id <> r.id),
+best AS (SELECT a, b, c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS drawer_a, greatest(a, b) AS drawer_b FROM best WHERE c >= 0.90""",
+}
