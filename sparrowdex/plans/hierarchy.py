@@ -62,4 +62,18 @@ anc AS (
   UNION ALL
   SELECT a.id, l.parent, a.distance + 1 FROM anc a JOIN links l ON a.above = l.id WHERE l.parent IS NOT NULL)
 SELECT above AS symbol_id, id AS descendant_id, distance FROM anc""",
+    "p4_intervals": f"""WITH RECURSIVE {_LINKS},
+anc AS (
+  SELECT id, id AS above FROM links WHERE id IN (SELECT id FROM down)
+  UNION ALL
+  SELECT a.id, l.parent FROM anc a JOIN links l ON a.above = l.id WHERE l.parent IS NOT NULL),
+sized AS (SELECT l.id, l.parent, n.size FROM links l JOIN (SELECT above AS id, count(*) AS size FROM anc GROUP BY above) n USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM sized WHERE parent IS NOT NULL),
+placed AS (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY r > 1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ranked),
+lab AS (
+  SELECT id, id AS root, id AS chain, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS pre, CAST(0 AS BIGINT) AS light, size FROM sized WHERE parent IS NULL
+  UNION ALL
+  SELECT p.id, l.root, CASE WHEN r = 1 THEN l.chain ELSE p.id END, CASE WHEN r = 1 THEN l.pos + 1 ELSE 0 END, CAST(l.pre + p.off AS BIGINT),
+    l.light + CASE WHEN r = 1 THEN 0 ELSE 1 END, p.size FROM placed p JOIN lab l ON p.parent = l.id)
+SELECT id AS symbol_id, root AS root_id, chain AS chain_id, pos AS chain_pos, pre AS first, pre + size - 1 AS last, light AS chains_above FROM lab""",
 }
