@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import cut, partitions_for
+from sparrowdex.runtime import cut, dropped, partitions_for
 
 
 def clean_links(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -34,37 +34,39 @@ def climb(links: DataFrame, weigh: bool = False, sizes: bool = False, cycles: bo
     links: (id, parent[, weight]).  Gives (id, parent, top, hops[, total][, size])
     of the rows whose chain ends, and (id, parent, cycle_id) of the rows whose
     chain never ends.  total sums the weights from a row up to its top, size
-    counts the rows of its subtree.  While any chain that ends is still longer
-    than the stride, the next round ends at least one row; a round that ends none
-    leaves only rows that lead into closed chains.
+    counts the rows of its subtree.  A round rewrites the rows still climbing
+    alone; those that have ended are kept apart and only read.  While any chain
+    that ends is still longer than the stride, the next round ends at least one
+    row; a round that ends none leaves only rows that lead into closed chains.
     """
-    null = F.lit(None).cast("long")
-    cur = links.select(
-        "id", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("hops"),
-        F.when(F.col("parent").isNull(), F.col("id")).alias("top"), F.col("id").alias("low"),
-        (F.col("weight") if weigh else null).alias("total"), (F.lit(1).cast("long") if sizes else null).alias("size"),
-    )
-    cur = cut(cur)
-    left = cur.filter("anc IS NOT NULL").count()
+    weight = F.col("weight") if weigh else F.lit(0)
+    own = links.select("id", "parent", weight.cast("long").alias("total"), F.lit(1).cast("long").alias("size"))
+    own = cut(own)
+    done = own.filter("parent IS NULL").select("id", "parent", F.col("id").alias("top"), F.lit(0).cast("long").alias("hops"), "total", "size")
+    act = own.filter("parent IS NOT NULL").select("id", "parent", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("hops"), F.col("id").alias("low"), "total", "size")
+    late, left = None, act.count()
     while left:
-        act, done = cur.filter("anc IS NOT NULL"), cur.filter("anc IS NULL")
-        seen = cur.selectExpr("id AS anc", "anc AS anc2", "hops AS hops2", "top AS top2", "low AS low2", "total AS total2")
-        new = act.join(seen, "anc").select(
-            "id", "parent", F.col("anc2").alias("anc"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("top2").alias("top"),
-            F.least("low", "low2").alias("low"), (F.col("total") + F.col("total2")).alias("total"), "size",
-        )
-        new = done.unionByName(new)
-        if sizes:
-            more = act.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
-            new = new.join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        cur = cut(new, cur)
-        now = cur.filter("anc IS NOT NULL").count()
+        moved = act
+        if sizes:  # a subtree that reaches a full stride down counts for the row above; for rows that have ended, in the end
+            gain = act.groupBy("anc").agg(F.sum("size").alias("more")).join(act.select(F.col("id").alias("anc"), F.lit(True).alias("climbs")), "anc", "left")
+            gain = cut(gain.withColumnRenamed("anc", "id"))
+            part = gain.filter("climbs IS NULL").select("id", "more")
+            late = part if late is None else late.unionByName(part)
+            moved = act.join(gain.filter("climbs").select("id", "more"), "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        step = [(F.col("hops") + F.col("hops2")).alias("hops"), (F.col("total") + F.col("total2")).alias("total"), "size"]
+        seen = act.selectExpr("id AS anc", "anc AS anc2", "hops AS hops2", "low AS low2", "total AS total2")
+        over = done.selectExpr("id AS anc", "top", "hops AS hops2", "total AS total2")
+        new = cut(moved.join(seen, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), *step))
+        done = done.unionByName(cut(moved.join(over, "anc").select("id", "parent", "top", *step)))
+        dropped(act)
+        act, now = new, new.count()
         if now == left:
             break
         left = now
+    if late is not None:
+        done = done.join(late.groupBy("id").agg(F.sum("more").alias("more")), "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
     kept = ["id", "parent", "top", "hops"] + ["total"] * weigh + ["size"] * sizes
-    ended = cur.filter("anc IS NULL").select(*kept)
-    return ended, _cycles(cur.filter("anc IS NOT NULL").select("id", "parent", "anc", "low"), left if cycles else 0)
+    return done.select(*kept), _cycles(act.select("id", "parent", "anc", "low"), left if cycles else 0)
 
 
 def _cycles(open_rows: DataFrame, count: int) -> DataFrame:
@@ -137,35 +139,70 @@ def heavy_paths(rows: DataFrame, id_col: str, parent_col: str) -> Hierarchy:
     return Hierarchy(cut(labels), cyclic)
 
 
-def full_paths(tree: Hierarchy) -> DataFrame:
+def path_segments(tree: Hierarchy) -> DataFrame:
+    """(id, step, chain, upto): the path to each node as pieces of chains, step 0 at the root.
+
+    Each piece is the beginning of a chain, up to the position `upto`.  A node has
+    no more pieces than the logarithm of the rows, however deep it lies.
+    """
+    labels = tree.labels
+    above = labels.filter("pos = 0 AND parent IS NOT NULL").select(F.col("id").alias("chain"), F.col("parent").alias("node"))
+    above = cut(above.join(labels.select(F.col("id").alias("node"), F.col("chain").alias("chain2"), F.col("pos").alias("upto2")), "node").select("chain", "chain2", "upto2"))
+    level = labels.select("id", F.col("light").alias("step"), "chain", F.col("pos").alias("upto"))
+    out = level
+    for _ in range(labels.agg(F.max("light")).first()[0] or 0):
+        level = level.filter("step > 0").join(above, "chain").select("id", (F.col("step") - 1).alias("step"), F.col("chain2").alias("chain"), F.col("upto2").alias("upto"))
+        level = cut(level)
+        out = out.unionByName(level)
+    return out
+
+
+def _chain_blocks(labels: DataFrame, block: int) -> DataFrame:
+    """(chain, part, members): the ids of each chain, in parts of `block` positions, so that a long chain is many rows."""
+    part = F.floor(F.col("pos") / block)
+    rows = labels.groupBy("chain", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("m"))
+    return rows.select("chain", "part", F.transform("m", lambda x: x["id"]).alias("members"))
+
+
+def full_paths(tree: Hierarchy, block: int = 512) -> DataFrame:
     """(id, path): the ids from the root down to each node.
 
-    Each chain is put together once; a node's path is the path above its chain
-    and the chain's beginning, so that one join a chain level suffices.
+    Chains are put together in parts of `block` nodes; a node's path is the path
+    above its chain, the chain's parts before its own and the beginning of that, so
+    that a chain of any length is spread over tasks.  All paths together grow with
+    rows times depth: path_segments() gives the same in few rows a node.
     """
     labels = tree.labels
-    chain = labels.groupBy("chain", "light").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("members"))
-    heads = labels.filter("pos = 0").select(F.col("id").alias("chain"), "parent")
-    chain = cut(chain.join(heads, "chain"))
+    parts = cut(_chain_blocks(labels, block))
+    later = parts.filter("part > 0").select("chain", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part") - 1)).alias("part"))
+    before = later.join(parts, ["chain", "part"]).groupBy("chain", "own").agg(F.array_sort(F.collect_list(F.struct("part", "members"))).alias("b"))
+    before = before.select("chain", F.col("own").alias("part"), F.flatten(F.transform("b", lambda x: x["members"])).alias("before"))
+    heads = labels.filter("pos = 0").select(F.col("id").alias("chain"), "parent", "light")
+    chain = cut(parts.join(before, ["chain", "part"], "left").join(heads, "chain").withColumn("before", F.coalesce("before", F.array().cast("array<long>"))))
 
     def unfold(level: DataFrame) -> DataFrame:
-        one = level.select("above", "members", F.posexplode("members").alias("pos", "id"))
+        one = level.select(F.concat("above", "before").alias("above"), "members", F.posexplode("members").alias("pos", "id"))
         return one.select("id", F.concat("above", F.slice("members", F.lit(1), F.col("pos") + 1)).alias("path"))
 
-    levels = labels.agg(F.max("light")).first()[0]
     paths = cut(unfold(chain.filter("light = 0").withColumn("above", F.array().cast("array<long>"))))
-    parts = [paths]
-    for light in range(1, (levels or 0) + 1):
+    out = paths
+    for light in range(1, (labels.agg(F.max("light")).first()[0] or 0) + 1):
         level = chain.filter(F.col("light") == light).join(paths.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent")
         paths = cut(unfold(level))
-        parts.append(paths)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(paths)
     return out
 
 
-def descendants(tree: Hierarchy) -> DataFrame:
-    """(ancestor, id, distance): every node below every node."""
-    at = full_paths(tree).select("id", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
-    return at.filter("ancestor <> id").select("ancestor", "id", (F.col("n") - 1 - F.col("at")).alias("distance"))
+def descendants(tree: Hierarchy, block: int = 512) -> DataFrame:
+    """(ancestor, id, distance): every node below every node, as many rows as nodes times their depth.
+
+    A node's pieces of chains meet those chains' parts; the intervals [pre,
+    pre + size) of the labels say the same in one row a node.
+    """
+    pieces = path_segments(tree).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("upto") / block))))
+    parts = cut(_chain_blocks(tree.labels, block))
+    at = pieces.join(parts, ["chain", "part"]).select("id", "upto", "part", F.posexplode("members").alias("k", "ancestor"))
+    at = at.filter((F.col("part") * block + F.col("k") <= F.col("upto")) & (F.col("ancestor") != F.col("id")))
+    depth = tree.labels.select("id", "depth")
+    out = at.select("id", "ancestor").join(depth, "id").join(depth.select(F.col("id").alias("ancestor"), F.col("depth").alias("up")), "ancestor")
+    return out.select("ancestor", "id", (F.col("depth") - F.col("up")).alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.operators.hierarchy import descendants, full_paths, heavy_paths, separate_cycles
+from sparrowdex.operators.hierarchy import descendants, full_paths, heavy_paths, path_segments, separate_cycles
 from sparrowdex.runtime import table
 
 
@@ -30,7 +30,13 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(tree).selectExpr("ancestor AS symbol_id", "id AS descendant_id", "distance")
 
 
-QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p4_intervals": p4_intervals}
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as pieces of chains: few rows a symbol, whatever its depth."""
+    tree = heavy_paths(table(spark, sf_dir, "symbols"), "id", "parent_id")
+    return path_segments(tree).selectExpr("id AS symbol_id", "step", "chain AS chain_id", "upto")
+
+
+QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p4_intervals": p4_intervals, "p4_segments": p4_segments}
 
 _LINKS = """links AS (
   SELECT s.id, p.id AS parent FROM symbols s LEFT JOIN symbols p ON s.parent_id = p.id),
@@ -39,6 +45,19 @@ down AS (
   UNION ALL
   SELECT l.id, d.root, d.depth + 1, d.path || '/' || CAST(l.id AS VARCHAR) FROM links l JOIN down d ON l.parent = d.id)"""
 
+_LABELS = """anc AS (
+  SELECT id, id AS above FROM links WHERE id IN (SELECT id FROM down)
+  UNION ALL
+  SELECT a.id, l.parent FROM anc a JOIN links l ON a.above = l.id WHERE l.parent IS NOT NULL),
+sized AS (SELECT l.id, l.parent, n.size FROM links l JOIN (SELECT above AS id, count(*) AS size FROM anc GROUP BY above) n USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM sized WHERE parent IS NOT NULL),
+placed AS (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY r > 1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ranked),
+lab AS (
+  SELECT id, id AS root, id AS chain, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS pre, CAST(0 AS BIGINT) AS light, size FROM sized WHERE parent IS NULL
+  UNION ALL
+  SELECT p.id, l.root, CASE WHEN r = 1 THEN l.chain ELSE p.id END, CASE WHEN r = 1 THEN l.pos + 1 ELSE 0 END, CAST(l.pre + p.off AS BIGINT),
+    l.light + CASE WHEN r = 1 THEN 0 ELSE 1 END, p.size FROM placed p JOIN lab l ON p.parent = l.id)"""
+
 SQL = {
     "p4_found": f"""WITH RECURSIVE {_LINKS},
 open AS (SELECT id, parent FROM links WHERE id NOT IN (SELECT id FROM down)),
@@ -63,17 +82,13 @@ anc AS (
   SELECT a.id, l.parent, a.distance + 1 FROM anc a JOIN links l ON a.above = l.id WHERE l.parent IS NOT NULL)
 SELECT above AS symbol_id, id AS descendant_id, distance FROM anc""",
     "p4_intervals": f"""WITH RECURSIVE {_LINKS},
-anc AS (
-  SELECT id, id AS above FROM links WHERE id IN (SELECT id FROM down)
-  UNION ALL
-  SELECT a.id, l.parent FROM anc a JOIN links l ON a.above = l.id WHERE l.parent IS NOT NULL),
-sized AS (SELECT l.id, l.parent, n.size FROM links l JOIN (SELECT above AS id, count(*) AS size FROM anc GROUP BY above) n USING (id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM sized WHERE parent IS NOT NULL),
-placed AS (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY r > 1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ranked),
-lab AS (
-  SELECT id, id AS root, id AS chain, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS pre, CAST(0 AS BIGINT) AS light, size FROM sized WHERE parent IS NULL
-  UNION ALL
-  SELECT p.id, l.root, CASE WHEN r = 1 THEN l.chain ELSE p.id END, CASE WHEN r = 1 THEN l.pos + 1 ELSE 0 END, CAST(l.pre + p.off AS BIGINT),
-    l.light + CASE WHEN r = 1 THEN 0 ELSE 1 END, p.size FROM placed p JOIN lab l ON p.parent = l.id)
+{_LABELS}
 SELECT id AS symbol_id, root AS root_id, chain AS chain_id, pos AS chain_pos, pre AS first, pre + size - 1 AS last, light AS chains_above FROM lab""",
+    "p4_segments": f"""WITH RECURSIVE {_LINKS},
+{_LABELS},
+seg AS (
+  SELECT id, light AS step, chain, pos AS upto FROM lab
+  UNION ALL
+  SELECT g.id, g.step - 1, u.chain, u.pos FROM seg g JOIN links l ON l.id = g.chain JOIN lab u ON u.id = l.parent WHERE g.step > 0)
+SELECT id AS symbol_id, step, chain AS chain_id, upto FROM seg""",
 }
