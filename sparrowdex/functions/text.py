@@ -128,14 +128,6 @@ def fold(text: Column) -> Column:
     return text
 
 
-def compact(text: Column) -> Column:
-    """Repeats, dead code and blank lines dropped and expressions folded, where the rules find any."""
-    out = let(text, lambda x: F.when(F.size(repeated_lines(x)) > 0, drop_repeats(x)).otherwise(x))
-    out = F.when(F.size(dead_code(text)) > 0, let(out, drop_dead_code)).otherwise(out)
-    out = let(out, lambda x: F.when(F.size(foldable(text)) > 0, fold(x)).otherwise(x))
-    return let(out, lambda x: F.when(F.size(blank_lines(text)) > 0, drop_blank(x)).otherwise(x))
-
-
 def limit_blank_runs(text: Column) -> Column:
     """Three or more blank lines in a row become two."""
     rows = F.transform(lines(text), lambda x: F.when(strip(x) == "", "").otherwise(x))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparrowdex.functions.text import CODE_WORDS, FOLDABLE, TRIVIAL_CONDITIONS
+
 DIM = 384
 _FNV_START, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -172,6 +174,96 @@ def thread_to_markdown(body: str, most: int = 5) -> tuple[str, str] | None:
     return title, "\n\n".join(out)
 
 
+_WHITE = " \t\r\n\f"
+
+
+def _lines(text: str) -> list[str]:
+    rows = text.removesuffix("\n").split("\n") if text else []
+    return [x.removesuffix("\r") for x in rows]
+
+
+def _disruption(before: list[str], after: list[str]) -> float:
+    """Share of the lines of the longer text that the rewrite does not keep."""
+    known, most = set(before), max(len(before), len(after))
+    return 1 - sum(x in known for x in after) / most if most else 0.0
+
+
+def compact_text(text: str, least: int = 0, most_disruption: float = 1.0) -> tuple[str, list[str], float]:
+    """A text after the rules that save enough, their names in order, and how far it was disrupted.
+
+    Each rule looks at the lines of the original text.  Findings that save fewer than
+    `least` tokens (a quarter of the bytes) count for nothing; a rule with findings
+    rewrites the text as a whole, dead code only by its own findings.  A result that
+    is disrupted beyond the limit is given up for the original.
+    """
+    rows = _lines(text)
+    bare = [x.strip(_WHITE) for x in rows]
+    size = lambda x: len(x.encode("utf-8", "surrogatepass"))
+    first = lambda x, forms: next((f for f in forms if f in x), None)
+    worth, run = False, 1
+    for k in range(1, len(bare) + 1):
+        if k < len(bare) and bare[k] and bare[k] == bare[k - 1]:
+            run += 1
+            continue
+        worth |= run > 1 and size(bare[k - 1]) * (run - 1) // 4 >= least
+        run = 1
+    conditions = [c for x in bare if (c := first(x, TRIVIAL_CONDITIONS)) and len(c) // 4 >= least]
+    dead = {x for x in bare if x.startswith("// ") and any(w in x[3:] for w in CODE_WORDS) and size(x) // 4 >= least}
+    folds = any(len(f) // 4 >= least for x in rows if (f := first(x, [a for a, _ in FOLDABLE])))
+    blanks = any(x and not x.strip(" \t") and len(x) // 4 >= least for x in rows)
+    rules, out = [], text
+    if worth:
+        rules.append("repeats")
+        own = _lines(out)
+        out = "\n".join(x for k, x in enumerate(own) if not k or x != own[k - 1])
+    if conditions:
+        rules.append("conditions")  # found and counted, never rewritten
+    if dead:
+        rules.append("dead code")
+        form = re.compile("|".join(map(re.escape, sorted(dead, key=len))))
+        out = "\n".join(x for x in _lines(out) if not form.search(x))
+    if folds:
+        rules.append("folds")
+        for a, b in FOLDABLE:
+            out = out.replace(a, b)
+    if blanks:
+        rules.append("blanks")
+        out = "\n".join(x for x in _lines(out) if x.strip(_WHITE))
+    far = _disruption(rows, _lines(out)) if rules else 0.0
+    return (text, [], 0.0) if rules and far > most_disruption else (out, rules, far)
+
+
+def compact(least: int = 0, most_disruption: float = 1.0):
+    """compact_text() as a function of a column: struct<text, rules, disruption>, null for a null text."""
+
+    @F.pandas_udf("text string, rules array<string>, disruption double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        got = [(None, None, None) if t is None else compact_text(t, least, most_disruption) for t in text]
+        return pd.DataFrame(got, columns=["text", "rules", "disruption"])
+
+    return run
+
+
+def _trigram_set(text: str) -> np.ndarray:
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    return np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.empty(0, np.uint32)
+
+
+@F.pandas_udf(T.DoubleType())
+def trigram_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of the byte trigrams of two texts, 1 for two without any; null for a null text."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        p, q = _trigram_set(x), _trigram_set(y)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        union = len(p) + len(q) - both
+        return both / union if union else 1.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def unified_diff(old: str, new: str, label: str = "text", context: int = 3) -> str:
     """Unified diff of two texts by lines."""
     return "\n".join(difflib.unified_diff(old.split("\n"), new.split("\n"), f"a/{label}", f"b/{label}", lineterm="", n=context))
@@ -197,4 +289,12 @@ def links_of(base: pd.Series, page: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def diff_of(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else unified_diff(a, b) for a, b in zip(old, new)])
+    """The diff of two texts where it is shorter than the new one, else the new text itself; null for a null text."""
+
+    def one(a: str | None, b: str | None) -> str | None:
+        if a is None or b is None:
+            return None
+        told = unified_diff(a, b)
+        return told if len(told) < len(b) else b
+
+    return pd.Series([one(a, b) for a, b in zip(old, new)])

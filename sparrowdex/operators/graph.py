@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdex.runtime import cut
@@ -132,16 +132,14 @@ def why(edges: DataFrame, src: int, dst: int, max_depth: int) -> DataFrame:
     end = spark.createDataFrame([(dst,)], "node long")
     back = walk(pairs, end, max_depth, incoming=True).withColumnRenamed("depth", "left")
     back = cut(back)
-    at = spark.createDataFrame([(src,)], "node long")
+    at = back.filter(F.col("node") == src).first()
     hops = []
-    for hop in range(1, max_depth + 1):
-        here = at.join(back, "node").first()
-        if here is None or here["left"] == 0:
-            break
-        step = pairs.join(at.withColumnRenamed("node", "src"), "src").join(back.filter(F.col("left") == here["left"] - 1).selectExpr("node AS dst"), "dst").agg(F.min("dst").alias("dst")).first()
-        a, b = here["node"], step["dst"]
-        hops.append((hop, a, b))
-        at = spark.createDataFrame([(b,)], "node long")
+    if at is not None:  # one action a hop, each over the edges of one node
+        node = at["node"]
+        for hop in range(1, at["left"] + 1):
+            step = pairs.filter(F.col("src") == node).join(back.filter(F.col("left") == at["left"] - hop).selectExpr("node AS dst"), "dst").agg(F.min("dst").alias("dst")).first()
+            hops.append((hop, node, step["dst"]))
+            node = step["dst"]
     path = spark.createDataFrame(hops, "hop int, src long, dst long")
     chosen = edges.select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"), "kind", "line").join(path, ["src", "dst"])
     return chosen.groupBy("hop", "src", "dst").agg(F.min(F.struct("kind", "line")).alias("e")).select("hop", "src", "dst", "e.kind", "e.line")
@@ -237,8 +235,7 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int,
             break
         out = seen = seen.unionByName(front)
     if max_pages is not None:
-        best = out.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct("depth", "url"))), 1, max_pages).alias("p"))
-        out = best.select("seed", F.inline("p")).select("seed", "url", "depth")
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))).filter(F.col("_n") <= max_pages).drop("_n")
     return out
 
 

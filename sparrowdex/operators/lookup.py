@@ -116,9 +116,15 @@ def compact_snippet(text: Column, width: int = 80) -> Column:
 
 
 def lines_at(texts: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
-    """places (key, line) with the text of the line, counted from 1; places outside a text fall away."""
-    lines = texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "snippet"))
-    return places.join(lines, (places[key] == lines[key]) & (places["line"] == lines["at"] + 1)).select(places[key], "line", "snippet")
+    """places (key, line) with the text of the line, counted from 1; places outside a text fall away.
+
+    Texts are split once for all their places, and no line but the asked ones leaves the row.
+    """
+    own = places.groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("_at"))
+    met = own.join(texts.select(key, F.split(text, "\n", -1).alias("_lines")), key)
+    rows = met.select(key, "_lines", F.explode("_at").alias("line")).filter((F.col("line") >= 1) & (F.col("line") <= F.size("_lines")))
+    found = rows.select(key, "line", F.get("_lines", F.col("line") - 1).alias("snippet"))
+    return places.select(key, "line").join(found, [key, "line"]).select(key, "line", "snippet")
 
 
 def selectors(view: DataFrame) -> DataFrame:
@@ -128,11 +134,54 @@ def selectors(view: DataFrame) -> DataFrame:
     return own.groupBy("selector").agg(F.count("*").alias("candidates"), F.array_join(F.sort_array(F.collect_list("line_start")), ",").alias("lines"))
 
 
-def splice(text: Column, first: int, last: int, new: str) -> Column:
-    """Replace the lines first to last (from 1) by new text; texts with fewer lines stay as they are."""
+def splice(text: Column, first: Column | int, last: Column | int, new: Column | str) -> Column:
+    """Replace the lines first to last (from 1) by new text.
+
+    A text with CRLF line ends gives them to the new lines too; one line feed at the
+    end of the new text opens no line.  Where the lines are no span of the text, it
+    stays as it is.
+    """
+    first, last, new = (x if isinstance(x, Column) else F.lit(x) for x in (first, last, new))
     lines = F.split(text, "\n", -1)
-    made = F.concat(F.slice(lines, 1, first - 1), F.array(F.lit(new)), F.slice(lines, F.lit(last + 1), F.greatest(F.size(lines) - last, F.lit(0))))
-    return F.when(F.size(lines) >= last, F.array_join(made, "\n")).otherwise(text)
+    put = F.transform(F.split(F.regexp_replace(new, r"\n\z", ""), "\n", -1), lambda x: F.concat(F.regexp_replace(x, r"\r\z", ""), F.when(text.contains("\r\n"), "\r").otherwise("")))
+    made = F.concat(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))), put, F.slice(lines, F.greatest(last, F.lit(0)) + 1, F.greatest(F.size(lines) - last, F.lit(0))))
+    return F.when((first >= 1) & (last >= first) & (last <= F.size(lines)), F.array_join(made, "\n")).otherwise(text)
+
+
+def code_chunks(symbols: DataFrame, sources: DataFrame, most: int = 6000) -> DataFrame:
+    """(source_id, body): a chunk a symbol, its header, signature and lines, cut at so many characters.
+
+    symbols(file, name, kind, signature, line_start, line_end), sources(file, text).
+    Symbols whose lines are blank or outside their text give none; a file is split
+    once for all its symbols.
+    """
+    own = symbols.groupBy("file").agg(F.collect_list(F.struct("name", "kind", "signature", "line_start", "line_end")).alias("_s"))
+    rows = own.join(sources.select("file", F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", "")).alias("_lines")), "file")
+    rows = rows.select("file", "_lines", F.inline("_s"))
+    start = F.greatest(F.col("line_start"), F.lit(1))
+    span = F.array_join(F.slice("_lines", start, F.greatest(F.col("line_end"), start) - start + 1), "\n")
+    rows = rows.withColumn("span", span).filter(F.col("span").rlike(r"[^ \t\r\n\f]"))
+    head = F.concat(F.col("file"), F.lit(":"), F.col("name"), F.lit(" ["), F.col("kind"), F.lit("]\n"), F.coalesce("signature", F.lit("")), F.lit("\n"), F.col("span"))
+    return rows.select(F.concat(F.lit("code:"), F.col("file"), F.lit("#"), F.col("name"), F.lit("@"), F.col("line_start")).alias("source_id"), F.substring(head, 1, most).alias("body"))
+
+
+def bundle(view: DataFrame, calls: DataFrame, refs: DataFrame, near: DataFrame, name: str, most: int = 50) -> DataFrame:
+    """(part, place, name, file, line): what a change of a symbol touches, part by part.
+
+    The symbol is the first real one of the name by id; then its callers and
+    references in (file, line) order, `most` of each, the outline of its file and
+    the symbols near(node, depth) that reach it, whose place is their depth.
+    """
+    own = real(view).filter(F.col("name") == name).orderBy("id").limit(1)
+    first = own.select(F.lit("symbol").alias("part"), F.lit(1).alias("place"), "name", "file", F.col("line_start").alias("line"))
+
+    def hits(rows: DataFrame, part: str) -> DataFrame:
+        top = rows.orderBy("file", "line", "src_symbol_id").limit(most)
+        return top.select(F.lit(part).alias("part"), F.row_number().over(Window.orderBy("file", "line", "src_symbol_id")).alias("place"), F.col("src_name").alias("name"), "file", "line")
+
+    outline = real(view).join(own.select("file"), "file", "left_semi").select(F.lit("outline").alias("part"), F.lit(0).alias("place"), "name", "file", F.col("line_start").alias("line"))
+    blast = near.filter("depth > 0").join(view.select(F.col("id").alias("node"), "name", "file", "line_start"), "node").select(F.lit("blast").alias("part"), F.col("depth").alias("place"), "name", "file", F.col("line_start").alias("line"))
+    return first.unionByName(hits(calls, "caller")).unionByName(hits(refs, "ref")).unionByName(outline).unionByName(blast)
 
 
 def fingerprint(body: Column, known: Column) -> Column:
@@ -181,6 +230,12 @@ def hot_symbols(edges: DataFrame, view: DataFrame, limit: int, kinds: Iterable[s
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row a key, the first in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row a key, the first in the order.
+
+    A hot key is dealt to 16 tasks first: the first of each part, then the first of
+    these.  Of rows alike in keys and order one comes out.
+    """
+    rank = F.row_number()
+    part = rows.withColumn("_p", F.pmod(F.xxhash64(*rows.columns), F.lit(16)))
+    part = part.withColumn("_n", rank.over(Window.partitionBy(*keys, "_p").orderBy(*order))).filter("_n = 1")
+    return part.withColumn("_n", rank.over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n", "_p")

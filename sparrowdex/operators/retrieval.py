@@ -6,9 +6,12 @@ survivors only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from enum import Enum
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,23 +93,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), _dot(a, b) / n).otherwise(0.0)
 
 
-def l2_score(a: Column, b: Column) -> Column:
-    """max(0, 1 - d^2 / 2) for the Euclidean distance d of two unit vectors."""
-    d2 = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return F.greatest(F.lit(0.0), 1 - d2 / 2)
+def _scores(kind: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(rows of x, rows of q) scores of vectors of one length."""
+    if kind == "hamming":
+        return (np.where(x >= 0, 1.0, -1.0) @ np.where(q >= 0, 1.0, -1.0).T) / x.shape[1]
+    dots = np.einsum("id,jd->ij", x, q)  # one order of additions for every pair, so that equal vectors tie
+    nx, nq = np.einsum("id,id->i", x, x), np.einsum("jd,jd->j", q, q)
+    if kind == "l2":
+        return np.maximum(0.0, 1 - np.maximum(nx[:, None] + nq[None, :] - 2 * dots, 0) / 2)
+    norm = np.sqrt(nx)[:, None] * np.sqrt(nq)[None, :]
+    return np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, score=cosine, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, score: str = "cosine", id_col: str = "id", vec_col: str = "vec", block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the k best vectors of a stated set of queries(query_id, query_vec), exactly.
 
-    Queries travel to the vectors as one array; per query no more than k rows of
-    a partition are shuffled.
+    score: cosine, l2 (max(0, 1 - d^2 / 2)) or hamming (1 - 2 h / dim of the signs).
+    Queries travel in blocks of bounded size; every batch of vectors gives no more
+    than its own k best a query.  Scores count to twelve digits, ties go to the
+    smaller id; null, empty and other-length vectors score 0.  No queries, no rows.
     """
-    asked = queries.agg(F.collect_list(F.struct("query_id", "query_vec")).alias("qs"))  # the stated set
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(asked))
-    rows = rows.select("id", "v", F.inline("qs")).select("query_id", "id", score(F.col("v"), F.col("query_vec")).alias("score"))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<double>").alias("q"))
+    blocks, out = math.ceil(asked.count() / block), None
+    for n in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas()
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), [np.array([] if v is None else v, dtype=np.float64) for v in part["q"]]))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qid, qs = shared.value
+            lengths = np.array([len(q) for q in qs])
+            for pdf in batches:
+                if not len(pdf) or not len(qid):
+                    continue
+                ids, own = pdf["id"].to_numpy(), np.array([0 if v is None else len(v) for v in pdf["v"]])
+                s = np.zeros((len(ids), len(qid)))
+                for d in set(lengths.tolist()) & set(own.tolist()) - {0}:
+                    i, j = np.flatnonzero(own == d), np.flatnonzero(lengths == d)
+                    s[np.ix_(i, j)] = _scores(score, np.vstack(pdf["v"].to_numpy()[i]), np.vstack([qs[x] for x in j]))
+                s = np.round(s, 12)
+                order = np.argsort(ids, kind="stable")
+                top = order[np.argsort(-s[order], axis=0, kind="stable")[:k]]
+                at = np.repeat(np.arange(len(qid)), len(top))
+                i = top.T.ravel()
+                yield pd.DataFrame({"query_id": qid[at], "id": ids[i], "score": s[i, at]})
+
+        got = rows.mapInPandas(best, "query_id long, id long, score double")
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def fuse(rankings: Sequence[DataFrame], limit: int) -> DataFrame:
@@ -139,9 +177,15 @@ def search(mode: SearchMode, docs: DataFrame, vectors: DataFrame, query: str, qu
 
 
 def dedup(drawers: DataFrame) -> DataFrame:
-    """(id, kept_id): every drawer and the first one with its source and body."""
-    w = Window.partitionBy("source_id", F.sha2(F.col("body").cast("binary"), 256))
-    return drawers.select("id", F.min("id").over(w).alias("kept_id"))
+    """(id, kept_id): every drawer and the first one with its source and body.
+
+    The first id of a key is aggregated and joined back, so that a key with a third
+    of all rows is combined before it is shuffled.
+    """
+    own = drawers.select("id", F.col("source_id").isNull().alias("no_source"), F.coalesce("source_id", F.lit("")).alias("source_id"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"))
+    own = own.withColumn("sha", F.coalesce("sha", F.lit("")))  # a null body has no hash
+    keys = ["no_source", "source_id", "sha"]
+    return own.join(own.groupBy(*keys).agg(F.min("id").alias("kept_id")), keys).select("id", "kept_id")
 
 
 def add_documents(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -182,12 +226,6 @@ def sign_bits(vec: Column) -> Column:
     return F.transform(vec, lambda x: x >= 0)
 
 
-def hamming_score(a: Column, b: Column) -> Column:
-    """1 - 2 h / dim of two arrays of sign bits."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return 1 - 2 * differ / F.size(a)
-
-
 def capture(store: DataFrame, events: DataFrame, wing: str) -> DataFrame:
     """A store with query events(op, query) kept as documents, each once."""
     body = F.concat_ws(": ", "op", "query")

@@ -53,10 +53,11 @@ def _importers(t: Tables) -> DataFrame:
 
 
 def _why(t: Tables) -> DataFrame:
-    """From the smallest symbol with a call to the hub."""
-    dst = _hub(t).first()
-    src = t.edges.agg(F.min("src_symbol_id").alias("n")).first()
-    return G.why(t.edges, src["n"] or 0, dst["node"] if dst else 0, 12).agg(F.count("*").alias("hops"))
+    """From the farthest symbol that leads to the hub, of several the smallest, to the hub."""
+    hub = _hub(t)
+    dst = hub.first()
+    far = G.walk(G.call_graph(t.edges, None), hub, 12, incoming=True).orderBy(F.desc("depth"), "node").first()
+    return G.why(t.edges, far["node"] if far else 0, dst["node"] if dst else 0, 12)
 
 
 def _site_links(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +81,7 @@ QUERIES = {
     "G04_cycles": bound(lambda t: G.cycles(G.call_graph(t.edges))),
     "G05_blast_radius": bound(lambda t: G.blast_radius(t.edges, t.sym, _hub(t), 4)),
     "G06_orphans": bound(lambda t: G.orphans(G.call_graph(t.edges))),
-    "G07_why_hops": bound(_why),
+    "G07_why_path": bound(_why),
     "G08_importers": bound(_importers),
     "G09_affected_tests": bound(lambda t: G.affected(t.edges, t.sym, _stale_symbols(t))),
     "G10_test_symbols": bound(lambda t: t.sym.filter(G.is_test(F.col("kind"), F.col("file"), F.col("name"), F.col("parent"))).select("id", "name", "file")),
@@ -102,8 +103,12 @@ r AS (SELECT src AS a, dst AS b FROM core UNION SELECT r.a, c.dst FROM r JOIN co
 SELECT x.a AS node, min(least(x.a, x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""",
     "G05_blast_radius": f"WITH RECURSIVE {SYM}, {_HUB}, {_walk_sql('SELECT node FROM hub', 4, '', True)} SELECT id, name, kind, file, depth FROM near JOIN sym ON id = node",
     "G06_orphans": "SELECT DISTINCT src_symbol_id AS node FROM edges WHERE kind = 'call' AND src_symbol_id NOT IN (SELECT dst_symbol_id FROM edges WHERE kind = 'call')",
-    "G07_why_hops": f"""WITH RECURSIVE {_HUB}, {_walk_sql('SELECT min(src_symbol_id) AS node FROM edges', 12, '', False)}
-SELECT CAST(coalesce((SELECT depth FROM near WHERE node = (SELECT node FROM hub)), 0) AS BIGINT) AS hops""",
+    "G07_why_path": f"""WITH RECURSIVE {_HUB}, {_walk_sql('SELECT node FROM hub', 12, '', True, True)},
+pair AS (SELECT DISTINCT e.src_symbol_id AS src, e.dst_symbol_id AS dst, b.depth AS rest FROM edges e JOIN near a ON a.node = e.src_symbol_id JOIN near b ON b.node = e.dst_symbol_id WHERE b.depth = a.depth - 1),
+step AS (SELECT src, min(dst) AS dst FROM pair GROUP BY src),
+far AS (SELECT node FROM near WHERE depth > 0 ORDER BY depth DESC, node LIMIT 1),
+path AS (SELECT 1 AS hop, src, dst FROM step WHERE src = (SELECT node FROM far) UNION ALL SELECT p.hop + 1, n.src, n.dst FROM path p JOIN step n ON n.src = p.dst)
+SELECT p.hop, p.src, p.dst, m.kind, m.line FROM path p JOIN (SELECT src_symbol_id AS src, dst_symbol_id AS dst, min(struct_pack(kind := kind, line := line)) AS m FROM edges GROUP BY 1, 2) USING (src, dst)""",
     "G08_importers": """WITH target AS (SELECT file_id FROM symbols WHERE kind <> 'sentinel' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 p AS (SELECT s.file_id AS a, d.file_id AS b, count(*) AS n FROM edges e JOIN symbols s ON s.id = e.src_symbol_id JOIN symbols d ON d.id = e.dst_symbol_id WHERE s.file_id <> d.file_id GROUP BY 1, 2),
 one AS (SELECT a, sum(n) AS n FROM p WHERE b IN (SELECT file_id FROM target) GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex.operators import graph as G
 from sparrowdex.operators import lookup as L
 from sparrowdex.plans.binding import HITS, NAME, SYM, Tables, bound
 
@@ -57,12 +58,10 @@ _ENCLOSED = f"""{HITS}, inner_sym AS (SELECT h.file_id, h.line, arg_min(struct_p
 
 
 def _bundle(t: Tables) -> DataFrame:
-    """For every real symbol of the name: its callers, references and the size of its file's outline."""
-    own = L.find_symbols(t.sym, [NAME]).select("id", "file", "file_id")
-    deg = t.edges.groupBy(F.col("dst_symbol_id").alias("id")).agg(F.count_if(F.col("kind") == "call").alias("callers"), F.count_if(F.col("kind").isin("call", "ref")).alias("refs"))
-    outline = L.real(t.symbols).groupBy("file_id").agg(F.count("*").alias("outline"))
-    out = own.join(deg, "id", "left").join(outline, "file_id", "left")
-    return out.select("id", "file", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("refs", F.lit(0)).alias("refs"), "outline")
+    """What a change of the first symbol of the name touches, as far as two calls away."""
+    seed = L.find_symbols(t.sym, [NAME]).orderBy("id").limit(1).select(F.col("id").alias("node"))
+    near = G.walk(G.call_graph(t.edges, None), seed, 2, incoming=True)
+    return L.bundle(t.sym, _calls(t), _refs(t), near, NAME)
 
 
 QUERIES = {
@@ -81,7 +80,7 @@ QUERIES = {
     "L10_snippets": bound(lambda t: t.documents.select("doc_id", L.compact_snippet(F.col("text")).alias("snippet"))),
     "L11_lines_at": bound(lambda t: L.lines_at(t.documents, t.documents.selectExpr("doc_id", "CAST(1 + doc_id % 5 AS INT) AS line"), "doc_id", "text")),
     "L12_selectors": bound(lambda t: L.selectors(t.sym)),
-    "L13_splice": bound(lambda t: t.documents.select("doc_id", L.splice(F.col("text"), 2, 3, "REPLACED").alias("text"))),
+    "L13_splice": bound(lambda t: t.documents.select("doc_id", L.splice(F.col("text"), 2, 3, "REPLACED\nBY THIS\n").alias("text"))),
     "L14_changed_symbols": bound(lambda t: L.in_files(L.real(t.sym), _stale(t)).select("id", "file", "name")),
     "L15_fingerprints": bound(lambda t: t.drawers.select("id", L.fingerprint(F.col("body"), F.col("sha256")).alias("state"), F.sha2(F.col("body").cast("binary"), 256).alias("fingerprint"))),
     "L16_diff_symbols": bound(lambda t: L.diff_symbols(_before(t), _after(t))),
@@ -132,14 +131,21 @@ SELECT doc_id, CASE WHEN length(s) > 80 THEN left(s, 80) || '…' ELSE s END AS
     "L11_lines_at": "WITH placed AS (SELECT doc_id, CAST(1 + doc_id % 5 AS INT) AS line, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, line, l[line] AS snippet FROM placed WHERE line <= len(l)",
     "L12_selectors": f"""WITH {SYM} SELECT file || '#' || CASE WHEN parent IS NOT NULL THEN parent || '::' || name ELSE name END AS selector, count(*) AS candidates,
 string_agg(CAST(line_start AS VARCHAR), ',' ORDER BY line_start) AS lines FROM sym WHERE kind <> 'sentinel' GROUP BY 1""",
-    "L13_splice": "WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) >= 3 THEN array_to_string(list_concat(list_concat(l[1:1], ['REPLACED']), l[4:]), chr(10)) ELSE text END AS text FROM l",
+    "L13_splice": r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, CASE WHEN contains(text, chr(13) || chr(10)) THEN chr(13) ELSE '' END AS cr FROM documents)
+SELECT doc_id, CASE WHEN len(l) >= 3 THEN array_to_string(list_concat(list_concat(l[1:1], ['REPLACED' || cr, 'BY THIS' || cr]), l[4:]), chr(10)) ELSE text END AS text FROM l""",
     "L14_changed_symbols": f"WITH {SYM} SELECT id, file, name FROM sym WHERE kind <> 'sentinel' AND file IN (SELECT path FROM files WHERE indexed_at < mtime)",
     "L15_fingerprints": "SELECT id, CASE WHEN sha256(body) = drawers.sha256 THEN 'unchanged' ELSE 'result' END AS state, sha256(body) AS fingerprint FROM drawers",
     "L16_diff_symbols": f"WITH {_SNAPSHOTS} SELECT file, name, change FROM changes",
     "L17_broken_callers": f"WITH {_SNAPSHOTS}, {HITS} SELECT DISTINCT file FROM hits WHERE kind = 'call' AND name IN (SELECT name FROM changes WHERE change = 'removed')",
-    "L18_symbol_bundle": f"""WITH {SYM} SELECT s.id, s.file, (SELECT count(*) FROM edges e WHERE e.dst_symbol_id = s.id AND e.kind = 'call') AS callers,
-(SELECT count(*) FROM edges e WHERE e.dst_symbol_id = s.id AND e.kind IN ('call', 'ref')) AS refs, (SELECT count(*) FROM symbols o WHERE o.file_id = s.file_id AND o.kind <> 'sentinel') AS outline
-FROM sym s WHERE s.name = '{NAME}' AND s.kind <> 'sentinel'""",
+    "L18_symbol_bundle": f"""WITH RECURSIVE {SYM}, {HITS}, own AS (SELECT * FROM sym WHERE name = '{NAME}' AND kind <> 'sentinel' ORDER BY id LIMIT 1),
+w AS (SELECT id AS node, 0 AS depth FROM own UNION SELECT e.src_symbol_id, w.depth + 1 FROM w JOIN edges e ON e.dst_symbol_id = w.node WHERE w.depth < 2),
+near AS (SELECT node, min(depth) AS depth FROM w GROUP BY node HAVING min(depth) > 0),
+c AS (SELECT src_name, file, line, row_number() OVER (ORDER BY file, line, src_symbol_id) AS n FROM hits WHERE name = '{NAME}' AND kind = 'call' QUALIFY n <= 50),
+r AS (SELECT src_name, file, line, row_number() OVER (ORDER BY file, line, src_symbol_id) AS n FROM hits WHERE name = '{NAME}' AND kind IN ('call', 'ref') QUALIFY n <= 50)
+SELECT 'symbol' AS part, 1 AS place, name, file, line_start AS line FROM own
+UNION ALL SELECT 'caller', n, src_name, file, line FROM c UNION ALL SELECT 'ref', n, src_name, file, line FROM r
+UNION ALL SELECT 'outline', 0, name, file, line_start FROM sym WHERE kind <> 'sentinel' AND file = (SELECT file FROM own)
+UNION ALL SELECT 'blast', depth, name, file, line_start FROM near JOIN sym ON id = node""",
     "L19_by_repo": f"WITH {SYM} SELECT string_split(file, '/')[1] AS repo, count(*) AS hits FROM sym WHERE name = '{NAME}' AND kind <> 'sentinel' GROUP BY 1",
     "A01_top_files": f"WITH {HITS} SELECT file, count(*) AS hits FROM hits WHERE name = '{NAME}' AND kind IN ('call', 'ref') GROUP BY file ORDER BY hits DESC, file LIMIT 5",
     "A01_top_symbols": f"""WITH {_ENCLOSED} SELECT i.m.name AS symbol, h.file, count(*) AS hits FROM hits h JOIN inner_sym i ON i.file_id = h.file_id AND i.line = h.line

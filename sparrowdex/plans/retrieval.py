@@ -14,8 +14,13 @@ _Q = "compiler thread Prüfung cache thread"
 _TERMS = R.query_terms(_Q)
 
 
-def _asked(t: Tables, most: int = 5):
-    return t.embeddings.filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def _asked(t: Tables):
+    """The stated set of queries: every vector with an id divisible by 20."""
+    return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def _one(t: Tables):
+    return t.embeddings.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 def _vectors(t: Tables):
@@ -35,7 +40,7 @@ def _modes(t: Tables):
     """The same search under one name of each mode."""
     out = None
     for name in ("text", "KNN", "fusion"):
-        got = R.search(R.SearchMode.parse(name), _docs(t), _vectors(t), _Q, _asked(t, 1), 10).select(F.lit(name).alias("mode"), "id")
+        got = R.search(R.SearchMode.parse(name), _docs(t), _vectors(t), _Q, _one(t), 10).select(F.lit(name).alias("mode"), "id")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -65,16 +70,16 @@ QUERIES = {
     "R01_dedup": bound(lambda t: R.dedup(t.drawers)),
     "R01_add": bound(lambda t: R.add_documents(t.drawers.filter("id % 2 = 0").select("id", "source_id", "sha256", "body"), t.drawers.filter("id % 2 = 1").select("id", "source_id", "sha256", "body")).select("id")),
     "R02_vector_search": bound(lambda t: R.vector_search(_vectors(t), _asked(t), 10).withColumn("score", F.round("score", 6))),
-    "R03_l2_search": bound(lambda t: R.vector_search(_vectors(t), _asked(t), 10, R.l2_score).withColumn("score", F.round("score", 6))),
+    "R03_l2_search": bound(lambda t: R.vector_search(_vectors(t), _asked(t), 10, "l2").withColumn("score", F.round("score", 6))),
     "R04_bm25": bound(lambda t: R.bm25(t.drawers, _Q, 50).select("id", F.round("score", 6).alias("score"))),
     "R04_bm25_all": bound(lambda t: R.bm25(_docs(t), _Q).select("id", F.round("score", 6).alias("score"))),
     "R05_overlap": bound(lambda t: R.overlap_score(t.drawers, _Q).select("id", F.round("score", 6).alias("score"))),
-    "R06_hybrid": bound(lambda t: R.hybrid(_docs(t), _vectors(t), _Q, _asked(t, 1), 20).select("id", F.round("score", 9).alias("score"))),
+    "R06_hybrid": bound(lambda t: R.hybrid(_docs(t), _vectors(t), _Q, _one(t), 20).select("id", F.round("score", 9).alias("score"))),
     "R07_search_modes": bound(_modes),
     "R18_capture": bound(lambda t: R.capture(t.drawers, t.events.select(F.col("event_type").alias("op"), F.col("user_id").cast("string").alias("query")), "events").filter("source_id LIKE 'events:%'").select("source_id", "body")),
     "R08_hash_embedding": bound(lambda t: t.drawers.select("id", F.round(embed(F.coalesce("body", F.lit("")))[0].cast("double"), 5).alias("first"))),
     "R10_quantise": bound(lambda t: t.embeddings.withColumn("c", R.quantise(F.col("embedding"))).select("vec_id", F.round("c.scale", 9).alias("scale"), F.aggregate("c.q", F.lit(0).cast("long"), lambda s, x: s + x).alias("q_sum"), F.round(R.cosine(F.col("embedding"), R.dequantise(F.col("c"))), 4).alias("kept"))),
-    "R11_hamming": bound(lambda t: R.vector_search(_vectors(t).withColumn("vec", R.sign_bits(F.col("vec"))), _asked(t).withColumn("query_vec", R.sign_bits(F.col("query_vec"))), 10, R.hamming_score).withColumn("score", F.round("score", 6))),
+    "R11_hamming": bound(lambda t: R.vector_search(_vectors(t), _asked(t), 10, "hamming").withColumn("score", F.round("score", 6))),
     "R12_list": bound(lambda t: t.drawer.filter("wing = 'note'").orderBy("id").limit(100).select("id", "wing", "room", "source_id")),
     "R09_embed_once": bound(lambda t: t.drawers.select(F.sha2(F.col("body").cast("binary"), 256).alias("hash"), "body").dropDuplicates(["hash"]).select("hash", F.size(embed(F.coalesce("body", F.lit("")))).alias("dim"))),
     "R12_get": bound(lambda t: t.drawer.join(t.drawer_embeddings.filter("dim = 96").select(F.col("drawer_id").alias("id")), "id", "left_semi").select("id", "wing", "room", "source_id")),
@@ -93,21 +98,21 @@ SQL = {
     "R01_dedup": "SELECT id, min(id) OVER (PARTITION BY source_id, sha256(body)) AS kept_id FROM drawers",
     "R01_add": """WITH odd AS (SELECT id FROM drawers WHERE id % 2 = 1 QUALIFY id = min(id) OVER (PARTITION BY source_id, sha256(body)))
 SELECT id FROM drawers WHERE id % 2 = 0 UNION ALL SELECT d.id FROM drawers d JOIN odd USING (id) WHERE NOT EXISTS (SELECT 1 FROM drawers e WHERE e.id % 2 = 0 AND e.source_id = d.source_id AND e.sha256 = d.sha256)""",
-    "R02_vector_search": f"""WITH {_VEC}, s AS (SELECT q.id AS query_id, v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id < 5)
-SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
-    "R03_l2_search": f"""WITH {_VEC}, s AS (SELECT q.id AS query_id, v.id, greatest(0.0, 1 - list_sum(list_transform(list_zip(v.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2) AS s FROM v q, v WHERE q.id < 5)
-SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
+    "R02_vector_search": f"""WITH {_VEC}, s AS (SELECT q.id AS query_id, v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id % 20 = 0)
+SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
+    "R03_l2_search": f"""WITH {_VEC}, s AS (SELECT q.id AS query_id, v.id, greatest(0.0, 1 - list_sum(list_transform(list_zip(v.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2) AS s FROM v q, v WHERE q.id % 20 = 0)
+SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "R04_bm25": f"WITH {_bm25_sql('drawers', 'id', 'body', _TERMS)} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 50",
     "R04_bm25_all": f"WITH {_bm25_sql('documents', 'doc_id', 'text', _TERMS)} SELECT id, round(score, 6) AS score FROM bm",
     "R05_overlap": rf"""WITH t AS (SELECT id, regexp_split_to_array(translate(lower(body), '{R.MARKED}', '{R.FOLDED}'), '[^\p{{L}}\p{{N}}]+') AS t FROM drawers),
 s AS (SELECT id, ({' + '.join(f"CAST(list_contains(t, '{w}') AS INT)" for w in _TERMS)}) / {len(_TERMS)} AS s FROM t) SELECT id, round(s, 6) AS score FROM s WHERE s > 0""",
     "R06_hybrid": f"""WITH {_bm25_sql('documents', 'doc_id', 'text', _TERMS)}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 40), {_VEC},
 s AS (SELECT v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id = 0),
-vec AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 40),
+vec AS (SELECT id, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS r FROM s QUALIFY r <= 40),
 f AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY id) SELECT id, round(CAST(s AS DOUBLE), 9) AS score FROM f ORDER BY round(CAST(s AS DOUBLE), 12) DESC, id LIMIT 20""",
     "R07_search_modes": f"""WITH {_bm25_sql('documents', 'doc_id', 'text', _TERMS)}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 20), {_VEC},
 s AS (SELECT v.id, {_DOTS} / (sqrt({_DOTS.replace('v.v), lambda', 'q.v), lambda')}) * sqrt({_DOTS.replace('q.v, v.v', 'v.v, v.v')})) AS s FROM v q, v WHERE q.id = 0),
-vec AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 20),
+vec AS (SELECT id, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS r FROM s QUALIFY r <= 20),
 f AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY id)
 SELECT 'text' AS mode, id FROM lex WHERE r <= 10 UNION ALL SELECT 'KNN', id FROM vec WHERE r <= 10 UNION ALL (SELECT 'fusion', id FROM f ORDER BY round(CAST(s AS DOUBLE), 12) DESC, id LIMIT 10)""",
     "R15_context": f"""WITH {DRAWER}, {_bm25_sql('drawers', 'id', 'body', _TERMS)}, top AS (SELECT id, room, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm JOIN drawer USING (id) QUALIFY rank <= 8)
@@ -117,8 +122,8 @@ SELECT 1 AS place, id FROM top WHERE rank = 1 UNION ALL (SELECT 2, id FROM top W
 q AS (SELECT *, list_transform(v, lambda x: greatest(-127, least(127, CAST(round(x / s) AS INT)))) AS q FROM c)
 SELECT vec_id, round(s, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS q_sum, round(list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2] * s)) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * s * x * s)))), 4) AS kept FROM q""",
     "R11_hamming": """WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x >= 0) AS b FROM embeddings),
-s AS (SELECT q.id AS query_id, v.id, 1 - 2 * list_sum(list_transform(list_zip(v.b, q.b), lambda p: CAST(p[1] <> p[2] AS INT))) / len(v.b) AS s FROM b q, b v WHERE q.id < 5)
-SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
+s AS (SELECT q.id AS query_id, v.id, 1 - 2 * list_sum(list_transform(list_zip(v.b, q.b), lambda p: CAST(p[1] <> p[2] AS INT))) / len(v.b) AS s FROM b q, b v WHERE q.id % 20 = 0)
+SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "R12_list": f"WITH {DRAWER} SELECT id, wing, room, source_id FROM drawer WHERE wing = 'note' ORDER BY id LIMIT 100",
     "R09_embed_once": "SELECT DISTINCT sha256(body) AS hash, 384 AS dim FROM drawers",
     "R12_get": f"WITH {DRAWER} SELECT id, wing, room, source_id FROM drawer WHERE id IN (SELECT drawer_id FROM drawer_embeddings WHERE dim = 96)",

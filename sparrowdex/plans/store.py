@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.operators import cdc as C
-from sparrowdex.operators.lookup import latest, real
+from sparrowdex.operators.lookup import code_chunks, latest, real
 from sparrowdex.plans.binding import DRAWER, SYM, Tables, bound
 from sparrowdex.sources import formats, readers
 
@@ -54,13 +54,9 @@ def _parents(t: Tables) -> DataFrame:
 
 
 def _chunks(t: Tables) -> DataFrame:
-    """One chunk of five lines a document, with a header that search can match."""
-    lines = F.split("text", "\n", -1)
-    start = F.expr("CAST(1 + doc_id % 3 AS INT)")
-    span = F.array_join(F.slice(lines, start, F.lit(5)), "\n")
-    own = t.documents.select("doc_id", F.coalesce("source", F.lit("-")).alias("file"), start.alias("line"), span.alias("span")).filter(F.trim(F.regexp_replace("span", r"[ \t\r\n\f]+", " ")) != "")
-    body = F.substring(F.concat("file", F.lit(":"), F.col("doc_id").cast("string"), F.lit(" [document]\n\n"), "span"), 1, 6000)
-    return own.select(F.concat(F.lit("code:"), "file", F.lit("#"), F.col("doc_id").cast("string"), F.lit("@"), F.col("line").cast("string")).alias("source_id"), F.md5(body).alias("md5"))
+    """A chunk of every symbol, whose file's text is the document of the same number."""
+    own = real(t.symbols).withColumn("file", F.col("file_id").cast("string"))
+    return code_chunks(own, t.documents.select(F.col("doc_id").cast("string").alias("file"), "text")).select("source_id", F.md5("body").alias("md5"), F.length("body").alias("chars"))
 
 
 QUERIES = {
@@ -79,7 +75,7 @@ QUERIES = {
     "SC14_sample": bound(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").orderBy(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "l_orderkey", "l_linenumber").limit(100).select("l_orderkey")),
     "SC17_prune": bound(lambda t: C.prune(t.files.withColumn("repo", F.substring_index("path", "/", 1)), ["repo"], [F.desc("mtime"), F.desc("id")], 5).select("repo", "id")),
     "A09_signature_stats": bound(lambda t: t.symbols.agg(F.count_if(F.col("signature_enc") == 1).alias("encoded"), F.count_if((F.col("signature_enc") == 0) & F.col("signature").isNotNull()).alias("plain"), F.count_if(F.col("signature").isNull()).alias("missing"), F.sum(F.octet_length("signature")).alias("bytes"))),
-    "SC10_text_documents": bound(lambda t: readers.text_documents(t.drawers.select("source_id", F.col("body").cast("binary").alias("content")), 20000)),
+    "SC10_text_documents": bound(lambda t: readers.text_documents(t.drawers.select("source_id", F.col("body").cast("binary").alias("content")))),
     "SC18_codec_stats": bound(lambda t: t.symbols.select(F.explode(F.array(F.struct(F.lit("signature").alias("field"), F.col("signature").alias("v")), F.struct(F.lit("name").alias("field"), F.col("name").alias("v")))).alias("x")).select("x.*").groupBy("field").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.countDistinct("v").alias("different"), F.sum(F.octet_length("v")).alias("bytes"))),
     "E12_retention": bound(lambda t: C.prune(t.events.select(F.lit("repo").alias("repo"), F.date_format("ts", "yyyyMMdd").cast("long").alias("stamp")).distinct(), ["repo"], [F.desc("stamp")], 7)),
     "X07_resolve_edges": bound(lambda t: C.resolve_edges(_named_edges(t), t.symbols)[0]),
@@ -108,8 +104,10 @@ SELECT (SELECT count(*) FROM files WHERE id NOT IN (SELECT id FROM gone)) AS fil
     "SC07_symbol_scan": f"WITH {SYM} SELECT id, file, name, kind, parent FROM sym WHERE kind <> 'sentinel'",
     "SC07_names": "SELECT DISTINCT name, kind FROM symbols WHERE kind <> 'sentinel'",
     "SC08_files": "SELECT DISTINCT path FROM files WHERE lang = 'rust' AND path LIKE 't%' AND path LIKE '%.rs' ORDER BY path LIMIT 30",
-    "SC12_chunks": r"""WITH c AS (SELECT doc_id, coalesce(source, '-') AS file, 1 + doc_id % 3 AS line, array_to_string(string_split(text, chr(10))[1 + doc_id % 3 : 5 + doc_id % 3], chr(10)) AS span FROM documents)
-SELECT 'code:' || file || '#' || doc_id || '@' || line AS source_id, md5(left(file || ':' || doc_id || ' [document]' || chr(10) || chr(10) || span, 6000)) AS md5 FROM c WHERE trim(regexp_replace(span, '[ \t\r\n\f]+', ' ', 'g')) <> ''""",
+    "SC12_chunks": r"""WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\n\z', ''), chr(10)), lambda x: regexp_replace(x, '\r\z', '')) AS l FROM documents),
+c AS (SELECT s.*, array_to_string(l[greatest(line_start, 1) : greatest(line_end, line_start, 1)], chr(10)) AS span FROM symbols s JOIN l ON l.doc_id = s.file_id WHERE kind <> 'sentinel'),
+b AS (SELECT *, substr(file_id || ':' || name || ' [' || kind || ']' || chr(10) || coalesce(signature, '') || chr(10) || span, 1, 6000) AS body FROM c WHERE regexp_matches(span, '[^ \t\r\n\f]'))
+SELECT 'code:' || file_id || '#' || name || '@' || line_start AS source_id, md5(body) AS md5, CAST(length(body) AS INT) AS chars FROM b""",
     "SC13_headings": r"""WITH l AS (SELECT page_id, unnest(string_split(content_markdown, chr(10))) AS line, generate_subscripts(string_split(content_markdown, chr(10)), 1) AS n FROM pages)
 SELECT page_id, CAST(n AS INT) AS line, CAST(length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]', 1)) AS INT) AS level, CASE length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]', 1)) WHEN 1 THEN 'class' WHEN 2 THEN 'type' ELSE 'function' END AS kind,
 regexp_replace(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*)\z', 1), '[ \t\r#]+\z', '') AS name FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}[ \t]+[^ \t\r]')""",
@@ -117,7 +115,7 @@ regexp_replace(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*)\z', 1), '[ \t\r#]+\
     "SC14_sample": "SELECT l_orderkey FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey), l_orderkey, l_linenumber LIMIT 100",
     "SC17_prune": "SELECT repo, id FROM (SELECT string_split(path, '/')[1] AS repo, id, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY mtime DESC, id DESC) AS n FROM files) WHERE n > 5",
     "A09_signature_stats": "SELECT count(*) FILTER (WHERE signature_enc = 1) AS encoded, count(*) FILTER (WHERE signature_enc = 0 AND signature IS NOT NULL) AS plain, count(*) FILTER (WHERE signature IS NULL) AS missing, CAST(sum(strlen(signature)) AS BIGINT) AS bytes FROM symbols",
-    "SC10_text_documents": r"SELECT source_id, body, sha256(body) AS sha256 FROM drawers WHERE strlen(body) BETWEEN 1 AND 20000 AND NOT contains(left(body, 8192), chr(0)) AND regexp_matches(body, '[^ \t\r\n\f]')",
+    "SC10_text_documents": r"SELECT source_id, body, sha256(body) AS sha256 FROM drawers WHERE strlen(body) BETWEEN 1 AND 1000000 AND NOT contains(left(body, 8192), chr(0)) AND regexp_matches(body, '[^ \t\r\n\f]')",
     "SC18_codec_stats": """SELECT field, count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS missing, count(DISTINCT v) AS different, CAST(sum(strlen(v)) AS BIGINT) AS bytes
 FROM (SELECT 'signature' AS field, signature AS v FROM symbols UNION ALL SELECT 'name', name FROM symbols) GROUP BY field""",
     "E12_retention": "SELECT repo, stamp FROM (SELECT 'repo' AS repo, stamp, row_number() OVER (ORDER BY stamp DESC) AS n FROM (SELECT DISTINCT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS stamp FROM events)) WHERE n > 7",

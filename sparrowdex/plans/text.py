@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparrowdex.functions import text as T
+from sparrowdex.functions import udfs as P
 from sparrowdex.plans.binding import bound
 
 
@@ -30,9 +33,33 @@ mk AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY id ORDER BY n) TH
 isl AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS g FROM mk),
 run AS (SELECT id, g, any_value(line) AS line, count(*) AS k FROM isl GROUP BY id, g HAVING count(*) > 1 AND any_value(line) <> '')"""
 
+_RUNS_MARKED = _RUNS.replace("FROM drawers)", "FROM marked)")
+
 _EXACT = f"""{_numbered('drawers', 'body', 'id')}, mk AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY id ORDER BY n) THEN 0 ELSE 1 END AS new FROM ln)"""
 
 
+#: What is put behind each body, by its id, so that every rule finds something.
+_FOUND = {
+    0: "if true {\n}\n  if 0 == 0 { run }",
+    1: "// let a = 1;\n   // return b",
+    2: "n = x + 0\nk = 1 * x + 1 + 0",
+    3: "  \n\t\n \t end",
+    4: "again and again\n again and again\nagain and again",
+}
+def _literal(text: str) -> str:
+    """A text as SQL, with control characters by their code."""
+    return " || ".join(f"chr({ord(x)})" if x in "\n\t" else f"'{x}'" for x in re.split("([\n\t])", text) if x)
+
+
+_MARKED = "marked AS (SELECT id, body || chr(10) || CASE id % 5 " + " ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in _FOUND.items()) + " END AS body FROM drawers)"
+
+
+def _marked(t):
+    """Drawers with lines behind their bodies that the rules are about."""
+    put = F.create_map(*[F.lit(x) for item in _FOUND.items() for x in item])
+    return t.drawers.select("id", F.concat("body", F.lit("\n"), F.element_at(put, (F.col("id") % 5).cast("int"))).alias("body"))
+
+
 def _line_windows(t):
     """Consecutive equal lines of every drawer as islands of a window over its lines, which scales with the rows of lines."""
     from pyspark.sql import Window
@@ -60,19 +87,21 @@ QUERIES = {
     "T01_token_count": bound(lambda t: t.documents.select(_DOC, T.token_count(F.col("text")).alias("tokens"))),
     "T02_byte_tokens": bound(lambda t: t.drawers.select("id", T.byte_tokens(F.col("body")).alias("tokens"), (T.byte_tokens(F.col("body")) > 500).alias("above"))),
     "T03_repeated_lines": bound(lambda t: t.drawers.select("id", F.explode(T.repeated_lines(F.col("body"))).alias("r")).select("id", "r.line", F.col("r.n").cast("long").alias("times"))),
-    "T03_repeated_tokens": bound(lambda t: t.drawers.select("id", T.repeated_tokens(F.col("body")).alias("saved")).filter("saved > 0")),
-    "T04_trivial_conditions": bound(lambda t: t.drawers.select("id", F.explode(T.trivial_conditions(F.col("body"))).alias("condition"))),
-    "T05_dead_code": bound(lambda t: t.drawers.select("id", F.explode(T.dead_code(F.col("body"))).alias("line"))),
-    "T06_foldable": bound(lambda t: t.drawers.select("id", F.explode(T.foldable(F.col("body"))).alias("expression"))),
-    "T07_blank_lines": bound(lambda t: t.drawers.select("id", F.size(T.blank_lines(F.col("body"))).alias("blank")).filter("blank > 0")),
+    "T03_repeated_tokens": bound(lambda t: _marked(t).select("id", T.repeated_tokens(F.col("body")).alias("saved")).filter("saved > 0")),
+    "T04_trivial_conditions": bound(lambda t: _marked(t).select("id", F.explode(T.trivial_conditions(F.col("body"))).alias("condition"))),
+    "T05_dead_code": bound(lambda t: _marked(t).select("id", F.explode(T.dead_code(F.col("body"))).alias("line"))),
+    "T06_foldable": bound(lambda t: _marked(t).select("id", F.explode(T.foldable(F.col("body"))).alias("expression"))),
+    "T07_blank_lines": bound(lambda t: _marked(t).select("id", F.size(T.blank_lines(F.col("body"))).alias("blank")).filter("blank > 0")),
     "T08_drop_blank": bound(lambda t: t.drawers.select("id", F.md5(T.drop_blank(F.col("body"))).alias("md5"))),
     "T08_drop_repeats": bound(lambda t: t.drawers.select("id", F.md5(T.drop_repeats(F.col("body"))).alias("md5"))),
-    "T08_fold": bound(lambda t: t.drawers.select("id", F.md5(T.fold(F.col("body"))).alias("md5"))),
-    "T09_compact": bound(lambda t: t.drawers.select("id", T.token_count(F.col("body")).alias("before"), T.token_count(T.compact(F.col("body"))).alias("after"))),
+    "T08_drop_dead_code": bound(lambda t: _marked(t).select("id", F.md5(T.drop_dead_code(F.col("body"))).alias("md5"))),
+    "T08_limit_blank_runs": bound(lambda t: _marked(t).select("id", F.md5(T.limit_blank_runs(F.col("body"))).alias("md5"))),
+    "T08_fold": bound(lambda t: _marked(t).select("id", F.md5(T.fold(F.col("body"))).alias("md5"))),
+    "T09_compact": bound(lambda t: _marked(t).withColumn("c", P.compact(1, 0.5)(F.col("body"))).select("id", T.token_count(F.col("body")).alias("before"), T.token_count(F.col("c.text")).alias("after"), F.array_join("c.rules", ",").alias("rules"), F.round("c.disruption", 6).alias("disruption"))),
     "T10_smoothness": bound(lambda t: t.drawers.select("id", T.smoothness(F.col("body"), T.drop_blank(F.col("body"))).alias("s")).select("id", *[F.round(f"s.{n}", 6).alias(n) for n in ("disruption", "readability", "compatibility", "preservation")])),
     "T11_trigram_jaccard": bound(
-        lambda t: t.drawers.filter("octet_length(body) < 400").alias("a").join(t.drawers.filter("octet_length(body) < 400").alias("b"), F.expr("a.source_id = b.source_id AND a.id < b.id"))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(T.jaccard(T.trigrams(F.col("a.body")), T.trigrams(F.col("b.body"))), 6).alias("similarity"))
+        lambda t: t.drawers.select("id", "body").alias("a").join(t.drawers.select("id", "body").alias("b"), F.expr("a.id + 1 = b.id"))
+        .select(F.col("a.id").alias("id"), F.round(P.trigram_similarity("a.body", "b.body"), 6).alias("similarity")).withColumn("near", F.col("similarity") >= 0.85)
     ),
     "T12_seen": bound(lambda t: t.drawers.groupBy(F.md5("body").alias("hash")).agg(F.count("*").alias("times"), F.min("id").alias("first_id")).filter("times > 1")),
     "T13_head_tail": bound(lambda t: t.drawers.select("id", F.md5(T.head_tail(F.col("body"), 5, 5)).alias("md5"))),
@@ -113,25 +142,46 @@ SQL = {
     "T01_token_count": f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents",
     "T02_byte_tokens": "SELECT id, CAST(strlen(body) // 4 AS BIGINT) AS tokens, strlen(body) // 4 > 500 AS above FROM drawers",
     "T03_repeated_lines": f"WITH {_RUNS} SELECT id, line, k AS times FROM run",
-    "T03_repeated_tokens": f"WITH {_RUNS} SELECT id, CAST(sum(strlen(line) * (k - 1) // 4) AS BIGINT) AS saved FROM run GROUP BY id HAVING saved > 0",
-    "T04_trivial_conditions": f"WITH {_numbered('drawers', 'body', 'id')} SELECT id, {_case(_S.format('line'), T.TRIVIAL_CONDITIONS)} AS condition FROM ln WHERE condition IS NOT NULL",
-    "T05_dead_code": f"WITH {_numbered('drawers', 'body', 'id')}, tr AS (SELECT id, {_S.format('line')} AS line FROM ln) SELECT id, line FROM tr WHERE starts_with(line, '// ') AND ("
+    "T03_repeated_tokens": f"WITH {_MARKED}, {_RUNS_MARKED} SELECT id, CAST(sum(strlen(line) * (k - 1) // 4) AS BIGINT) AS saved FROM run GROUP BY id HAVING saved > 0",
+    "T04_trivial_conditions": f"WITH {_MARKED}, {_numbered('marked', 'body', 'id')} SELECT id, {_case(_S.format('line'), T.TRIVIAL_CONDITIONS)} AS condition FROM ln WHERE condition IS NOT NULL",
+    "T05_dead_code": f"WITH {_MARKED}, {_numbered('marked', 'body', 'id')}, tr AS (SELECT id, {_S.format('line')} AS line FROM ln) SELECT id, line FROM tr WHERE starts_with(line, '// ') AND ("
     + " OR ".join(f"contains(substr(line, 4), '{w}')" for w in T.CODE_WORDS)
     + ")",
-    "T06_foldable": f"WITH {_numbered('drawers', 'body', 'id')} SELECT id, {_case('line', [a for a, _ in T.FOLDABLE])} AS expression FROM ln WHERE expression IS NOT NULL",
-    "T07_blank_lines": rf"WITH {_numbered('drawers', 'body', 'id')} SELECT id, CAST(count(*) AS INT) AS blank FROM ln WHERE regexp_full_match(line, '[ \t]+') GROUP BY id",
+    "T06_foldable": f"WITH {_MARKED}, {_numbered('marked', 'body', 'id')} SELECT id, {_case('line', [a for a, _ in T.FOLDABLE])} AS expression FROM ln WHERE expression IS NOT NULL",
+    "T07_blank_lines": rf"WITH {_MARKED}, {_numbered('marked', 'body', 'id')} SELECT id, CAST(count(*) AS INT) AS blank FROM ln WHERE regexp_full_match(line, '[ \t]+') GROUP BY id",
     "T08_drop_blank": f"SELECT id, md5(array_to_string(list_filter({_L.format('body')}, lambda x: {_S.format('x')} <> ''), chr(10))) AS md5 FROM drawers",
     "T08_drop_repeats": f"WITH {_EXACT}, r AS (SELECT id, string_agg(line, chr(10) ORDER BY n) AS s FROM mk WHERE new = 1 GROUP BY id) SELECT d.id, md5(coalesce(r.s, '')) AS md5 FROM drawers d LEFT JOIN r ON r.id = d.id",
-    "T08_fold": "SELECT id, md5(" + "replace(" * len(T.FOLDABLE) + "body" + "".join(f", '{a}', '{b}')" for a, b in T.FOLDABLE) + ") AS md5 FROM drawers",
+    "T08_drop_dead_code": f"""WITH {_MARKED}, {_numbered('marked', 'body', 'id')}, dead AS (SELECT DISTINCT id, {_S.format('line')} AS d FROM ln WHERE starts_with({_S.format('line')}, '// ') AND ("""
+    + " OR ".join(f"contains(substr({_S.format('line')}, 4), '{w}')" for w in T.CODE_WORDS)
+    + """)), kept AS (SELECT id, string_agg(line, chr(10) ORDER BY n) AS s FROM ln WHERE NOT EXISTS (SELECT 1 FROM dead WHERE dead.id = ln.id AND contains(ln.line, dead.d)) GROUP BY id)
+SELECT m.id, md5(coalesce(kept.s, '')) AS md5 FROM marked m LEFT JOIN kept ON kept.id = m.id""",
+    "T08_limit_blank_runs": f"""WITH {_MARKED}, {_numbered('marked', 'body', 'id')}, b AS (SELECT id, n, CASE WHEN {_S.format('line')} = '' THEN '' ELSE line END AS line FROM ln),
+r AS (SELECT id, n, line FROM b WINDOW w AS (PARTITION BY id ORDER BY n) QUALIFY NOT (line = '' AND coalesce(lag(line, 1) OVER w, 'x') = '' AND coalesce(lag(line, 2) OVER w, 'x') = ''))
+SELECT id, md5(string_agg(line, chr(10) ORDER BY n)) AS md5 FROM r GROUP BY id""",
+    "T08_fold": f"WITH {_MARKED} SELECT id, md5(" + "replace(" * len(T.FOLDABLE) + "body" + "".join(f", '{a}', '{b}')" for a, b in T.FOLDABLE) + ") AS md5 FROM marked",
+    "T09_compact": f"""WITH {_MARKED}, {_RUNS_MARKED}, f AS (SELECT id, body, {_L.format('body')} AS a, id IN (SELECT id FROM run WHERE strlen(line) * (k - 1) // 4 >= 1) AS rep FROM marked),
+g AS (SELECT *, list_transform(a, lambda x: {_S.format('x')}) AS t FROM f),
+h AS (SELECT *, len(list_filter(t, lambda x: {" OR ".join(f"contains(x, '{c}')" for c in T.TRIVIAL_CONDITIONS)})) > 0 AS cond, list_filter(t, lambda x: starts_with(x, '// ') AND ({" OR ".join(f"contains(substr(x, 4), '{w}')" for w in T.CODE_WORDS)})) AS dead,
+  len(list_filter(a, lambda x: {" OR ".join(f"contains(x, '{c}')" for c, _ in T.FOLDABLE)})) > 0 AS folds, len(list_filter(a, lambda x: regexp_full_match(x, '[ \t]+') AND length(x) >= 4)) > 0 AS blanks FROM g),
+o1 AS (SELECT *, CASE WHEN rep THEN array_to_string(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), chr(10)) ELSE body END AS x1 FROM h),
+o2 AS (SELECT *, CASE WHEN len(dead) > 0 THEN array_to_string(list_filter({_L.format('x1')}, lambda x: len(list_filter(dead, lambda d: contains(x, d))) = 0), chr(10)) ELSE x1 END AS x2 FROM o1),
+o3 AS (SELECT *, CASE WHEN folds THEN {"replace(" * len(T.FOLDABLE)}x2{"".join(f", '{c}', '{d}')" for c, d in T.FOLDABLE)} ELSE x2 END AS x3 FROM o2),
+o4 AS (SELECT *, CASE WHEN blanks THEN array_to_string(list_filter({_L.format('x3')}, lambda x: {_S.format('x')} <> ''), chr(10)) ELSE x3 END AS x4 FROM o3),
+o5 AS (SELECT *, {_L.format('x4')} AS b, rep OR cond OR len(dead) > 0 OR folds OR blanks AS some FROM o4),
+o6 AS (SELECT *, CASE WHEN some THEN 1 - len(list_filter(b, lambda x: list_contains(a, x))) / greatest(len(a), len(b), 1) ELSE 0 END AS far FROM o5),
+o7 AS (SELECT id, body, far, some AND far <= 0.5 AS kept, CASE WHEN far <= 0.5 THEN x4 ELSE body END AS text,
+  concat_ws(',', CASE WHEN rep THEN 'repeats' END, CASE WHEN cond THEN 'conditions' END, CASE WHEN len(dead) > 0 THEN 'dead code' END, CASE WHEN folds THEN 'folds' END, CASE WHEN blanks THEN 'blanks' END) AS rules FROM o6)
+SELECT id, {_TOKENS.format('body')} AS before, {_TOKENS.format('text')} AS after, CASE WHEN kept THEN rules ELSE '' END AS rules, round(CASE WHEN kept THEN far ELSE 0 END, 6) AS disruption FROM o7""",
     "T10_smoothness": f"""WITH c AS (SELECT id, {_L.format('body')} AS a, array_to_string(list_filter({_L.format('body')}, lambda x: {_S.format('x')} <> ''), chr(10)) AS after FROM drawers),
 s AS (SELECT id, a, after, {_L.format('after')} AS b FROM c), m AS (SELECT *, len(list_filter(b, lambda x: list_contains(a, x))) AS common, list_filter(b, lambda x: x <> '') AS fb, {_W.format('after')} AS w FROM s),
 v AS (SELECT *, {_MEAN.format('fb')} AS ml, {_MEAN.format('w')} AS mw FROM m)
 SELECT id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE 1 - common / greatest(len(a), len(b)) END, 6) AS disruption,
 round((greatest(0, least(1, 1 - greatest(ml - 40, 0) / 60)) + CASE WHEN mw < 25 THEN 1.0 ELSE 0.5 END) / 2, 6) AS readability,
 CAST(CASE WHEN len(list_filter(a, lambda x: x <> '')) = len(fb) THEN 1.0 ELSE 0.8 END AS DOUBLE) AS compatibility, round(CASE WHEN len(a) = 0 THEN 1 ELSE common / len(a) END, 6) AS preservation FROM v""",
-    "T11_trigram_jaccard": f"""WITH d AS (SELECT id, source_id, {_TRI.format('body')} AS t FROM drawers WHERE strlen(body) < 400)
-SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS similarity
-FROM d a JOIN d b ON a.source_id = b.source_id AND a.id < b.id""",
+    "T11_trigram_jaccard": """WITH h AS (SELECT id, list_transform(range(1, strlen(body) + 1), lambda i: 0) AS z, string_split(hex(encode(body)), '') AS h FROM drawers),
+d AS (SELECT id, CASE WHEN len(z) < 3 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, len(z) - 1), lambda i: h[2 * i - 1] || h[2 * i] || h[2 * i + 1] || h[2 * i + 2] || h[2 * i + 3] || h[2 * i + 4])) END AS t FROM h),
+s AS (SELECT a.id, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS similarity FROM d a JOIN d b ON a.id + 1 = b.id)
+SELECT id, similarity, similarity >= 0.85 AS near FROM s""",
     "T12_seen": "SELECT md5(body) AS hash, count(*) AS times, min(id) AS first_id FROM drawers GROUP BY 1 HAVING count(*) > 1",
     "T13_head_tail": f"WITH l AS (SELECT id, body, {_L.format('body')} AS l FROM drawers) SELECT id, md5(CASE WHEN len(l) <= 10 THEN body ELSE array_to_string(list_concat(list_concat(l[1:5], ['... [' || (len(l) - 10) || ' lines omitted] ...']), l[len(l) - 4:]), chr(10)) END) AS md5 FROM l",
     "T14_error_lines": f"WITH l AS (SELECT id, {_L.format('body')} AS l FROM drawers), e AS (SELECT id, l, list_filter(l, lambda x: regexp_matches(x, '{_ERR}')) AS e FROM l) SELECT id, md5(array_to_string(CASE WHEN len(e) > 0 THEN e ELSE l[1:20] END, chr(10))) AS md5 FROM e",

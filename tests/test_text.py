@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparrowdex.functions import text as T
+from sparrowdex.functions import udfs as P
 from sparrowdex.operators import ledger as E
 from sparrowdex.operators.lookup import compact_snippet
 
@@ -25,14 +26,36 @@ def test_snippet(spark):
 
 def test_rules(spark):
     code = "let x = 1;\nlet x = 1;\n// let y = 2;\nif true {\nlet z = x + 0;\n   \n"
-    row = one(spark, code, lambda c: F.size(T.repeated_lines(c)), lambda c: F.size(T.dead_code(c)), lambda c: F.size(T.trivial_conditions(c)), lambda c: F.size(T.foldable(c)), lambda c: F.size(T.blank_lines(c)), T.compact)
+    row = one(spark, code, lambda c: F.size(T.repeated_lines(c)), lambda c: F.size(T.dead_code(c)), lambda c: F.size(T.trivial_conditions(c)), lambda c: F.size(T.foldable(c)), lambda c: F.size(T.blank_lines(c)), lambda c: P.compact()(c)["text"])
     assert row[:5] == (1, 1, 1, 1, 1)
     assert row[5] == "let x = 1;\nif true {\nlet z = x;"
 
 
+def test_compaction():
+    code = "let x = 1;\nlet x = 1;\n// let y = 2;\nkeep // let y = 2; too\nif true {\n"
+    assert P.compact_text(code) == ("let x = 1;\nif true {", ["repeats", "conditions", "dead code"], 1 - 2 / 5)
+    assert P.compact_text(code, least=3) == ("let x = 1;\nlet x = 1;\nif true {", ["dead code"], 1 - 3 / 5)  # repeats and the condition save two tokens each
+    assert P.compact_text(code, most_disruption=0.5) == (code, [], 0.0)
+    assert P.compact_text("plain\n") == ("plain\n", [], 0.0) and P.compact_text("") == ("", [], 0.0)
+    assert P.compact_text("x = 1 * x + 1 + 0\n") == ("x = x + 1\n", ["folds"], 1.0)
+
+
+def test_trigram_similarity(spark):
+    rows = spark.createDataFrame([("abcd", "abce", 1 / 3), ("", "ab", 1.0), ("abc", "", 0.0), ("é€", "é€", 1.0), (None, "a", None)], "a string, b string, want double")
+    for r in rows.select("want", P.trigram_similarity("a", "b").alias("got"), T.jaccard(T.trigrams(F.col("a")), T.trigrams(F.col("b"))).alias("expression")).collect():
+        assert r["got"] == r["want"] and (r["want"] is None or r["expression"] == r["want"])
+
+
+def test_diff_only_if_shorter(spark):
+    old = "\n".join(f"line {i} of a text" for i in range(60))
+    rows = spark.createDataFrame([(old, old.replace("line 7 of", "row 7 of")), ("a", "b"), (None, "b")], "a string, b string")
+    got = [r[0] for r in rows.select(P.diff_of("a", "b")).collect()]
+    assert got[0].startswith("--- a/text") and len(got[0]) < len(old) and got[1:] == ["b", None]
+
+
 def test_empty_and_null(spark):
     for value in ("", None):
-        one(spark, value, T.token_count, T.squeeze, T.compact, T.entropy, lambda c: T.cut_bytes(c, 3), T.error_lines, lambda c: T.head_tail(c, 1, 1), lambda c: F.size(T.trigrams(c)), T.plain_markdown, T.limit_blank_runs, T.slug)
+        one(spark, value, T.token_count, T.squeeze, P.compact(), T.strip, T.entropy, lambda c: T.cut_bytes(c, 3), T.error_lines, lambda c: T.head_tail(c, 1, 1), lambda c: F.size(T.trigrams(c)), T.plain_markdown, T.limit_blank_runs, T.slug)
 
 
 def test_cut_bytes(spark):
