@@ -167,9 +167,9 @@ o1 AS (SELECT *, CASE WHEN rep THEN array_to_string(list_filter(a, lambda x, i:
 o2 AS (SELECT *, CASE WHEN len(dead) > 0 THEN array_to_string(list_filter({_L.format('x1')}, lambda x: len(list_filter(dead, lambda d: contains(x, d))) = 0), chr(10)) ELSE x1 END AS x2 FROM o1),
 o3 AS (SELECT *, CASE WHEN folds THEN {"replace(" * len(T.FOLDABLE)}x2{"".join(f", '{c}', '{d}')" for c, d in T.FOLDABLE)} ELSE x2 END AS x3 FROM o2),
 o4 AS (SELECT *, CASE WHEN blanks THEN array_to_string(list_filter({_L.format('x3')}, lambda x: {_S.format('x')} <> ''), chr(10)) ELSE x3 END AS x4 FROM o3),
-o5 AS (SELECT *, {_L.format('x4')} AS b, rep OR cond OR len(dead) > 0 OR folds OR blanks AS some FROM o4),
-o6 AS (SELECT *, CASE WHEN some THEN 1 - len(list_filter(b, lambda x: list_contains(a, x))) / greatest(len(a), len(b), 1) ELSE 0 END AS far FROM o5),
-o7 AS (SELECT id, body, far, some AND far <= 0.5 AS kept, CASE WHEN far <= 0.5 THEN x4 ELSE body END AS text,
+o5 AS (SELECT *, {_L.format('x4')} AS b, rep OR cond OR len(dead) > 0 OR folds OR blanks AS hit FROM o4),
+o6 AS (SELECT *, CASE WHEN hit THEN 1 - len(list_filter(b, lambda x: list_contains(a, x))) / greatest(len(a), len(b), 1) ELSE 0 END AS far FROM o5),
+o7 AS (SELECT id, body, far, hit AND far <= 0.5 AS kept, CASE WHEN far <= 0.5 THEN x4 ELSE body END AS text,
   concat_ws(',', CASE WHEN rep THEN 'repeats' END, CASE WHEN cond THEN 'conditions' END, CASE WHEN len(dead) > 0 THEN 'dead code' END, CASE WHEN folds THEN 'folds' END, CASE WHEN blanks THEN 'blanks' END) AS rules FROM o6)
 SELECT id, {_TOKENS.format('body')} AS before, {_TOKENS.format('text')} AS after, CASE WHEN kept THEN rules ELSE '' END AS rules, round(CASE WHEN kept THEN far ELSE 0 END, 6) AS disruption FROM o7""",
     "T10_smoothness": f"""WITH c AS (SELECT id, {_L.format('body')} AS a, array_to_string(list_filter({_L.format('body')}, lambda x: {_S.format('x')} <> ''), chr(10)) AS after FROM drawers),
