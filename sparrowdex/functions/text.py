@@ -273,7 +273,7 @@ def hashtag(raw: Column) -> Column:
 def plain_markdown(text: Column) -> Column:
     """Text without Markdown marks and link targets; labels, alternative texts and code stay; blank lines once."""
     out = F.regexp_replace(text, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)", "")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*(?:```|~~~)[^\n]*$", "")
+    out = F.regexp_replace(out, r"(?md)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)", "")
+    out = F.regexp_replace(out, r"(?md)^[ \t]*(?:```|~~~)[^\n]*$", "")
     out = F.regexp_replace(out, r"\*\*|__|~~|`", "")
     return strip(F.regexp_replace(out, r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n"))

@@ -117,6 +117,17 @@ f AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELE
 SELECT 'text' AS mode, id FROM lex WHERE r <= 10 UNION ALL SELECT 'KNN', id FROM vec WHERE r <= 10 UNION ALL (SELECT 'fusion', id FROM f ORDER BY round(CAST(s AS DOUBLE), 12) DESC, id LIMIT 10)""",
     "R15_context": f"""WITH {DRAWER}, {_bm25_sql('drawers', 'id', 'body', _TERMS)}, top AS (SELECT id, room, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm JOIN drawer USING (id) QUALIFY rank <= 8)
 SELECT 1 AS place, id FROM top WHERE rank = 1 UNION ALL (SELECT 2, id FROM top WHERE rank > 1 ORDER BY room IS NOT DISTINCT FROM (SELECT room FROM top WHERE rank = 1), rank LIMIT 1)""",
+    "R15_blocks": f"""WITH {DRAWER}, {_bm25_sql('drawers', 'id', 'body', _TERMS)}, top AS (SELECT id, room, source_id, body, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm JOIN drawer USING (id) QUALIFY rank <= 8),
+picked AS (SELECT 1 AS place, * FROM top WHERE rank = 1 UNION ALL (SELECT 2, * FROM top WHERE rank > 1 ORDER BY room IS NOT DISTINCT FROM (SELECT room FROM top WHERE rank = 1), rank LIMIT 1)),
+head AS (SELECT *, '## ' || source_id || ' (room=' || coalesce(room, '-') || ', score=' || printf('%.2f', score) || ')' || chr(10) AS h, CASE WHEN (SELECT count(*) FROM picked) = 1 THEN 1200 WHEN place = 1 THEN 800 ELSE 400 END AS share FROM picked),
+room AS (SELECT *, greatest(share - strlen(h), 0) AS r FROM head),
+cut AS (SELECT *, CASE WHEN strlen(body) <= r THEN body ELSE left(body, CAST(list_max(list_filter(range(0, r + 1), lambda n: strlen(left(body, n)) <= r)) AS INT)) END AS b FROM room)
+SELECT place, id, CAST(strlen(h) + strlen(b) + CASE WHEN strlen(b) < strlen(body) THEN strlen(chr(10) || '…[truncated]') ELSE 0 END AS INT) AS bytes FROM cut""",
+    "R16_plain_markdown": r"""WITH a AS (SELECT page_id, regexp_replace(content_markdown, '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(x, '(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)', '', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(x, '(?m)^[ \t]*(?:```|~~~)[^\n]*$', '', 'g') AS x FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(x, '\*\*|__|~~|`', '', 'g'), '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g') AS x FROM c)
+SELECT page_id, regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+\z', '', 'g') AS text FROM d""",
     "R18_capture": "SELECT DISTINCT 'events:' || event_type AS source_id, event_type || ': ' || user_id AS body FROM events",
     "R10_quantise": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM v),
 q AS (SELECT *, list_transform(v, lambda x: greatest(-127, least(127, CAST(round(x / s) AS INT)))) AS q FROM c)

@@ -196,6 +196,7 @@ s AS (SELECT doc_id, -sum(k / t * log2(k / t)) AS b FROM (SELECT *, sum(k) OVER
     "T17_entropy_lines": f"""WITH {_numbered('documents', 'text', 'doc_id')}, c AS (SELECT doc_id, n, unnest(string_split(line, '')) AS ch FROM ln), k AS (SELECT doc_id, n, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL),
 e AS (SELECT doc_id, n, -sum(k / t * log2(k / t)) AS b FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id, n) AS t FROM k) GROUP BY 1, 2)
 SELECT ln.doc_id, CAST(count_if(coalesce(b, 0) >= 2.5) AS BIGINT) AS kept, CAST(count_if(coalesce(b, 0) < 2.5) AS BIGINT) AS dropped FROM ln LEFT JOIN e ON e.doc_id = ln.doc_id AND e.n = ln.n GROUP BY ln.doc_id""",
+    "T19_cut_bytes": "SELECT doc_id, CASE WHEN strlen(text) <= 61 THEN text ELSE left(text, CAST(list_max(list_filter(range(0, 62), lambda n: strlen(left(text, n)) <= 61)) AS INT)) END AS head FROM documents",
     "T20_after_trigger": r"SELECT doc_id, regexp_replace(substr(text, 6), '^[ \t\r\n\f]+', '') AS rest FROM documents WHERE starts_with(text, 'USER:')",
     "T21_formats": """WITH v AS (SELECT id, strlen(body) * 37 AS n, id * 97 AS s FROM drawers) SELECT id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN (n * 10 + 500) // 10000 || '.' || (n * 10 + 500) // 1000 % 10 || 'k' ELSE (n * 10 + 500000) // 10000000 || '.' || (n * 10 + 500000) // 1000000 % 10 || 'M' END AS size,
 CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' ELSE s // 86400 || 'd' END AS age FROM v""",

@@ -74,6 +74,13 @@ SELECT page_id, u, regexp_matches(u, '^https?://') AND h <> '' AND NOT (h IN ('l
 AND NOT coalesce(a < 256 AND b < 256 AND c < 256 AND d < 256 AND (a = 127 OR a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a + b + c + d = 0) OR (a + b + c + d = 1020)), false)
 AND NOT regexp_matches(h, '^(f[cd][0-9a-f]{{2}}|fe[89ab][0-9a-f]):') AS safe FROM oct""",
     "U04_html_title": r"SELECT page_id, nullif(regexp_replace(coalesce(title, ''), '^[ \t\r\n\f]+|[ \t\r\n\f]+\z', '', 'g'), '') AS title FROM pages",
+    "U05_main_element": """SELECT page_id, 'A<article>' || coalesce(title, '') || '</article><p><a href=''sub/p.html''>y</a> &amp; <a href=mailto:a@b>m</a></p>' AS main FROM pages""",
+    "U06_markdown": r"""WITH t AS (SELECT page_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, CASE WHEN t = '' THEN '' ELSE t || ' ' END || '[x](/home#top)' || chr(10) || chr(10) || 'A' || CASE WHEN t = '' THEN '' ELSE chr(10) || chr(10) || t END || chr(10) || chr(10) || '[y](sub/p.html) & [m](mailto:a@b)' AS markdown FROM t""",
+    "U07_links": r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*\z', '') AS own FROM pages)
+SELECT page_id, host || '/home ' || CASE WHEN own = host THEN host || '/' ELSE regexp_replace(own, '[^/]*\z', '') END || 'sub/p.html' AS links FROM u""",
+    "U08_thread": r"""WITH d AS (SELECT doc_id, coalesce(nullif(source, ''), '?') AS a, coalesce(nullif(lang, ''), '?') AS r, regexp_replace(text, '^\s+|\s+\z', '', 'g') AS t FROM documents)
+SELECT doc_id, '**r/' || r || '**  \| u/' || a || ' \| score ' || doc_id || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE t || chr(10) || chr(10) END || '---' || chr(10) || chr(10) || '## Top comments' AS markdown FROM d""",
     "U09_timestamps": """WITH s AS (SELECT doc_id, CAST(epoch(date_trunc('second', created_at)) AS BIGINT) AS e FROM documents)
 SELECT doc_id, k, CASE k WHEN 0 THEN e WHEN 1 THEN e - 9000 WHEN 2 THEN e + 14400 WHEN 3 THEN doc_id END AS epoch FROM s, (SELECT CAST(unnest(range(5)) AS INT) AS k)""",
     "U09_delays": """SELECT doc_id, k, CASE k WHEN 0 THEN nullif(doc_id % 7 * 3600 + doc_id % 60 * 60, 0) WHEN 1 THEN nullif(doc_id, 0) WHEN 2 THEN nullif(doc_id % 3 * 86400, 0) WHEN 3 THEN doc_id WHEN 5 THEN 5 END AS seconds
@@ -83,4 +90,8 @@ n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, g ORDER BY ts
     "U11_allowed": r"""WITH h AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://([^/]*)', 1), '^.*@', ''), ':[^:]*\z', ''), '\.+\z', '')) AS h FROM pages)
 SELECT page_id, h <> '' AND (h IN ('docs.sele.test', 'mipa.test') OR ends_with(h, '.example') OR h = 'example' OR ends_with(h, '.invalid') OR h = 'invalid') AS ok FROM h""",
     "U12_flat_content": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat_ws(chr(10), source, lang) ELSE source END AS content FROM documents WHERE doc_id % 2 = 0 OR source IS NOT NULL",
+    "T24_fnv1a": """WITH b AS (SELECT id, hex(encode(source_id)) AS h FROM drawers),
+v AS (SELECT id, list_reduce(list_concat([CAST(14695981039346656037 AS HUGEINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS HUGEINT))),
+  lambda x, y: CAST(((x - x % 256) + xor(CAST(x % 256 AS INT), CAST(y AS INT))) * 1099511628211 % 18446744073709551616 AS HUGEINT)) AS u FROM b)
+SELECT id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS hash FROM v""",
 }
