@@ -64,25 +64,37 @@ def delay_seconds(text: Column) -> Column:
     return F.when(text.rlike(r"^-?\d+\z"), text.try_cast("long")).when(text.rlike(r"^(?:\d+[dhms])+\z") & (total > 0), total)
 
 
+def allow_rules(rules: DataFrame) -> DataFrame:
+    """(key, wild) of rules(rule): one entry a row, `#` begins a comment, case does not count."""
+    entry = F.lower(F.trim(F.substring_index("rule", "#", 1)))
+    own = rules.select(entry.alias("rule")).filter("rule <> ''")
+    return own.select(F.regexp_replace("rule", r"^\*?\.", "").alias("key"), F.col("rule").rlike(r"^\*?\.").alias("wild")).filter("key <> ''").distinct()
+
+
+def host_ends(host: Column) -> Column:
+    """array<struct<key, whole>>: a host's own endings at its dots, the first the host itself."""
+    parts = F.split(F.lower(F.regexp_replace(host, r"\.+\z", "")), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("key"), (i == 1).alias("whole")))
+
+
 def allowed(hosts: DataFrame, rules: DataFrame, column: str = "host") -> DataFrame:
     """hosts with a column ok: the host is a rule's, or below a rule that starts with `*.` or a dot, or its apex.
 
-    rules(rule): one entry a row, `#` begins a comment, case does not count.
     Hosts are joined by their own endings, so that many rules meet many hosts
     through an equi-join; a null or empty host is not allowed.
     """
-    entry = F.lower(F.trim(F.substring_index("rule", "#", 1)))
-    own = rules.select(entry.alias("rule")).filter("rule <> ''")
-    own = own.select(F.regexp_replace("rule", r"^\*?\.", "").alias("key"), F.col("rule").rlike(r"^\*?\.").alias("wild")).distinct()
-    name = F.lower(F.regexp_replace(column, r"\.+\z", ""))
-    parts = F.split(name, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("key"), (i == 1).alias("whole")))
     unique = hosts.select(column).distinct().filter(F.col(column).isNotNull())
-    met = unique.select(column, F.explode(ends).alias("e")).select(column, "e.key", "e.whole").join(own, "key").filter("wild OR whole").filter("key <> ''")
+    met = unique.select(column, F.explode(host_ends(F.col(column))).alias("e")).select(column, "e.key", "e.whole").join(allow_rules(rules), "key").filter("wild OR whole")
     good = met.select(column).distinct().withColumn("ok", F.lit(True))
     return hosts.join(good, column, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
+def is_allowed(host: Column, exact: list[str], wild: list[str]) -> Column:
+    """allowed() for a short allowlist as an expression, where a stream cannot be joined to itself."""
+    hit = lambda e: (F.lit(False) if not wild else e["key"].isin(wild)) | (F.lit(False) if not exact else e["whole"] & e["key"].isin(exact))
+    return F.coalesce(F.exists(host_ends(host), lambda e: (e["key"] != "") & hit(e)), F.lit(False))
+
+
 def flat_content(content: Column) -> Column:
     """Text of a transcript message: a JSON string as it is, the texts of an array of typed parts joined by line feeds."""
     parts = F.from_json(content, "array<struct<type:string,text:string>>")

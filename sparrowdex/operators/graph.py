@@ -206,6 +206,13 @@ def runner_of(path: Column) -> Column:
     return out
 
 
+def runners(files: DataFrame, place: Column) -> DataFrame:
+    """(place, runner): the runner of each place with a manifest among its files(path), the first in precedence."""
+    rank = F.array_position(F.array(*[F.lit(n) for n, _ in RUNNERS]), runner_of(F.col("path")))
+    own = files.select(place.alias("place"), rank.alias("r")).filter("r IS NOT NULL").groupBy("place").agg(F.min("r").alias("r"))
+    return own.select("place", F.element_at(F.array(*[F.lit(n) for n, _ in RUNNERS]), F.col("r").cast("int")).alias("runner"))
+
+
 def command_for(runner: Column, names: Column) -> Column:
     """The command that runs the named tests, names sorted and once each; null without a runner or a test."""
     own = F.array_sort(F.array_distinct(names))

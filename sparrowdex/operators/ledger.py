@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdex.functions.text import line_tokens
+from sparrowdex.runtime import cut, partitions_for
 
 # Estimated tokens by operation, and per result up to a hundred results.
 FLAT = {"sym": 3500, "refs": 2000, "callers": 2000, "outline": 6000, "fuzzy": 2500, "prefix": 1500}
@@ -80,10 +81,21 @@ def poll(reminders: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return reminders.filter(due).orderBy("due_at", "id"), reminders.withColumn("delivered", F.col("delivered") | due)
 
 
+def _by_window(rows: DataFrame, key: str, window: int) -> DataFrame:
+    """Rows dealt to (key, _b): every row of a stretch of `window` seconds, with `_own`, and those of the stretch before.
+
+    A sliding window that ends in a stretch lies within these, so that a hot key is
+    as many groups as it has stretches of time.
+    """
+    b = F.floor(F.col("ts") / window)
+    own = rows.withColumn("_b", b).withColumn("_own", F.lit(True))
+    return own.unionByName(rows.withColumn("_b", b + 1).withColumn("_own", F.lit(False)))
+
+
 def rate_limit(attempts: DataFrame, limit: int = 5, window: int = 48 * 3600) -> DataFrame:
     """attempts(key, ts seconds) with used, allowed, left and reset (seconds until the oldest in the window leaves it)."""
-    w = Window.partitionBy("key").orderBy("ts").rangeBetween(-window, 0)
-    out = attempts.withColumn("used", F.count("*").over(w)).withColumn("oldest", F.min("ts").over(w))
+    w = Window.partitionBy("key", "_b").orderBy("ts").rangeBetween(-window, 0)
+    out = _by_window(attempts, "key", window).withColumn("used", F.count("*").over(w)).withColumn("oldest", F.min("ts").over(w)).filter("_own").drop("_b", "_own")
     return out.withColumn("allowed", F.col("used") <= limit).withColumn("left", F.greatest(F.lit(0), limit - F.col("used"))).withColumn("reset", window - (F.col("ts") - F.col("oldest"))).drop("oldest")
 
 
@@ -95,14 +107,44 @@ def valid_cache(entries: DataFrame, now: Column) -> DataFrame:
 
 def suppressed(measured: DataFrame, budget: float, window: int = 7 * 86400) -> DataFrame:
     """measured(sig, ts seconds, tokens) with verdict and suppressed: a measurement of the signature over budget within the window before."""
-    w = Window.partitionBy("sig").orderBy("ts").rangeBetween(-window, -1)
+    w = Window.partitionBy("sig", "_b").orderBy("ts").rangeBetween(-window, -1)
     bad = F.col("tokens") > budget
-    return measured.withColumn("verdict", F.when(bad, "meta_error").otherwise("helped")).withColumn("suppressed", F.coalesce(F.max(bad).over(w), F.lit(False)))
+    out = _by_window(measured, "sig", window).withColumn("verdict", F.when(bad, "meta_error").otherwise("helped")).withColumn("suppressed", F.coalesce(F.max(bad).over(w), F.lit(False)))
+    return out.filter("_own").drop("_b", "_own")
+
+
+def running_total(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the running sum of a value within each key, in an order that ends with a unique column.
+
+    Rows are dealt by ranges of (key, order); a range sums its own rows, and the
+    sums of a key's earlier ranges are added, so that a hot key is many tasks.
+    """
+    slots = cut(rows.repartitionByRange(partitions_for(rows), key, *order).withColumn("_slot", F.spark_partition_id()))
+    whole = slots.groupBy(key, "_slot").agg(F.sum(value).alias("_s"))
+    before = whole.select(key, "_slot", F.sum("_s").over(Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = slots.withColumn(name, F.sum(value).over(Window.partitionBy("_slot", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = (own[key].eqNullSafe(before[key])) & (own["_slot"] == before["_slot"])
+    out = own.join(before, same, "left").select(*[own[c] for c in own.columns], "_before")
+    return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_slot", "_before")
 
 
-def run_states(runs: DataFrame, now: Column, idle: int = 1800) -> DataFrame:
-    """runs(id, last_ts, exit_code) with state: finished, crashed, running, or stuck when idle for too long."""
-    return runs.withColumn("state", F.when(F.col("exit_code") == 0, "finished").when(F.col("exit_code").isNotNull(), "crashed").when(now - F.col("last_ts") > idle, "stuck").otherwise("running"))
+def run_states(runs: DataFrame, now: Column, idle: int = 1800, alive: DataFrame | None = None) -> DataFrame:
+    """runs(id, last_ts, exit_code[, pid]) with state: finished, crashed, running, zombie or stuck.
+
+    A run without an exit code whose pid is not among alive(pid) is a zombie, a run
+    that is idle for too long is stuck; without `alive` no run is a zombie.
+    """
+    own = runs.withColumn("_here", F.lit(True))
+    if alive is not None:
+        own = runs.join(alive.select("pid").distinct().withColumn("_here", F.lit(True)), "pid", "left")
+    state = F.when(F.col("exit_code") == 0, "finished").when(F.col("exit_code").isNotNull(), "crashed").when(F.col("_here").isNull(), "zombie").when(now - F.col("last_ts") > idle, "stuck").otherwise("running")
+    return own.withColumn("state", state).drop("_here")
+
+
+def reaped(states: DataFrame) -> DataFrame:
+    """Runs after a sweep: zombies count as crashed, with exit code -1."""
+    dead = F.col("state") == "zombie"
+    return states.withColumn("exit_code", F.when(dead, -1).otherwise(F.col("exit_code"))).withColumn("state", F.when(dead, "crashed").otherwise(F.col("state")))
 
 
 def turn_pairs(turns: DataFrame, cap: int = 65536) -> DataFrame:
@@ -126,3 +168,15 @@ def proxies_left(results: DataFrame, most: int = 3) -> DataFrame:
     own = results.withColumn("g", F.sum(F.col("ok").cast("int")).over(w))
     worst = own.filter(~F.col("ok")).groupBy("proxy", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
     return results.select("proxy").distinct().join(worst.select("proxy"), "proxy", "left_anti")
+
+
+def proxy_list(body: Column, scheme: str) -> Column:
+    """Proxies of a list in text form: trimmed lines that are neither blank nor comments, with the scheme where they have none."""
+    rows = F.filter(F.transform(F.split(body, r"\r?\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^[ \t]+|[ \t]+\z", ""))), lambda x: (x != "") & ~x.startswith("#"))
+    return F.transform(rows, lambda x: F.when(x.contains("://"), x).otherwise(F.concat(F.lit(f"{scheme}://"), x)))
+
+
+def assigned_proxies(fetches: DataFrame, proxies: Column | list[str]) -> DataFrame:
+    """fetches(n from 0) with proxy: the live ones in turn; null where none is left."""
+    pool = proxies if isinstance(proxies, Column) else F.array(*[F.lit(p) for p in proxies]).cast("array<string>")
+    return fetches.withColumn("proxy", F.when(F.size(pool) > 0, F.get(pool, (F.col("n") % F.greatest(F.size(pool), F.lit(1))).cast("int"))))

@@ -86,6 +86,7 @@ QUERIES = {
     "G09_affected_tests": bound(lambda t: G.affected(t.edges, t.sym, _stale_symbols(t))),
     "G10_test_symbols": bound(lambda t: t.sym.filter(G.is_test(F.col("kind"), F.col("file"), F.col("name"), F.col("parent"))).select("id", "name", "file")),
     "G11_test_commands": bound(_tests_by_repo),
+    "G11_runners": bound(lambda t: G.runners(t.files.select(F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.expr("element_at(array('Cargo.toml', 'go.mod', 'setup.cfg', 'package.json', 'README.md', 'tox.ini'), cast(id % 6 + 1 as int))")).alias("path")), F.regexp_extract("path", r"^(.*)/", 1))),
     "G13_crawl": bound(_crawl),
     "G14_claim": bound(lambda t: G.claim(t.pages.selectExpr("url", "depth", "page_id AS seq", "CASE WHEN status IS NULL THEN 'queued' ELSE 'done' END AS state"), 50).select("url", "depth", "seq", "state")),
     "J09_recursive": bound(lambda t: G.walk(G.call_graph(t.edges, ("call", "ref")), _named(t), 3, incoming=True).groupBy("depth").agg(F.count("*").alias("n"))),
@@ -123,6 +124,8 @@ tests AS (SELECT string_split(file, '/')[1] AS repo, CASE WHEN lang = 'rust' THE
 one AS (SELECT DISTINCT repo, runner, name FROM tests WHERE runner IS NOT NULL)
 SELECT repo, runner, CASE runner WHEN 'cargo' THEN 'cargo test -- ' || string_agg(name, ' ' ORDER BY name) WHEN 'go' THEN 'go test ./... -run ''^(' || string_agg(name, '|' ORDER BY name) || ')$'''
   WHEN 'pytest' THEN 'pytest -k "' || string_agg(name, ' or ' ORDER BY name) || '"' ELSE 'npm test -- -t "' || string_agg(name, '|' ORDER BY name) || '"' END AS command FROM one GROUP BY repo, runner""",
+    "G11_runners": """WITH f AS (SELECT regexp_extract(path, '^(.*)/', 1) AS place, ['cargo', 'go', 'pytest', 'npm', NULL, 'pytest'][id % 6 + 1] AS runner FROM files)
+SELECT place, arg_min(runner, list_position(['cargo', 'go', 'pytest', 'npm'], runner)) AS runner FROM f WHERE runner IS NOT NULL GROUP BY place""",
     "G13_crawl": r"""WITH RECURSIVE page AS (SELECT DISTINCT regexp_replace(url, '[?#].*\z', '') AS url, content_markdown FROM pages),
 link AS (SELECT DISTINCT url, regexp_extract(url, '^(https?://[^/]+)', 1) || unnest(regexp_extract_all(content_markdown, '\]\((/[^)\s#?]*)\)', 1)) AS target FROM page),
 seed AS (SELECT DISTINCT regexp_replace(url, '[?#].*\z', '') AS url FROM pages WHERE page_id % 20 = 0),

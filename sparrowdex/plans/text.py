@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparrowdex.functions import text as T
 from sparrowdex.functions import udfs as P
+from sparrowdex.operators.ledger import running_total
 from sparrowdex.plans.binding import bound
 
 
@@ -73,10 +74,7 @@ def _line_windows(t):
 
 def _economy(t):
     """Running use of drawers in order of time, by wing, with pressure and ratio."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("wing").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    used = t.drawer.select("id", "wing", "created_at", T.byte_tokens(F.col("body")).alias("tokens")).withColumn("used", F.sum("tokens").over(w))
+    used = running_total(t.drawer.select("id", "wing", "created_at", T.byte_tokens(F.col("body")).alias("tokens")), "wing", ["created_at", "id"], "tokens", "used")
     p = T.pressure(F.col("used"))
     return used.select("id", "used", F.round(p, 6).alias("pressure"), T.ratio(p).alias("ratio"))
 

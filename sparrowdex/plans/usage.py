@@ -66,6 +66,19 @@ def _saved(t: Tables) -> DataFrame:
     return rows.groupBy("room").agg(F.count("*").alias("n"), F.sum("saved").alias("saved"), F.round(F.avg("r"), 6).alias("readability"))
 
 
+def _agents(t: Tables) -> DataFrame:
+    """Users as runs: their last event, an exit code for some, and a process number."""
+    last = F.max(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("last_ts")
+    own = t.events.groupBy(F.col("user_id").alias("id")).agg(last)
+    return own.withColumn("exit_code", F.expr("CASE WHEN id % 3 = 0 THEN 0 WHEN id % 7 = 0 THEN 1 END")).withColumn("pid", F.col("id") % 100)
+
+
+def _alive(t: Tables) -> DataFrame:
+    return t.events.select((F.col("user_id") % 100).alias("pid")).filter("pid % 4 <> 1").distinct()
+
+
+_PROXIES = "# a list\n1.2.3.4:80\n\n  socks5://5.6.7.8:1080 \r\nproxy.example:3128"
+
 QUERIES = {
     "A04_usage_report": bound(_report),
     "A05_saved": bound(lambda t: _log(t).select("event_id", "saved_tokens")),
@@ -83,7 +96,9 @@ QUERIES = {
     "E07_rate_limit": bound(lambda t: E.rate_limit(t.events.select("event_id", F.col("user_id").alias("key"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts"))).select("event_id", "used", "allowed", "left", "reset")),
     "E08_valid_cache": bound(lambda t: E.valid_cache(t.pages.select(F.regexp_replace("url", r"[?#].*\z", "").alias("key"), F.col("fetched_at").alias("created"), (F.col("depth") * 86400 * 90).alias("ttl"), F.col("page_id").alias("seq")), F.lit(t.pages.agg(F.max("fetched_at")).first()[0] or 0)).select("key", "seq")),
     "E09_suppressed": bound(lambda t: E.suppressed(t.events.select("event_id", F.col("user_id").alias("sig"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts"), F.col("value").alias("tokens")), 150).select("event_id", "verdict", "suppressed")),
-    "E10_run_states": bound(lambda t: E.run_states(t.events.groupBy(F.col("user_id").alias("id")).agg(F.max(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("last_ts"), F.expr("CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 7 = 0 THEN 1 END").alias("exit_code")), F.lit(_now(t)), 40000).select("id", "state")),
+    "E10_run_states": bound(lambda t: E.run_states(_agents(t), F.lit(_now(t)), 40000, _alive(t)).select("id", "state")),
+    "E10_reaped": bound(lambda t: E.reaped(E.run_states(_agents(t), F.lit(_now(t)), 40000, _alive(t))).groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("exit_code") == -1).alias("swept"))),
+    "U10_assigned": bound(lambda t: E.assigned_proxies(t.pages.select(F.col("page_id").alias("n")), E.proxy_list(F.lit(_PROXIES), "http"))),
     "E11_daily_usage": bound(lambda t: t.events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', w.start)").alias("day"), "event_type", "n", "value")),
     "SC11_turn_pairs": bound(lambda t: E.turn_pairs(_turns(t)).select("conv", "turn", F.md5("body").alias("md5"))),
     "W04_last_seen": bound(lambda t: latest(t.events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")),
@@ -106,6 +121,9 @@ _ROOMS = rf"""a AS (SELECT room, body, {X._L.format("body")} AS a FROM drawer),
 c AS (SELECT room, {X._TOKENS.format("body")} - ({X._TOKENS.format("after")}) AS saved, list_filter({X._L.format("after")}, lambda x: x <> '') AS fb, {X._W.format("after")} AS w FROM b),
 v AS (SELECT room, saved, {X._MEAN.format("fb")} AS ml, {X._MEAN.format("w")} AS mw FROM c)"""
 
+_STATE = """r AS (SELECT user_id AS id, CAST(floor(epoch(max(ts))) AS BIGINT) AS l, CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 7 = 0 THEN 1 END AS x FROM events GROUP BY user_id),
+st AS (SELECT id, CASE WHEN x = 0 THEN 'finished' WHEN x IS NOT NULL THEN 'crashed' WHEN id % 100 % 4 = 1 THEN 'zombie' WHEN (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events) - l > 40000 THEN 'stuck' ELSE 'running' END AS state FROM r)"""
+
 SQL = {
     "A08_compaction": f"WITH {DRAWER}, {_ROOMS} SELECT room, count(*) AS n, CAST(sum(saved) AS BIGINT) AS saved, round(avg((greatest(0, least(1, 1 - greatest(ml - 40, 0) / 60)) + CASE WHEN mw < 25 THEN 1.0 ELSE 0.5 END) / 2), 6) AS readability FROM v GROUP BY room",
     "A04_usage_report": f"""WITH {_LOG}, now AS (SELECT max(ts) AS m FROM log), b AS (
@@ -131,8 +149,9 @@ SELECT event_id, used, used <= 5 AS allowed, greatest(0, 5 - used) AS left, 1728
 SELECT key, seq FROM c WHERE fetched_at + ttl > (SELECT max(fetched_at) FROM pages)""",
     "E09_suppressed": """WITH a AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value > 150 AS bad FROM events)
 SELECT event_id, CASE WHEN bad THEN 'meta_error' ELSE 'helped' END AS verdict, coalesce(bool_or(bad) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), false) AS suppressed FROM a""",
-    "E10_run_states": """WITH r AS (SELECT user_id AS id, CAST(floor(epoch(max(ts))) AS BIGINT) AS l, CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 7 = 0 THEN 1 END AS x FROM events GROUP BY user_id)
-SELECT id, CASE WHEN x = 0 THEN 'finished' WHEN x IS NOT NULL THEN 'crashed' WHEN (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events) - l > 40000 THEN 'stuck' ELSE 'running' END AS state FROM r""",
+    "E10_run_states": f"WITH {_STATE} SELECT id, state FROM st",
+    "E10_reaped": f"WITH {_STATE} SELECT CASE state WHEN 'zombie' THEN 'crashed' ELSE state END AS state, count(*) AS n, count(*) FILTER (WHERE state = 'zombie') AS swept FROM st GROUP BY 1",
+    "U10_assigned": "SELECT page_id AS n, ['http://1.2.3.4:80', 'socks5://5.6.7.8:1080', 'http://proxy.example:3128'][page_id % 3 + 1] AS proxy FROM pages",
     "E11_daily_usage": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "SC11_turn_pairs": f"WITH {_TURN} SELECT conv, CAST(turn AS INT) AS turn, md5(left('USER: ' || coalesce(asked, '') || chr(10) || chr(10) || 'ASSISTANT: ' || text, 65536)) AS md5 FROM pair",
     "W04_last_seen": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",

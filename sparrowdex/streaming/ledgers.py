@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparrowdex.functions.web import allow_rules, is_allowed
 from sparrowdex.runtime import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -98,17 +99,6 @@ def deliver_once(reminders: DataFrame, now: int, folder: str, checkpoint: str) -
 
 def egress_verdicts(log: DataFrame, rules: DataFrame) -> DataFrame:
     """(ts, host, ok) of a streamed egress log (ts, host) against an allowlist that is read as a static table."""
-    from sparrowdex.functions.web import allowed
-
-    hosts = log.select("ts", "host")
-    entry = F.lower(F.trim(F.substring_index("rule", "#", 1)))
-    own = rules.select(entry.alias("rule")).filter("rule <> ''")
-    own = own.select(F.regexp_replace("rule", r"^\*?\.", "").alias("key"), F.col("rule").rlike(r"^\*?\.").alias("wild")).distinct()
-    del allowed
-    keys = own.agg(F.collect_set(F.when(F.col("wild"), F.col("key"))).alias("wild"), F.collect_set(F.when(~F.col("wild"), F.col("key"))).alias("exact")).first()  # the rules of one allowlist
-    name = F.lower(F.regexp_replace("host", r"\.+\z", ""))
-    parts = F.split(name, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    listed = lambda values: F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-    ok = (name != "") & (F.array_contains(listed(keys["exact"]), name) | F.arrays_overlap(ends, listed(keys["wild"])))
-    return hosts.select("ts", "host", F.coalesce(ok, F.lit(False)).alias("ok"))
+    own = allow_rules(rules).collect()  # the entries of one allowlist
+    ok = is_allowed(F.col("host"), [r["key"] for r in own if not r["wild"]], [r["key"] for r in own if r["wild"]])
+    return log.select("ts", "host", ok.alias("ok"))
