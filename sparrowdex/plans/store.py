@@ -53,6 +53,13 @@ def _parents(t: Tables) -> DataFrame:
     return C.resolve_parents(real(t.sym).filter("parent IS NOT NULL").select("id", "file_id", "parent"), t.symbols)
 
 
+def _data_symbols(t: Tables) -> DataFrame:
+    """Every file as a CSV table, a YAML mapping or a Markdown text with its id in the names."""
+    text = """CASE id % 3 WHEN 0 THEN concat('id,"a ""q"", ', id, '" ,\\n1,2,3') WHEN 1 THEN concat('name: x\\njobs:\\n  build_', id, ':\\n    steps: 1\\n# c: 1\\n"k ', id, '": 2') ELSE concat('# One ', id, ' #\\n\\nTwo\\n---\\n#### Three\\n```\\n') END"""
+    rows = t.files.select(F.col("id").cast("string").alias("path"), F.expr("element_at(array('csv', 'yaml', 'markdown'), cast(id % 3 + 1 as int))").alias("lang"), F.expr(text).alias("text"))
+    return formats.data_symbols(rows)
+
+
 def _chunks(t: Tables) -> DataFrame:
     """A chunk of every symbol, whose file's text is the document of the same number."""
     own = real(t.symbols).withColumn("file", F.col("file_id").cast("string"))
@@ -70,6 +77,7 @@ QUERIES = {
     "SC07_names": bound(lambda t: real(t.symbols).select("name", "kind").distinct()),
     "SC08_files": bound(lambda t: t.files.filter("lang = 'rust' AND path LIKE 't%' AND path LIKE '%.rs'").select("path").distinct().orderBy("path").limit(30)),
     "SC12_chunks": bound(_chunks),
+    "SC13_data_symbols": bound(_data_symbols),
     "SC13_headings": bound(lambda t: formats.markdown_headings(t.pages, "page_id", "content_markdown")),
     "SC14_stats": bound(lambda t: t.lineitem.select("l_quantity", "l_extendedprice", "l_discount").unpivot([], ["l_quantity", "l_extendedprice", "l_discount"], "field", "value").groupBy("field").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 4).alias("mean"))),
     "SC14_sample": bound(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").orderBy(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "l_orderkey", "l_linenumber").limit(100).select("l_orderkey")),
@@ -108,6 +116,10 @@ SELECT (SELECT count(*) FROM files WHERE id NOT IN (SELECT id FROM gone)) AS fil
 c AS (SELECT s.*, array_to_string(l[greatest(line_start, 1) : greatest(line_end, line_start, 1)], chr(10)) AS span FROM symbols s JOIN l ON l.doc_id = s.file_id WHERE kind <> 'sentinel'),
 b AS (SELECT *, substr(file_id || ':' || name || ' [' || kind || ']' || chr(10) || coalesce(signature, '') || chr(10) || span, 1, 6000) AS body FROM c WHERE regexp_matches(span, '[^ \t\r\n\f]'))
 SELECT 'code:' || file_id || '#' || name || '@' || line_start AS source_id, md5(body) AS md5, CAST(length(body) AS INT) AS chars FROM b""",
+    "SC13_data_symbols": """SELECT CAST(id AS VARCHAR) AS path, u.name, u.kind, u.parent, CAST(u.line AS INT) AS line FROM (SELECT id, unnest(CASE id % 3
+WHEN 0 THEN [{'name': 'id', 'kind': 'var', 'parent': CAST(NULL AS VARCHAR), 'line': 1}, {'name': 'a "q", ' || id, 'kind': 'var', 'parent': NULL, 'line': 1}]
+WHEN 1 THEN [{'name': 'name', 'kind': 'var', 'parent': NULL, 'line': 1}, {'name': 'jobs', 'kind': 'var', 'parent': NULL, 'line': 2}, {'name': 'build_' || id, 'kind': 'var', 'parent': 'jobs', 'line': 3}, {'name': 'k ' || id, 'kind': 'var', 'parent': NULL, 'line': 6}]
+ELSE [{'name': 'One ' || id, 'kind': 'class', 'parent': NULL, 'line': 1}, {'name': 'Two', 'kind': 'type', 'parent': NULL, 'line': 3}, {'name': 'Three', 'kind': 'function', 'parent': NULL, 'line': 5}] END) AS u FROM files)""",
     "SC13_headings": r"""WITH l AS (SELECT page_id, unnest(string_split(content_markdown, chr(10))) AS line, generate_subscripts(string_split(content_markdown, chr(10)), 1) AS n FROM pages)
 SELECT page_id, CAST(n AS INT) AS line, CAST(length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]', 1)) AS INT) AS level, CASE length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]', 1)) WHEN 1 THEN 'class' WHEN 2 THEN 'type' ELSE 'function' END AS kind,
 regexp_replace(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*)\z', 1), '[ \t\r#]+\z', '') AS name FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}[ \t]+[^ \t\r]')""",

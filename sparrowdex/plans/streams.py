@@ -84,12 +84,40 @@ def G12_cached_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cached_graph(spark, _fresh(spark, "graph"), lambda: G.call_graph(Tables(spark, sf_dir).edges))
 
 
+def SC17_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols after three snapshots, of which two are kept, read back from the newest."""
+    t, root = Tables(spark, sf_dir), _fresh(spark, "snapshots")
+    for stamp in (1, 2, 3):
+        sinks.snapshot({"symbols": t.symbols.filter(F.col("file_id") % 3 < stamp), "files": t.files}, root, stamp)
+    sinks.prune_snapshots(spark, root, 2)
+    newest = sinks.snapshots(spark, root)
+    return sinks.restore(spark, root, newest[0], "symbols").select("id", "name", F.lit(len(newest)).alias("kept"))
+
+
+def E13_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an egress log in three parts, each of which fills it, read from what is left after rotation."""
+    path, pages = _fresh(spark, "netlog"), Tables(spark, sf_dir).pages
+    for part in range(3):
+        sinks.append_rotating(pages.filter(F.col("page_id") % 3 == part).select("page_id", F.lit(part).alias("part")), path, most_bytes=1)
+    read = lambda p: spark.read.schema("page_id long, part int").json(p)
+    return read(f"{path}.1").unionByName(read(path)).groupBy("part").agg(F.count("*").alias("n"))
+
+
+def SC16_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits written as compressed JSON lines and read again."""
+    path = _fresh(spark, "hits")
+    sinks.write_ndjson(Tables(spark, sf_dir).edges, path, gzip=True)
+    return spark.read.schema("src_symbol_id long, dst_symbol_id long, kind string, line int").json(path)
+
+
 _IGNORE = ("vendor/", "*.md", "!drawer_*.md", "# comment", "/bench")
 
-QUERIES = {f.__name__: f for f in (E01_watch, E05_stream_loops, E07_stream_rate_limit, E11_stream_usage, E13_stream_egress, SC09_usage_log, G12_cached_graph)} | {
+QUERIES = {f.__name__: f for f in (E01_watch, E05_stream_loops, E07_stream_rate_limit, E11_stream_usage, E13_stream_egress, E13_rotated, SC09_usage_log, SC16_ndjson, SC17_restored, G12_cached_graph)} | {
     "SC01_ignored": bound(lambda t: t.files.select("id", readers.ignored(F.col("path"), _IGNORE).alias("ignored"))),
     "SC03_index_outcomes": bound(lambda t: t.files.groupBy(F.when(readers.ignored(F.col("path"), _IGNORE), "ignored").otherwise("indexed").alias("outcome")).agg(F.count("*").alias("files"))),
     "SC15_fetched": bound(lambda t: readers.fetched(t.pages.select(F.col("page_id").alias("n"), F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/none"))).otherwise(F.col("url")).alias("url")), t.pages).select("n", "url", "status", "title", "error")),
+    "SC16_json": bound(lambda t: sinks.as_json(t.symbols.select("id", "name", "line_start"))),
+    "SC16_frames": bound(lambda t: sinks.event_frames(t.symbols.select("id", "name"), "hit")),
     "SC16_markdown_rows": bound(lambda t: sinks.as_markdown(t.symbols.select("id", "name", "qualified", "parent_id"))),
 }
 
@@ -108,5 +136,10 @@ SELECT event_id, user_id, count(*) OVER v AS used, count(*) OVER v <= 5 AS allow
     "SC03_index_outcomes": f"SELECT CASE WHEN {_OUT} THEN 'ignored' ELSE 'indexed' END AS outcome, count(*) AS files FROM files GROUP BY 1",
     "SC15_fetched": """WITH p AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, page_id DESC) = 1), r AS (SELECT page_id AS n, CASE WHEN page_id % 5 = 0 THEN url || '/none' ELSE url END AS url FROM pages)
 SELECT r.n, r.url, p.status, p.title, CASE WHEN p.url IS NULL THEN 'not fetched' ELSE p.error END AS error FROM r LEFT JOIN p ON p.url = r.url""",
+    "SC16_json": """SELECT '{"id":' || id || ',"name":' || to_json(name) || ',"line_start":' || line_start || '}' AS json FROM symbols""",
+    "SC16_frames": """SELECT 'event: hit' || chr(10) || 'data: {"id":' || id || ',"name":' || to_json(name) || '}' || chr(10) || chr(10) AS frame FROM symbols""",
+    "SC16_ndjson": "SELECT src_symbol_id, dst_symbol_id, kind, line FROM edges",
+    "SC17_restored": "SELECT id, name, 2 AS kept FROM symbols",
+    "E13_rotated": "SELECT CAST(page_id % 3 AS INT) AS part, count(*) AS n FROM pages WHERE page_id % 3 > 0 GROUP BY 1",
     "SC16_markdown_rows": r"SELECT '| ' || id || ' | ' || replace(coalesce(name, ''), '|', '\|') || ' | ' || replace(coalesce(qualified, ''), '|', '\|') || ' | ' || coalesce(CAST(parent_id AS VARCHAR), '') || ' |' AS line FROM symbols",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +56,30 @@ def prune_snapshots(spark: SparkSession, root: str, keep: int) -> list[int]:
     return gone
 
 
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def cached_graph(spark: SparkSession, path: str, build) -> DataFrame:
-    """The call graph stored at a path, else the built one, which is then stored there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    """The call graph stored at a path, else the built one, which is then stored there; one that was not written to its end is built again."""
+    fs, done = _fs(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def append_rotating(rows: DataFrame, path: str, most_bytes: int = 4 << 20) -> bool:
+    """Append rows to a log folder of JSON lines; one that has reached its size is first moved aside, over the one moved before.
+
+    Gives whether the log was rotated.
+    """
+    spark = rows.sparkSession
+    fs, own = _fs(spark, path)
+    full = fs.exists(own) and fs.getContentSummary(own).getLength() >= most_bytes
+    if full:
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.1")
+        fs.delete(aside, True)
+        fs.rename(own, aside)
+    rows.write.mode("append").json(path)
+    return bool(full)
