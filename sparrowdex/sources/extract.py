@@ -59,6 +59,27 @@ def name_visibility(lang: Column, name: Column) -> Column:
     return F.when(lang == "go", F.when(name.rlike("^[A-Z]"), "pub").otherwise("priv")).when(lang == "python", F.when(name.startswith("_") & ~dunder, "priv").otherwise("pub"))
 
 
+def declared_visibility(lang: Column, name: Column, text: Column) -> Column:
+    """Visibility of a definition from its language, name and text, as visibility() gives it row by row."""
+    text = F.coalesce(F.regexp_replace(text, r"^[ \t\r\n\f]+", ""), F.lit(""))
+    word = lambda w, within: within.rlike(rf"\b{w}\b")
+    head, front = F.substring_index(text, "(", 1), F.substring_index(text, "func", 1)
+    own = F.regexp_replace(F.regexp_extract(text, r"^pub(?:\s*\([^)]*\))?", 0), r"\s", "")
+    java = F.when(word("private", head), "priv").when(word("protected", head), "protected").when(word("public", head), "pub").otherwise("pkg")
+    swift = F.lit(None).cast("string")
+    for token in ("private", "fileprivate", "internal", "open", "public"):
+        swift = F.when(word(token, front), token).otherwise(swift)
+    return (
+        F.when(lang.isin("go", "python"), name_visibility(lang, name))
+        .when(lang == "rust", F.when(own != "", own))
+        .when(lang.isin("typescript", "tsx"), F.when(text.startswith("export"), "pub"))
+        .when(lang == "java", java)
+        .when(lang == "swift", swift)
+        .when(lang == "c", F.when(word("static", text), "priv"))
+        .when(lang == "zig", F.when(text.startswith("pub"), "pub").otherwise("priv"))
+    )
+
+
 def compact_signature(text: Column) -> Column:
     flat = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
     return F.regexp_replace(F.regexp_replace(flat, r"^ | \z", ""), r"[ {=]+\z", "")
@@ -124,7 +145,7 @@ def _scanned(source: str, lang: str) -> tuple[list[dict], list[dict]]:
             if not m or m[1] in _NO_CALL:
                 continue
             depth, opened, end = 0, False, n
-            for j in range(n, min(len(clean), n + 20_000)):
+            for j in range(n, len(clean)):
                 depth += clean[j].count("{") - clean[j].count("}")
                 opened |= "{" in clean[j]
                 end = j
@@ -164,7 +185,7 @@ def _scanned(source: str, lang: str) -> tuple[list[dict], list[dict]]:
 
 def extract(source: str, lang: str | None) -> tuple[list[dict], list[dict]]:
     """Symbols and edges of a source text; none for other languages and oversize texts."""
-    if not source or lang is None or len(source) > MAX_BYTES:
+    if not source or lang is None or len(source) > MAX_BYTES or 4 * len(source) > MAX_BYTES and len(source.encode("utf-8", "surrogatepass")) > MAX_BYTES:
         return [], []
     if lang == "python":
         return _python(source)
@@ -206,9 +227,94 @@ def scan_name(texts: DataFrame, key: str, text: str, name: str, calls: bool = Fa
     return lines.filter(F.col("snippet").rlike(form)).select(key, (F.col("n") + 1).alias("line"), "snippet")
 
 
-def resolve_scoped(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs (file_id, name, qualified) with target: the symbol of the qualified name, else the file's own definition, else null."""
+_PY_IMPORT = re.compile(r"^[ \t]*import[ \t]+([^#\n;]+)", re.M)
+_PY_FROM = re.compile(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^#\n;]+))", re.M)
+_TS_IMPORT = re.compile(r"^[ \t]*import[ \t]+(?:type[ \t]+)?([^'\"]+?)[ \t]+from[ \t]+['\"]([^'\"]+)['\"]", re.M)
+_RS_USE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", re.M)
+
+
+def _use_tree(tree: str, before: str = "") -> Iterator[tuple[str, str]]:
+    """(local name, path) of the leaves of a Rust use tree; globs bind no name."""
+    tree = tree.strip()
+    head, brace, rest = tree.partition("{")
+    if brace:
+        depth, part = 0, ""
+        for c in rest.rsplit("}", 1)[0] + ",":
+            depth += (c == "{") - (c == "}")
+            if c == "," and not depth:
+                if part.strip():
+                    yield from _use_tree(part, before + head.strip())
+                part = ""
+            else:
+                part += c
+        return
+    path, _, alias = (x.strip() for x in (before + tree).partition(" as "))
+    if path.endswith("::self"):
+        path = path[: -len("::self")]
+    name = alias or path.rsplit("::", 1)[-1]
+    if name not in ("*", "_", ""):
+        yield name, path
+
+
+def harvest_imports(source: str, lang: str | None) -> list[tuple[str, str]]:
+    """(local name, qualified name) of what a source imports; qualified names join their parts with `::`."""
+    out: list[tuple[str, str]] = []
+    text = source or ""
+    if lang == "python":
+        for m in _PY_IMPORT.finditer(text):
+            for part in m[1].split(","):
+                path, _, alias = (x.strip() for x in part.partition(" as "))
+                if path:
+                    out.append((alias or path.split(".")[0], (path if alias else path.split(".")[0]).replace(".", "::")))
+        for m in _PY_FROM.finditer(text):
+            for part in (m[2] or m[3] or "").split(","):
+                name, _, alias = (x.strip() for x in part.partition(" as "))
+                if name and name != "*":
+                    out.append((alias or name, "::".join([*[x for x in m[1].split(".") if x], name])))
+    elif lang in ("typescript", "tsx", "javascript"):
+        for m in _TS_IMPORT.finditer(text):
+            module = re.sub(r"\.(?:tsx?|jsx?)$", "", m[2])
+            module = "::".join(x for x in module.split("/") if x not in (".", "..", ""))
+            named = re.search(r"\{([^}]*)\}", m[1])
+            for part in (named[1].split(",") if named else []):
+                name, _, alias = (x.strip() for x in part.replace("type ", "").partition(" as "))
+                if name:
+                    out.append((alias or name, f"{module}::{name}"))
+            for part in re.sub(r"\{[^}]*\}", "", m[1]).split(","):
+                part = part.strip()
+                if part.startswith("*"):
+                    out.append((part.partition(" as ")[2].strip(), module))
+                elif part:
+                    out.append((part, f"{module}::default"))
+    elif lang == "rust":
+        for m in _RS_USE.finditer(text):
+            out += list(_use_tree(re.sub(r"\s+", " ", m[1])))
+    return [(a, b) for a, b in out if a]
+
+
+def extract_imports(texts: DataFrame) -> DataFrame:
+    """(path, local, qualified) of the imports of texts(path, lang, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(p, *x) for p, g, t in zip(pdf["path"], pdf["lang"], pdf["text"]) for x in harvest_imports(t, g)]
+            yield pd.DataFrame(out, columns=["path", "local", "qualified"])
+
+    return texts.select("path", "lang", "text").mapInPandas(run, "path string, local string, qualified string")
+
+
+def resolve_scoped(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """refs (file_id, name) with target: what a name means in its file.
+
+    In this order: the file's own definition; the symbol of the qualified name that
+    the file imports under the name; the first symbol of that name if it is imported
+    at all; the one symbol of that name anywhere.  Else null.  imports: (file_id,
+    local, qualified); of several imports of a name the smallest known target counts.
+    """
     known = symbols.filter("kind <> 'sentinel'")
-    by_path = known.filter("qualified IS NOT NULL").groupBy("qualified").agg(F.min("id").alias("far"))
     local = known.groupBy("file_id", "name").agg(F.min("id").alias("near"))
-    return refs.join(by_path, "qualified", "left").join(local, ["file_id", "name"], "left").select(*refs.columns, F.coalesce("far", "near").alias("target"))
+    by_path = known.filter("qualified IS NOT NULL").groupBy("qualified").agg(F.min("id").alias("far"))
+    any_of = known.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    alias = imports.join(by_path, "qualified", "left").groupBy("file_id", F.col("local").alias("name")).agg(F.min("far").alias("far"), F.lit(True).alias("imported"))
+    out = refs.join(local, ["file_id", "name"], "left").join(alias, ["file_id", "name"], "left").join(any_of, "name", "left")
+    return out.select(*refs.columns, F.coalesce("near", "far", F.when(F.col("imported") | (F.col("n") == 1), F.col("first"))).alias("target"))
