@@ -124,7 +124,7 @@ def leaks(
     min_match: int = 5,
     longest: int = 12,
     coverage: float | None = 0.5,
-    block_words: int = 200_000,
+    block_words: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, longest, tiles, covered): texts that give an item away.
 

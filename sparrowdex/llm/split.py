@@ -113,13 +113,14 @@ def pieces(text: str, limit: int, overlap: int, least: float = 0.5) -> list[Piec
     The strongest place in the upper part (from `least` of the limit on) ends a
     piece; the next one begins `overlap` bytes before it, moved to the strongest
     place within a quarter of the overlap around that, and always after the begin
-    of the piece before, so that pieces advance.  A limit smaller than a character
-    lets this one character exceed it.
+    of the piece before, so that pieces advance; for this an overlap counts up to
+    three quarters of the limit.  A limit smaller than a character lets this one
+    character exceed it.
     """
     raw = text.encode("utf-8", "surrogatepass")
     n = len(raw)
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - max(1, limit // 4)))
     if n <= limit:
         return [Piece(0, n, SECTION)] if n else []
     index, out, start, reached = CutIndex(raw), [], 0, 0
@@ -128,7 +129,7 @@ def pieces(text: str, limit: int, overlap: int, least: float = 0.5) -> list[Piec
             out.append(Piece(start, n, SECTION))
             return out
         high = start + limit
-        found = index.strongest(max(start + max(1, int(limit * least)), reached + 1), high) or index.strongest(max(start, reached) + 1, high)
+        found = index.strongest(max(start + max(1, int(limit * least), overlap + 1), reached + 1), high) or index.strongest(max(start, reached) + 1, high)
         if found is None:
             place = index.whole(high, start)
             if start < place <= reached:  # nothing new fits beside the overlap

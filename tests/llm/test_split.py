@@ -69,3 +69,14 @@ def test_items(spark):
     assert all(len(r["piece"].encode()) <= 50 == 50 for r in got)
     assert split_items(items.select("item_kind", "item_id", "scope", "body").limit(0), limits).count() == 0
     assert split_items(items.select("item_kind", "item_id", "scope", "body"), limits.limit(0)).count() == 0
+
+
+def test_wide_overlap():
+    """An overlap above half of the limit is kept, up to three quarters of it."""
+    text = " ".join(f"word{i}" for i in range(400))
+    raw = text.encode()
+    for overlap, kept in ((60, 60), (75, 75), (500, 75)):
+        got = pieces(text, 100, overlap)
+        assert got[0].first == 0 and got[-1].last == len(raw) and all(p.last - p.first <= 100 for p in got)
+        shared = [a.last - b.first for a, b in zip(got, got[1:])]
+        assert all(b.first > a.first for a, b in zip(got, got[1:])) and min(shared) >= kept * 0.75 - 8
