@@ -12,7 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import cut, dropped, partitions_for
+from sparrowdex.runtime import cut, dropped, guarded_broadcast, partitions_for
+
+
+#: Rows still climbing, counted, that travel to the ended ones instead of meeting them in a shuffle.
+SMALL = 200_000
+#: Rows a round may leave behind in the shared folder until the end, for one write less.
+KEPT = 1_000_000
 
 
 def clean_links(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -48,18 +54,25 @@ def climb(links: DataFrame, weigh: bool = False, sizes: bool = False, cycles: bo
     while left:
         moved = act
         if sizes:  # a subtree that reaches a full stride down counts for the row above; for rows that have ended, in the end
-            gain = act.groupBy("anc").agg(F.sum("size").alias("more")).join(act.select(F.col("id").alias("anc"), F.lit(True).alias("climbs")), "anc", "left")
+            gain = act.groupBy("anc").agg(F.sum("size").alias("more")).join(guarded_broadcast(act, left, SMALL).select(F.col("id").alias("anc"), F.lit(True).alias("climbs")), "anc", "left")
             gain = cut(gain.withColumnRenamed("anc", "id"))
             part = gain.filter("climbs IS NULL").select("id", "more")
             late = part if late is None else late.unionByName(part)
             moved = act.join(gain.filter("climbs").select("id", "more"), "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        step = [(F.col("hops") + F.col("hops2")).alias("hops"), (F.col("total") + F.col("total2")).alias("total"), "size"]
-        seen = act.selectExpr("id AS anc", "anc AS anc2", "hops AS hops2", "low AS low2", "total AS total2")
-        over = done.selectExpr("id AS anc", "top", "hops AS hops2", "total AS total2")
-        new = cut(moved.join(seen, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), *step))
-        done = done.unionByName(cut(moved.join(over, "anc").select("id", "parent", "top", *step)))
-        dropped(act)
-        act, now = new, new.count()
+        on = [F.lit(None).cast("long").alias(x) for x in ("anc2", "low2", "top2")]
+        seen = act.selectExpr("id AS anc", "hops AS hops2", "total AS total2", "anc AS anc2", "low AS low2", "CAST(NULL AS BIGINT) AS top2")
+        seen = seen.unionByName(done.select(F.col("id").alias("anc"), F.col("hops").alias("hops2"), F.col("total").alias("total2"), on[0], on[1], F.col("top").alias("top2")))
+        step = cut(seen.join(guarded_broadcast(moved, left, SMALL), "anc").select(
+            "id", "parent", F.col("anc2").alias("anc"), F.col("top2").alias("top"), F.least("low", "low2").alias("low"),
+            (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("total") + F.col("total2")).alias("total"), "size",
+        ))
+        new, over = step.filter("anc IS NOT NULL").drop("top"), step.filter("anc IS NULL").select("id", "parent", "top", "hops", "total", "size")
+        now = new.count()
+        if now > KEPT and 2 * now > left:  # many rows, of which few have ended: part them, so that what is no longer read can go
+            new, over = cut(new), cut(over)
+            dropped(step)
+            dropped(act)
+        done, act = done.unionByName(over), new
         if now == left:
             break
         left = now
