@@ -22,16 +22,18 @@ article, in lists too, lead elsewhere and count as text.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdex.runtime import spread
+from sparrowdex.runtime import dropped, spread, written
 
 _LINK = re.compile(r"(!?)\[((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]\(([^()\s]*(?:\([^()]*\))?)[^()]*\)")
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
@@ -294,7 +296,7 @@ class Furniture:
     ratio: dict[str, float] = field(default_factory=dict)
     prior: float = -2.0
 
-    def share(self, words: set[str]) -> float:
+    def share(self, words: Iterable[str]) -> float:
         """Share of a block's characters that counts as navigational by its words."""
         if not self.ratio:
             return 0.0
@@ -305,26 +307,55 @@ class Furniture:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
+@dataclass
+class Parts:
+    """What evidence and densities need of a page: blocks, their words (none for code and tables), which are rules, and empty lines inside them."""
+
+    top: int | None
+    blocks: list[Block]
+    words: list[list[str] | None]
+    rules: list[bool]
+    empty: list[int]
+
+    @classmethod
+    def of(cls, page: Page) -> Parts:
+        lines, blocks = page.lines, page.blocks
+        words = [sorted(page.words(b)) if b.kind in ("text", "heading") else None for b in blocks]
+        rules = [all(_is_rule(x) for x in lines[b.first : b.last]) for b in blocks]
+        return cls(page.top, blocks, words, rules, [i for b in blocks if b.kind == "code" for i in range(b.first, b.last) if not lines[i].strip()])
+
+    def packed(self) -> bytes:
+        rows = [(b.first, b.last, b.kind, b.level, b.chars, b.tags, b.nav_chars, b.nav_tags, b.form) for b in self.blocks]
+        return pickle.dumps((self.top, rows, [None if w is None else "\n".join(w) for w in self.words], self.rules, self.empty), 5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Parts:
+        top, rows, words, rules, empty = pickle.loads(data)
+        return cls(top, [Block(*x) for x in rows], [None if w is None else w.split("\n") for w in words], rules, empty)
+
+
 def word_counts(pages: list[tuple[str | None, str | None, str | None]], known: Furniture) -> dict[str, list[int]]:
+    """count_words() of (text, title, url) rows."""
+    return count_words((Parts.of(Page(*x)) for x in pages if x[0] and x[0].strip()), known)
+
+
+def count_words(pages: Iterable[Parts], known: Furniture) -> dict[str, list[int]]:
     """Blocks of each word that are furniture, and that are article text, as far as form, place and known evidence say; "" counts all.
 
     What stands above the page's own title and what is furniture by form counts as
     furniture, all other text as article text.
     """
-    out: dict[str, list[int]] = {}
-    for text, title, url in pages:
-        if not text or not text.strip():
-            continue
-        page = Page(text, title, url)
-        for i, b in enumerate(page.blocks):
-            if b.kind in ("code", "table"):
+    nav, body = Counter(), Counter()
+    for page in pages:
+        for i, (b, words) in enumerate(zip(page.blocks, page.words)):
+            if words is None:
                 continue
-            words = page.words(b)
-            own = 0 if b.form or (page.top is not None and i < page.top) or known.share(words) > 0.5 else 1
-            for w in words:
-                out.setdefault(w, [0, 0])[own] += 1
-            out.setdefault("", [0, 0])[own] += 1
-    return out
+            own = body
+            if b.form or (page.top is not None and i < page.top) or known.share(words) > 0.5:
+                own = nav
+            own.update(words)
+            own[""] += 1
+    return {w: [nav[w], body[w]] for w in nav.keys() | body.keys()}
 
 
 def evidence(counts: dict[str, tuple[float, float]]) -> Furniture:
@@ -364,10 +395,14 @@ def outside_lines(text: str | None, title: str | None = None, url: str | None =
     """Numbers (from 1) of the lines that are not of the main body; empty lines are never among them."""
     if not text or not text.strip():
         return []
-    page = Page(text, title, url)
-    for b in page.blocks:
-        if known is not None and not b.form and b.kind in ("text", "heading"):
-            share = known.share(page.words(b))
+    return outside_parts(Parts.of(Page(text, title, url)), known)
+
+
+def outside_parts(page: Parts, known: Furniture | None = None) -> list[int]:
+    """outside_lines() of a page that is measured."""
+    for b, words in zip(page.blocks, page.words):
+        if known is not None and not b.form and words is not None:
+            share = known.share(words)
             b.nav_chars, b.nav_tags = max(b.nav_chars, share * b.chars), max(b.nav_tags, share * b.tags)
     root = Node(0)
     stack = [root]
@@ -410,12 +445,11 @@ def outside_lines(text: str | None, title: str | None = None, url: str | None =
             if some and _density(*(sum(x) for x in zip(*((b.chars, b.tags, b.nav_chars, b.nav_tags) for b in some))), body) < limit:
                 fallen |= {id(b) for b in some}
     drop = [id(b) in fallen or weigh[id(b)] < NAVIGATIONAL * b.chars / b.tags for b in page.blocks]
-    out = []
+    out, empty = [], set(page.empty)
     for k, b in enumerate(page.blocks):
-        only_rule = all(_is_rule(x) for x in page.lines[b.first : b.last])
-        gone = (drop[k + 1] if k + 1 < len(drop) else True) if only_rule else drop[k]
+        gone = (drop[k + 1] if k + 1 < len(drop) else True) if page.rules[k] else drop[k]
         if gone:
-            out += [i + 1 for i in range(b.first, b.last) if page.lines[i].strip()]
+            out += [i + 1 for i in range(b.first, b.last) if i not in empty]
     return out
 
 
@@ -433,53 +467,73 @@ def _own(pages: DataFrame, id_col: str, text_col: str, title_col: str, url_col:
     return own.filter("id IS NOT NULL")
 
 
-def learn_furniture(pages: DataFrame, id_col: str, text_col: str, title_col: str, url_col: str, sample_pages: int = 4096, max_words: int = 65536, rounds: int = 2) -> Furniture:
-    """Evidence of words, fitted on about sample_pages pages drawn by a hash of their id; the driver holds max_words words.
+def _measured(own: DataFrame) -> DataFrame:
+    """(id, parts), a table of the pages with text, each parsed once; parts take about three quarters of the bytes of the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.loc[[bool(x.strip()) for x in pdf["text"]]]
+            yield pd.DataFrame({"id": pdf["id"], "parts": [Parts.of(Page(*x)).packed() for x in pdf[["text", "title", "url"]].itertuples(index=False, name=None)]})
+
+    return written(spread(own.filter("text IS NOT NULL")).mapInPandas(run, "id long, parts binary"), "pages")
+
+
+def learn_furniture(pages: DataFrame, id_col: str, text_col: str, title_col: str, url_col: str, sample_pages: int | None = None, max_words: int = 65536, rounds: int = 2) -> Furniture:
+    """Evidence of words, fitted on all pages; the driver holds max_words words.
 
     The pages label their own blocks: what is furniture by form or stands above the
     title, against the rest.  Each further round also counts as furniture what the
-    evidence of the round before finds.  An empty table gives no evidence.
+    evidence of the round before finds.  An empty table gives no evidence.  Only
+    where sample_pages is given, about so many pages are drawn by a hash of their id.
     """
     own = _own(pages, id_col, text_col, title_col, url_col).filter("text IS NOT NULL")
-    n = own.count()
-    if n > sample_pages:
+    n = own.count() if sample_pages is not None else 0
+    if sample_pages is not None and n > sample_pages:
         own = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil((1 << 20) * sample_pages / n))
-    own, known, spark = spread(own), Furniture(), pages.sparkSession
+    parts = _measured(own)
+    known = _learned(parts, max_words, rounds)
+    dropped(parts)
+    return known
+
+
+def _learned(parts: DataFrame, max_words: int = 65536, rounds: int = 2) -> Furniture:
+    """learn_furniture() of pages that are measured."""
+    known, spark = Furniture(), parts.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(known)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                got = word_counts(list(pdf[["text", "title", "url"]].itertuples(index=False, name=None)), shared.value)
+                got = count_words(map(Parts.unpacked, pdf["parts"]), shared.value)
                 yield pd.DataFrame([(w, *x) for w, x in got.items()], columns=["word", "nav", "body"]).astype({"nav": "int64", "body": "int64"})
 
-        sums = own.mapInPandas(count, "word string, nav long, body long").groupBy("word").agg(F.sum("nav").alias("nav"), F.sum("body").alias("body"))
-        rows = sums.orderBy(F.desc(F.col("nav") + F.col("body")), "word").limit(max_words).collect()
+        sums = spread(parts.select("parts")).mapInPandas(count, "word string, nav long, body long").groupBy("word").agg(F.sum("nav").alias("nav"), F.sum("body").alias("body"))
+        top = sums.filter("nav + body >= 3").orderBy(F.desc(F.col("nav") + F.col("body")), "word").limit(max_words)
+        rows = top.filter("word IS NOT NULL").collect()  # a step after the limit, so that a task makes the choice and not the driver
         known = evidence({r["word"]: (r["nav"], r["body"]) for r in rows})
     return known
 
 
 def boilerplate_lines(pages: DataFrame, id_col: str, text_col: str, title_col: str, url_col: str, known: Furniture | None = None) -> DataFrame:
-    """(id, line_no) of the lines outside the main body; a scan, no page is shuffled once the evidence is learned.
+    """(id, line_no) of the lines outside the main body; every page is parsed once, into a table, and never shuffled by a key.
 
     Null and blank texts have no such lines; rows without an id are left out;
     repeated ids give the lines of each of their texts.  Without `known` the
-    evidence is learned from the pages themselves.
+    evidence is learned from all the pages themselves.
     """
-    known = known or learn_furniture(pages, id_col, text_col, title_col, url_col)
-    shared = pages.sparkSession.sparkContext.broadcast(known)
+    parts = _measured(_own(pages, id_col, text_col, title_col, url_col))
+    shared = pages.sparkSession.sparkContext.broadcast(known or _learned(parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, at = [], []
-            for i, text, title, url in pdf.itertuples(index=False):
-                got = outside_lines(text, title, url, shared.value)
+            for i, data in zip(pdf["id"].tolist(), pdf["parts"]):
+                got = outside_parts(Parts.unpacked(data), shared.value)
                 ids += [i] * len(got)
                 at += got
             yield pd.DataFrame({"id": ids, "line_no": at}).astype({"id": "int64", "line_no": "int32"})
 
-    own = _own(pages, id_col, text_col, title_col, url_col).filter("text IS NOT NULL")
-    return spread(own).mapInPandas(run, "id long, line_no int")
+    return spread(parts).mapInPandas(run, "id long, line_no int")
 
 
 def main_bodies(pages: DataFrame, id_col: str, text_col: str, title_col: str, url_col: str, known: Furniture | None = None) -> DataFrame:

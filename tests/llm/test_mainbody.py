@@ -145,3 +145,16 @@ def test_learned_on_a_sample(spark):
         for k, x in enumerate(own, 1):
             if x.strip():
                 assert ((i, k) in gone) == (not x.startswith(("The ", "# "))), x
+
+
+def test_learned_from_all_pages(spark):
+    """One page in a thousand of 5,000 has the words of a box that only counting all of them finds."""
+    texts = [x for x in english(50) for _ in range(100)]
+    note = "Zirbel quorn vlack"
+    rows = [(i, *x) if i % 1000 else (i, note + ".\n\n" + x[0], *x[1:]) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, content_markdown string, title string, url string")
+    known = learn_furniture(df, "page_id", "content_markdown", "title", "url")
+    all_ = learned([x[1:] for x in rows])
+    assert known.ratio == all_.ratio and known.prior == all_.prior and "zirbel" in known.ratio
+    gone = {(r["id"], r["line_no"]) for r in boilerplate_lines(df.filter("page_id < 1001"), "page_id", "content_markdown", "title", "url", known=known).collect()}
+    assert {(i, k) for i in (0, 1, 500, 1000) for k in outside_lines(*rows[i][1:], all_)} == {(i, k) for i, k in gone if i in (0, 1, 500, 1000)}
